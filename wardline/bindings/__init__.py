@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["text_queries"]
+MODULES = ["text_queries", "label_queries", "curation_queries", "action_queries"]
 
 
 def registered() -> tuple[dict, dict]:

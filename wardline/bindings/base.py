@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from wardline.functions import text as tx
 from wardline.operators import lexicon as lx
 from wardline.operators import rules as rl
 from wardline.plans import normalise as nm
-from wardline.session import spread
+from wardline.session import small_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,11 +111,12 @@ DOCUMENTS, CONVERSATIONS = "documents", "conversations"
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t, i) for i, t in enumerate(TERMS)], "term string, pos int")
+    rows = [{"term": t, "pos": i} for i, t in enumerate(TERMS)]
+    return small_table(spark, rows, pa.schema([("term", pa.string()), ("pos", pa.int32())]))
 
 
 def exceptions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in EXCEPTIONS], "word string")
+    return small_table(spark, [{"word": w} for w in EXCEPTIONS], pa.schema([("word", pa.string())]))
 
 
 def normaliser_settings(spark: SparkSession, **changes) -> nm.Settings:

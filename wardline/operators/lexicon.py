@@ -22,12 +22,13 @@ from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wardline.functions import text as tx
-from wardline.session import take_config
+from wardline.session import small_table, take_config
 
 MAX_INLINE_TERMS = 512
 COSINE = 0.85
@@ -95,19 +96,29 @@ class Lexicon:
         return groups
 
 
+_FITTED: dict[tuple[tuple[str, ...], float], Lexicon] = {}
+
+
 def load_lexicon(lexicon: DataFrame, threshold: float = COSINE, limit: int = MAX_INLINE_TERMS) -> Lexicon | None:
     """The lexicon as literals, or None if it has more than ``limit`` terms."""
     rows = lexicon.select("term", "pos").take(limit + 1)
     if len(rows) > limit:
         return None
     ordered = [r["term"] for r in sorted(rows, key=lambda r: r["pos"])]
-    place = {r["pos"]: i for i, r in enumerate(sorted(rows, key=lambda r: r["pos"]))}
+    known = _FITTED.get((tuple(ordered), threshold))
+    if known is not None:
+        return known
+    # a literal copy: the source of the lexicon is read once, and one partition is enough
+    schema = pa.schema([("term", pa.string()), ("pos", pa.int32())])
+    fixed = small_table(lexicon.sparkSession, [{"term": t, "pos": i} for i, t in enumerate(ordered)], schema)
     idf: dict[str, float] = {}
     weights: dict[int, dict[str, float]] = defaultdict(dict)
-    for r in fit_ngram_index(lexicon).collect():
+    for r in fit_ngram_index(fixed.coalesce(1)).collect():
         idf[r["gram"]] = r["idf"]
-        weights[place[r["pos"]]][r["gram"]] = r["w"]
-    return Lexicon(tuple(ordered), idf, tuple(weights[i] for i in range(len(ordered))), threshold)
+        weights[r["pos"]][r["gram"]] = r["w"]
+    lex = Lexicon(tuple(ordered), idf, tuple(weights[i] for i in range(len(ordered))), threshold)
+    _FITTED[(lex.terms, threshold)] = lex
+    return lex
 
 
 # -- narrow matching -----------------------------------------------------------
@@ -208,14 +219,12 @@ def sound_in(token: Column, lex: Lexicon, codes: dict[str, str]) -> Column:
     return F.when(code.isin(list(codes)), table[code])
 
 
-def sound_codes(spark, lex: Lexicon) -> dict[str, str]:
+def sound_codes(spark: SparkSession, lex: Lexicon) -> dict[str, str]:
     """Sound code -> first ASCII term with it, worked out by Spark's own soundex."""
-    if not lex.ascii_terms:
-        return {}
-    row = spark.range(1).select(F.transform(F.lit(lex.ascii_terms), lambda t: F.soundex(t)).alias("codes")).first()
+    terms = small_table(spark, [{"term": t} for t in lex.ascii_terms], pa.schema([("term", pa.string())]))
     out: dict[str, str] = {}
-    for code, term in zip(row["codes"], lex.ascii_terms):
-        out.setdefault(code, term)
+    for row in terms.select("term", F.soundex("term").alias("code")).collect():
+        out.setdefault(row["code"], row["term"])
     return out
 
 
@@ -260,9 +269,12 @@ def strip_prefixes_in(words: Column, lex: Lexicon, prefixes: list[str] = PREFIXE
 
 def drop_before_term_in(words: Column, dropped: list[str], terms: list[str]) -> Column:
     """Drop a word of ``dropped`` that stands right before a lexicon term."""
-    return F.filter(
-        words, lambda w, i: ~(w.isin(dropped) & F.coalesce(F.get(words, i + 1).isin(terms), F.lit(False)))
-    )
+    def kept(all_words: Column) -> Column:
+        return F.filter(
+            all_words, lambda w, i: ~(w.isin(dropped) & F.coalesce(F.get(all_words, i + 1).isin(terms), F.lit(False)))
+        )
+
+    return _let(words, kept)
 
 
 def strip_prefixes(df: DataFrame, col: str, lex: Lexicon, prefixes: list[str] = PREFIXES) -> DataFrame:
@@ -451,19 +463,19 @@ def drop_before_table_term(
 ) -> DataFrame:
     """:func:`drop_before_term` for a lexicon too large for literals."""
     words = tx.tokens(F.col(col))
-    followers = F.array_distinct(
-        F.filter(words, lambda w, i: (i > 0) & F.get(words, i - 1).isin(dropped))
-    )
+    followers = _let(words, lambda ws: F.array_distinct(F.filter(ws, lambda w, i: (i > 0) & F.get(ws, i - 1).isin(dropped))))
     terms = (
         df.select(id_col, F.explode(followers).alias("term"))
         .join(lexicon.select("term"), "term", "left_semi")
         .groupBy(id_col)
         .agg(F.collect_set("term").alias("_terms"))
     )
-    kept = F.filter(
-        words,
-        lambda w, i: ~(w.isin(dropped) & F.coalesce(F.array_contains("_terms", F.get(words, i + 1)), F.lit(False))),
-    )
+    def dropped_in(ws: Column) -> Column:
+        return F.filter(
+            ws, lambda w, i: ~(w.isin(dropped) & F.coalesce(F.array_contains("_terms", F.get(ws, i + 1)), F.lit(False)))
+        )
+
+    kept = F.when(F.col("_terms").isNull(), words).otherwise(_let(words, dropped_in))
     return df.join(terms, id_col, "left").withColumn(col, tx.join_tokens(kept)).drop("_terms")
 
 

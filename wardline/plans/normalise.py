@@ -15,6 +15,7 @@ from wardline.functions import text as tx
 from wardline.functions.romanise import romanise
 from wardline.operators import lexicon as lx
 from wardline.operators import rules as rl
+from wardline.session import materialise
 
 
 @dataclass(frozen=True)
@@ -113,17 +114,21 @@ def normalise(df: DataFrame, col: str, settings: Settings, id_col: str, out: str
     apply = normaliser(settings)
     if apply is not None:
         return df.withColumn(out, apply(F.col(col)))
+    # every step by joins reads its input twice, so the text is written in between
     df = df.withColumn(out, F.lower(romanise(F.col(col))))
     for step in settings.steps:
         if isinstance(step, StripPrefixes):
+            df = materialise(df, "normalised")
             found = lx.prefix_dictionary(
                 lx.distinct_tokens(df, out), settings.lexicon, step.prefixes, settings.threshold
             )
             df = lx.apply_dictionary(df, id_col, out, found)
         elif isinstance(step, DropBeforeTerm):
+            df = materialise(df, "normalised")
             df = lx.drop_before_table_term(df, id_col, out, step.words, settings.lexicon)
         else:
             df = df.withColumn(out, _rewritten(F.col(out), step))
+    df = materialise(df, "normalised")
     found = lx.token_dictionary(
         lx.distinct_tokens(df, out),
         settings.lexicon,

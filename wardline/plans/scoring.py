@@ -35,17 +35,21 @@ def lexicon_scorer(terms: list[str]) -> Scorer:
 
 
 def pipeline_scorer(model: PipelineModel, labels: list[str] = CLASSES) -> Scorer:
-    """A fitted Spark ML pipeline that reads ``text`` and writes ``probability``."""
+    """A fitted Spark ML pipeline that reads ``text`` and writes ``probability``.
+
+    A model trained without the last classes has a shorter probability vector;
+    the missing ones score zero.
+    """
     def score(df: DataFrame, col: str) -> DataFrame:
-        scored = model.transform(df.withColumn("_kept_text", F.col("text") if "text" in df.columns else F.lit(None)).withColumn("text", F.col(col)))
+        own = df.withColumnRenamed("text", "_own_text") if col != "text" and "text" in df.columns else df
+        scored = model.transform(own.withColumn("text", F.col(col)))
         probability = vector_to_array("probability")
         parts = F.transform(
-            F.arrays_zip(F.lit(labels).alias("label"), probability.alias("score")),
-            lambda s: F.struct(s["label"].alias("label"), s["score"].alias("score")),
+            F.lit(labels),
+            lambda label, i: F.struct(label.alias("label"), F.coalesce(F.get(probability, i), F.lit(0.0)).alias("score")),
         )
-        kept = [c for c in df.columns if c != "text"]
-        text = [F.col("_kept_text").cast("string").alias("text")] if "text" in df.columns else []
-        return scored.select(*kept, *text, parts.alias("scores"))
+        kept = [F.col("_own_text").alias(c) if c == "text" and own is not df else F.col(c) for c in df.columns]
+        return scored.select(*kept, parts.alias("scores"))
 
     return score
 

@@ -35,7 +35,7 @@ def truncate_tokens(df: DataFrame, col: str = "text", n: int = MAX_TOKENS, out:
 
 
 def fit_classifier(
-    df: DataFrame, features: int = 1 << 18, max_iter: int = 30, reg: float = 1e-4, classes: int = len(lb.CLASSES)
+    df: DataFrame, features: int = 1 << 18, max_iter: int = 30, reg: float = 1e-4
 ) -> PipelineModel:
     """Multinomial logistic regression on hashed words, word pairs and character trigrams.
 
