@@ -151,18 +151,19 @@ def first_match(spark, sf):
     return cu.first_match(rows, ["conv_id"], "turn")
 
 
-# -- leakage and sets: a fifth of the documents against the others, without dedupe first ------
+# -- leakage and sets: the documents of some sources against those of the others, without dedupe first --
 
-PARTS = "test AS (SELECT doc_id, text FROM documents WHERE doc_id % 5 = 0), train AS (SELECT doc_id, '  ' || lower(text) || ' ' AS text FROM documents WHERE doc_id % 5 <> 0)"
+PARTS = """test AS (SELECT doc_id, text FROM documents WHERE source < 'src12'),
+train AS (SELECT doc_id, '  ' || lower(text) || ' ' AS text FROM documents WHERE source >= 'src12')"""
 KEY = b.sql_key("text")
 
 
 def parts(spark, sf):
     """Both parts; training texts differ from their copies in case and outer space."""
-    docs = load(spark, sf, "documents").select("doc_id", "text")
-    is_test = F.col("doc_id") % 5 == 0
+    docs = load(spark, sf, "documents").select("doc_id", "text", "source")
+    is_test = F.col("source") < "src12"
     train = docs.filter(~is_test).withColumn("text", F.concat(F.lit("  "), F.lower("text"), F.lit(" ")))
-    return docs.filter(is_test), train
+    return docs.filter(is_test).drop("source"), train.drop("source")
 
 
 @query("overlap", with_(PARTS) + f"SELECT doc_id FROM test WHERE {KEY} IN (SELECT {KEY} FROM train)")
@@ -182,12 +183,13 @@ def intersect_texts(spark, sf):
 
 @query(
     "subtract_texts",
-    "SELECT doc_id, text FROM documents WHERE doc_id % 2 = 0 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 1)",
+    "SELECT doc_id, text FROM documents WHERE lang = 'en' AND text NOT IN (SELECT text FROM documents WHERE source < 'src15' AND doc_id IN (SELECT doc_id FROM labels))",
 )
 def subtract_texts(spark, sf):
-    docs = load(spark, sf, "documents").select("doc_id", "text")
-    even = F.col("doc_id") % 2 == 0
-    return cu.subtract_texts(docs.filter(even), docs.filter(~even)).select("doc_id", "text")
+    """English documents whose text no labelled document of some sources has."""
+    docs = load(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    labelled = docs.filter(F.col("source") < "src15").join(load(spark, sf, "labels"), "doc_id", "left_semi")
+    return cu.subtract_texts(docs.filter(F.col("lang") == "en"), labelled).select("doc_id", "text")
 
 
 # -- splits ------------------------------------------------------------------------------------

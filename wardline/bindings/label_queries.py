@@ -191,13 +191,12 @@ def classifier_settings(spark, sf, **changes) -> cl.ClassifierSettings:
 
 
 def message_overrides(msgs):
-    """Human labels for a sixteenth of the messages, unknown labels among them."""
+    """Human labels for some of the messages, unknown labels among them."""
     h = tx.hash_int(F.concat(F.lit("forced:"), "id"))
     labels = F.array(*[F.lit(x) for x in b.RAW])
-    rows = msgs.filter(h % 16 == 0).select(
-        "text", F.element_at(labels, (F.floor(h / 16) % len(b.RAW) + 1).cast("int")).alias("label"), F.lit("feedback").alias("extra"), "seq"
-    )
-    return lb.build_overrides(rows)
+    chosen = F.element_at(labels, (F.floor(h / 16) % len(b.RAW) + 1).cast("int"))
+    rows = msgs.select("text", F.when(h % 16 == 0, chosen).alias("label"), F.lit("feedback").alias("extra"), "seq")
+    return lb.build_overrides(cu.drop_unlabelled(rows))
 
 
 _FORCED = b.sql_hash("'forced:' || id")
@@ -400,11 +399,11 @@ def pending_review(spark, sf):
     "next_item",
     with_(REVIEW)
     + f"""SELECT seq, text, ai_label, ai_label IN {SAFE} AS looks_safe FROM items WHERE text NOT IN (SELECT text FROM verified)
-  AND seq NOT IN (SELECT seq FROM items WHERE seq % 4 = 1) ORDER BY seq LIMIT 10""",
+  AND seq NOT IN (SELECT doc_id FROM documents WHERE source = 'src1') ORDER BY seq LIMIT 10""",
 )
 def next_item(spark, sf):
     items, verified = review_tables(spark, sf)
-    skipped = load(spark, sf, "documents").filter(F.col("doc_id") % 4 == 1).select(F.col("doc_id").alias("seq"))
+    skipped = load(spark, sf, "documents").filter(F.col("source") == "src1").select(F.col("doc_id").alias("seq"))
     return rv.next_item(items, verified, skipped, n=10)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Decision threshold, severity cuts, gate scores.
 THRESHOLD = 0.8
@@ -12,7 +13,9 @@ HIGH_BELOW = 0.95
 GATE_SCORE = 0.99
 GATE_REST = 0.01
 
-SCORES_TYPE = "array<struct<label:string,score:double>>"
+SCORES_TYPE = T.ArrayType(
+    T.StructType([T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])
+)
 
 
 def score_list(**scores: Column) -> Column:

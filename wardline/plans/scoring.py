@@ -61,7 +61,7 @@ def batch_scorer(load: Callable[[], Callable[[list[str]], list[dict[str, float]]
     through without being scored.
     """
     def score(df: DataFrame, col: str) -> DataFrame:
-        schema = T.StructType(df.schema.fields + [T.StructField("scores", T._parse_datatype_string(sc.SCORES_TYPE))])
+        schema = T.StructType(df.schema.fields + [T.StructField("scores", sc.SCORES_TYPE)])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             predict = load()

@@ -2,25 +2,36 @@
 
 from pyspark.sql import types as T
 
-CORPUS = T.StructType.fromDDL("text string, label string, extra string")
-FEEDBACK = T.StructType.fromDDL(
+_TYPES = {
+    "string": T.StringType(),
+    "long": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+    "scores": T.MapType(T.StringType(), T.DoubleType()),
+}
+
+
+def _struct(fields: str) -> T.StructType:
+    pairs = (field.split() for field in fields.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+CORPUS = _struct("text string, label string, extra string")
+FEEDBACK = _struct(
     "ts timestamp, id string, text string, label string, offensive_score double, model_label string, action string"
 )
-INCOMING = T.StructType.fromDDL(
+INCOMING = _struct(
     "id string, seq long, ts timestamp, room string, text string, client_id string, username string, "
     "is_audio boolean, guard_on boolean"
 )
-RESULT = (
-    "label string, label_display string, offensive_score double, safe_score double, "
-    "is_offensive boolean, bucket string, all_scores map<string,double>"
-)
-MESSAGE = T.StructType.fromDDL(
+MESSAGE = _struct(
     "id string, text string, client_id string, username string, timestamp string, date timestamp, "
-    "revealed boolean, reported boolean, is_audio boolean, " + RESULT + ", transliterated string, "
+    "revealed boolean, reported boolean, is_audio boolean, "
+    "label string, label_display string, offensive_score double, safe_score double, "
+    "is_offensive boolean, bucket string, all_scores scores, transliterated string, "
     "user_classification string"
 )
-ACTION = T.StructType.fromDDL("seq long, ts timestamp, message_id string, kind string, value string")
-SEGMENT = T.StructType.fromDDL("clip_id string, seg_no int, text string")
-RULES = T.StructType.fromDDL("stage int, ord int, pattern string, replacement string")
-LEXICON = T.StructType.fromDDL("term string, pos int")
-OVERRIDE = T.StructType.fromDDL("key string, label string, seq long")
+RULES = _struct("stage int, ord int, pattern string, replacement string")
+LEXICON = _struct("term string, pos int")

@@ -52,7 +52,7 @@ def read_feedback(spark: SparkSession, path: str, multi_line: bool = True) -> Da
             {"source": F.lit("feedback"), "seq": F.monotonically_increasing_id()}
         )
 
-    empty = T.StructType.fromDDL(schemas.CORPUS.simpleString()[7:-1] + ",source:string,seq:bigint")
+    empty = T.StructType(schemas.CORPUS.fields + [T.StructField("source", T.StringType()), T.StructField("seq", T.LongType())])
     return _or_empty(read, spark, empty)
 
 
