@@ -8,10 +8,11 @@ Two plans give the same result.
 * A larger lexicon stays a table.  Distinct tokens are matched by joins on
   n-grams, stems and sound codes, and the resulting dictionary is joined back.
 
-The narrow plan first drops tokens that cannot reach the cosine threshold.  Let
-a group of grams carry more than ``1 - threshold**2`` of the squared weight of a
-term.  A token with none of them has, by Cauchy-Schwarz, a cosine under the
-threshold, so a match must hit every such group.  The filter loses nothing.
+The narrow plan first drops tokens that cannot reach the cosine threshold.  By
+Cauchy-Schwarz the cosine of a token with a term is at most the root of the
+squared weight of the grams they share, so a match shares ``threshold**2`` of the
+term's squared weight or more, and has at least one gram of any set that carries
+more than the rest, the *signature*.  The filter loses nothing.
 """
 
 from __future__ import annotations
@@ -81,19 +82,15 @@ class Lexicon:
     def collapsed(self) -> list[str]:
         return sorted({re.sub(r"(.)\1+", r"\1", t.lower()) for t in self.ascii_terms})
 
-    def signature(self, pos: int) -> list[list[str]]:
-        """Disjoint groups of grams of a term; a matching token has a gram of every group.
-
-        Longer, hence rarer, grams are used first.
-        """
-        weights, groups, group, mass = self.weights[pos], [], [], 0.0
+    def signature(self, pos: int) -> list[str]:
+        """The longest, heaviest grams of a term that no matching token can do without all of."""
+        weights, out, mass = self.weights[pos], [], 0.0
         for gram in sorted(weights, key=lambda g: (-len(g), -weights[g], g)):
-            group.append(gram)
+            out.append(gram)
             mass += weights[gram] ** 2
             if mass > 1 - self.threshold**2 + 1e-6:
-                groups.append(group)
-                group, mass = [], 0.0
-        return groups
+                break
+        return out
 
 
 _FITTED: dict[tuple[tuple[str, ...], float], Lexicon] = {}
@@ -135,17 +132,26 @@ def _first(values: Column) -> Column:
 
 def _terms_literal(lex: Lexicon) -> Column:
     rows = [
-        {"pos": i, "term": t, "groups": lex.signature(i), "w": lex.weights[i]}
+        {
+            "pos": i,
+            "term": t,
+            "first": lex.signature(i),
+            "mass": [{"gram": g, "square": w * w} for g, w in lex.weights[i].items()],
+            "w": lex.weights[i],
+        }
         for i, t in enumerate(lex.terms)
         if lex.weights[i]
     ]
-    kind = "array<struct<pos:int,term:string,groups:array<array<string>>,w:map<string,double>>>"
+    kind = (
+        "array<struct<pos:int,term:string,first:array<string>,mass:array<struct<gram:string,square:double>>,"
+        "w:map<string,double>>>"
+    )
     return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), kind)
 
 
 def may_match(c: Column, lex: Lexicon) -> Column:
     """False only if no term can reach the cosine threshold."""
-    grams = sorted({g for i in range(len(lex.terms)) for group in lex.signature(i)[:1] for g in group})
+    grams = sorted({g for i in range(len(lex.terms)) for g in lex.signature(i)})
     return c.rlike(tx.alternation([tx.escape(g) for g in grams])) if grams else F.lit(False)
 
 
@@ -153,7 +159,7 @@ def nearest_in(token: Column, lex: Lexicon) -> Column:
     """The best term at or above the threshold (earliest on a tie), else null.
 
     Grams the lexicon does not have are dropped before normalising.  Grams are
-    only cut for tokens that hit every signature group of some term.
+    only cut for tokens that share enough of some term.
     """
     idf = F.from_json(F.lit(json.dumps(lex.idf, ensure_ascii=False)), "map<string,double>")
 
@@ -180,10 +186,13 @@ def nearest_in(token: Column, lex: Lexicon) -> Column:
         known = F.filter(tx.char_grams(token), lambda g: F.map_contains_key(idf, g))
         return F.when(F.size(near) > 0, _let(known, lambda grams: best(near, grams)))
 
-    hits = F.filter(
-        _terms_literal(lex), lambda t: F.forall(t["groups"], lambda group: F.exists(group, lambda s: F.contains(token, s)))
-    )
-    return _let(hits, among)
+    def shares_enough(t: Column) -> Column:
+        shared = F.aggregate(
+            t["mass"], F.lit(0.0), lambda acc, m: acc + F.when(F.contains(token, m["gram"]), m["square"]).otherwise(0.0)
+        )
+        return F.exists(t["first"], lambda g: F.contains(token, g)) & (shared >= lex.threshold**2 - 1e-6)
+
+    return F.when(may_match(token, lex), _let(F.filter(_terms_literal(lex), shares_enough), among))
 
 
 def _cut_suffixes(token: Column, suffixes: list[str]) -> Column:
@@ -245,9 +254,14 @@ def map_tokens(
         found = F.coalesce(by_form, sound_in(clean, lex, codes or {}), token)
         return F.when(clean.isin(exceptions), token).otherwise(found) if exceptions else found
 
-    return tx.join_tokens(
-        F.transform(tx.tokens(text), lambda t: _let(tx.collapse_runs(F.lower(t)), lambda clean: mapped(t, clean)))
-    )
+    def per_token(has_run: Column) -> Column:
+        def clean(t: Column) -> Column:
+            return F.when(has_run, tx.collapse_runs(F.lower(t))).otherwise(F.lower(t))
+
+        return F.transform(tx.tokens(text), lambda t: _let(clean(t), lambda c: mapped(t, c)))
+
+    # few texts have a long run at all; one look at the text saves one per token
+    return tx.join_tokens(_let(F.lower(text).rlike(r"([^\n])\1\1"), per_token))
 
 
 def strip_prefixes_in(words: Column, lex: Lexicon, prefixes: list[str] = PREFIXES) -> Column:

@@ -51,6 +51,23 @@ def translate_replacement(replacement: str) -> str:
     return re.sub(r"\\(\d)", r"$\1", quoted)
 
 
+def heads(parts: list[str]) -> str:
+    """A look-ahead on the first characters of the alternatives, if each has just one.
+
+    It says nothing new, but it is the cheapest test there is, and most
+    positions of a text fail it.
+    """
+    firsts = set()
+    for part in parts:
+        outside = part
+        while "(" in outside and (inner := re.sub(r"\([^()]*\)", "", outside)) != outside:
+            outside = inner
+        if "|" in outside or not re.match(r"\w(?![?*{])", part):
+            return ""
+        firsts.add(part[0])
+    return f"(?=[{''.join(sorted(firsts))}])" if firsts else ""
+
+
 def _whole_word(rule: Rule) -> str | None:
     """The inside of ``\\b...\\b`` if the rule rewrites single words only."""
     found = re.fullmatch(r"\\b(\w.*)\\b", rule.pattern, flags=re.DOTALL)
@@ -71,7 +88,8 @@ def merged(rules: list[Rule]) -> list[tuple[str, str]]:
 
         def flush() -> None:
             if pending:
-                out.append((tx.START + tx.alternation(pending) + tx.END, translate_replacement(replacement)))
+                pattern = heads(pending) + tx.START + tx.alternation(pending) + tx.END
+                out.append((pattern, translate_replacement(replacement)))
                 pending.clear()
 
         for rule in group:
@@ -101,8 +119,8 @@ def context_rewrite(c: Column, forms: list[str], context: list[str], replacement
     Both words are used up.  The context word needs no boundary on its far side.
     """
     form, ctx = tx.alternation(forms), tx.alternation(context)
-    c = F.regexp_replace(c, f"{tx.START}{form}{tx.SPACE}+{ctx}", replacement)
-    return F.regexp_replace(c, f"{ctx}{tx.SPACE}+{tx.START}{form}{tx.END}", replacement)
+    c = F.regexp_replace(c, f"{heads(forms)}{tx.START}{form}{tx.SPACE}+{ctx}", replacement)
+    return F.regexp_replace(c, f"{heads(context)}{ctx}{tx.SPACE}+{tx.START}{form}{tx.END}", replacement)
 
 
 def context_rules(df: DataFrame, col: str, forms: list[str], context: list[str], replacement: str) -> DataFrame:
@@ -115,7 +133,7 @@ def prefix_rewrite(c: Column, articles: list[str], forms: list[str], replacement
     By default the article may be the tail of a longer word; ``strict`` asks
     for a boundary before it.
     """
-    head = (tx.START if strict else "") + tx.alternation(articles)
+    head = heads(articles) + (tx.START if strict else "") + tx.alternation(articles)
     return F.regexp_replace(c, f"{head}{tx.SPACE}+{tx.START}{tx.alternation(forms)}{tx.END}", replacement)
 
 
@@ -147,8 +165,11 @@ def mask_words_in(c: Column, words: list[str], token: str = tx.NEUTRAL) -> Colum
     """
     if not words:
         return c
-    parts = [tx.escape(w) for w in sorted(words, key=lambda w: (-len(w), w))]
-    return F.regexp_replace(c, tx.BOUNDARY + tx.alternation(parts) + tx.BOUNDARY, translate_replacement(token))
+    longest_first = sorted(words, key=lambda w: (-len(w), w))
+    parts = [tx.escape(w) for w in longest_first]
+    plain = all(re.fullmatch(r"\w|\w.*\w", w, flags=re.DOTALL) for w in words)
+    before, after = (heads(parts) + tx.START, tx.END) if plain else (tx.BOUNDARY, tx.BOUNDARY)
+    return F.regexp_replace(c, before + tx.alternation(parts) + after, translate_replacement(token))
 
 
 def mask_words(df: DataFrame, col: str, words: list[str], token: str = tx.NEUTRAL) -> DataFrame:
