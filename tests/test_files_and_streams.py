@@ -157,7 +157,9 @@ def test_stream_dedupe_and_stats(spark, tmp_path):
 def test_retrain_save_and_load(spark, tmp_path):
     texts = [(f"you {'moron' if i % 2 else 'dear'} number {i}", "Profanity" if i % 2 else "Not_offensive", "seed", i) for i in range(120)]
     corpus = spark.createDataFrame(texts, "text string, label string, extra string, seq long")
-    settings = tr.RetrainSettings({"corpus": corpus, "user_chat": None}, str(tmp_path / "splits"), str(tmp_path / "model"))
+    settings = tr.RetrainSettings(
+        {"corpus": corpus, "user_chat": None}, str(tmp_path / "splits"), str(tmp_path / "model"), features=1 << 10, max_iter=8
+    )
     tr.retrain(spark, settings)
     train = rd.read_corpus(spark, str(tmp_path / "splits/train"))
     holdout = rd.read_corpus(spark, str(tmp_path / "splits/holdout"))

@@ -83,8 +83,9 @@ class RetrainSettings:
     sources: dict[str, DataFrame | None]
     split_path: str
     model_path: str
-    key: str = "text"
     seed: int = SPLIT_SEED
+    features: int = 1 << 18
+    max_iter: int = 30
 
 
 def curate(sources: dict[str, DataFrame | None], dim: DataFrame) -> DataFrame:
@@ -102,10 +103,10 @@ def retrain(spark: SparkSession, settings: RetrainSettings) -> PipelineModel:
     """
     dim = lb.label_dim(spark)
     rows = materialise(curate(settings.sources, dim), "curated")
-    train, holdout = sp.stratified_split(rows, settings.key, "mapped_label", HOLDOUT_SHARE, settings.seed)
+    train, holdout = sp.stratified_split(rows, "text", "mapped_label", HOLDOUT_SHARE, settings.seed)
     sinks.write_splits(train, holdout, settings.split_path)
     prepared = materialise(training_prep(train, dim, ["source_rank", "seq"]).select("text", "label_id"), "prepared")
     fit_on, _ = sp.split(prepared, "text", VALIDATION_SHARE, settings.seed)
-    model = fit_classifier(fit_on)
+    model = fit_classifier(fit_on, settings.features, settings.max_iter)
     save_model(model, settings.model_path)
     return model
