@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import text as tx
 from wardline.operators.labels import HUMAN_SOURCES
+from wardline.session import pinned
 
 # Later sources win: seed corpus, then model-labelled chat, then human feedback.
 SOURCE_RANK = {"corpus": 0, "user_chat": 1, "feedback": 2}
@@ -77,7 +78,7 @@ def label_distribution(df: DataFrame, col: str = "mapped_label") -> DataFrame:
 def drop_rare(df: DataFrame, col: str = "mapped_label", min_n: int = 2) -> DataFrame:
     """Rows of classes with at least ``min_n`` rows: counted by an aggregate, kept by a semi join."""
     frequent = df.groupBy(col).agg(F.count("*").alias("n")).filter(F.col("n") >= min_n)
-    return df.join(frequent, col, "left_semi")
+    return df.join(pinned(frequent.select(col)), col, "left_semi")
 
 
 def chronological(df: DataFrame, order: list[str]) -> DataFrame:

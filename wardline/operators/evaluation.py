@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.session import pinned
+
 
 def ratio(a: Column, b: Column) -> Column:
     """Quotient, zero where the divisor is zero."""
@@ -122,6 +124,7 @@ def score_histogram(df: DataFrame, score: str, correct: str, bins: int = 20) ->
         F.when(same, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
     )
     place = F.least(F.floor((F.col(score) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+    ranges = pinned(ranges)  # one row per subset
     counts = df.join(ranges, correct).groupBy(correct, place.cast("int").alias("bin")).agg(F.count("*").alias("n"))
     grid = ranges.select(correct, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / bins

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardline.operators.curation import shuffle_key
+from wardline.session import pinned
 
 PREFIX_DIGITS = 4
 
@@ -45,12 +46,13 @@ def holdout_sizes(counts: DataFrame, label: str, frac: float) -> DataFrame:
 
 def assign_split(df: DataFrame, key: str, label: str, frac: float, seed: int) -> DataFrame:
     """Add ``is_holdout``: exact, stratified, the same on any partitioning."""
+    # one row per class each: the size of the label set is counted before it is relied upon
     hashed = df.withColumn("_h", shuffle_key(F.col(key), seed)).withColumn("_slice", F.substring("_h", 1, PREFIX_DIGITS))
     slices = hashed.groupBy(label, "_slice").agg(F.count("*").alias("_m"))
     sizes = holdout_sizes(slices.groupBy(label).agg(F.sum("_m").alias("n")), label, frac)
     running = W.partitionBy(label).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     # Per class: the slice in which the k-th row falls, and how many of its rows to take.
-    cut = (
+    cut = pinned(
         slices.withColumn("_before", F.coalesce(F.sum("_m").over(running), F.lit(0)))
         .join(sizes, label)
         .filter((F.col("_before") < F.col("k")) & (F.col("k") <= F.col("_before") + F.col("_m")))
@@ -58,7 +60,7 @@ def assign_split(df: DataFrame, key: str, label: str, frac: float, seed: int) ->
     )
     # Rank that slice only, to find the last row held out; then compare every row with it.
     rank = F.row_number().over(W.partitionBy(label).orderBy("_h", key))
-    last = (
+    last = pinned(
         hashed.select(label, key, "_h", "_slice")
         .join(cut, label)
         .filter(F.col("_slice") == F.col("_cut"))

@@ -16,11 +16,11 @@ from wardline.functions import scores as sc
 from wardline.functions import text as tx
 from wardline.operators import labels as lb
 from wardline.operators import lexicon as lx
-from wardline.operators import messages as ms
 from wardline.operators import rules as rl
 from wardline.operators import users as us
 from wardline.plans.normalise import Settings, normalise
 from wardline.plans.scoring import Scorer
+from wardline.session import materialise
 
 
 @dataclass(frozen=True)
@@ -77,6 +77,9 @@ def process(df: DataFrame, settings: ClassifierSettings) -> DataFrame:
     words = [r["word"] for r in settings.normaliser.exceptions.select("word").take(settings.max_terms)]
     df = df.withColumn("ai_input", rl.mask_words_in(F.col("processed"), words))
     if settings.users is not None:
+        # names are looked up in the processed text and then replaced in it: without
+        # writing it once, the normaliser would run twice
+        df = materialise(df, "processed")
         df = us.mask_active_users(df, settings.users, "ai_input", "id", settings.room)
     return df
 

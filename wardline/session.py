@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Settings that matter for the plans in this package.  Partition counts are
 # left to adaptive execution: it starts wide and coalesces to the advisory size.
@@ -55,6 +56,23 @@ def take_config(df: DataFrame, limit: int, what: str) -> list:
     return rows
 
 
+def pinned(df: DataFrame, limit: int = 10_000) -> DataFrame:
+    """A frame that should be small (one row per class, say) as a literal table.
+
+    It is computed once, here, and its size is known to the planner, so the
+    large side of a join on it is not shuffled.  If it has more than ``limit``
+    rows after all, the frame itself comes back and the join shuffles.
+    """
+    rows = df.take(limit + 1)
+    return df if len(rows) > limit else _literal(df, rows)
+
+
+def _literal(df: DataFrame, rows: list) -> DataFrame:
+    columns = {name: [row[name] for row in rows] for name in df.columns}
+    table = pa.table({name: pa.array(values, to_arrow_type(df.schema[name].dataType)) for name, values in columns.items()})
+    return df.sparkSession.createDataFrame(table)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give text-heavy narrow work all cores when the input is only a few splits.
 
