@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from wardline.bindings import base
 from wardline.operators import actions as ac
 from wardline.operators import labels as lb
+from wardline.operators import messages as ms
 from wardline.operators import review as rv
 from wardline.operators import users as us
 from wardline.plans import classify as cl
@@ -85,6 +86,12 @@ def test_message_state(spark):
     assert ac.audit_rows(actions, msgs).filter("action = 'user_classify:hate_speech'").count() == 1
 
 
+def test_long_clip_is_joined_in_order(spark):
+    segments = spark.range(5000).select(F.lit("c").alias("clip_id"), F.col("id").cast("int").alias("seg_no"), F.concat(F.lit(" "), F.col("id").cast("string")).alias("text"))
+    got = rows(ms.assemble_transcripts(segments.repartition(5)))
+    assert got == [("c", " ".join(str(i) for i in range(5000)))]
+
+
 def test_review(spark):
     items = spark.createDataFrame([(i, f"t{i}", "Profanity" if i % 2 else "Not_offensive") for i in range(8)], "seq long, text string, ai_label string")
     verified = spark.createDataFrame([("t0", "Not_offensive"), ("t1", "Not_offensive"), ("gone", "Profanity")], "text string, label string")

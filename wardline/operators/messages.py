@@ -80,8 +80,18 @@ def censor(
 def assemble_transcripts(segments: DataFrame) -> DataFrame:
     """``(clip_id, text)``: segments joined in order, outer space cut, loops emptied.
 
-    A clip is one recording, so its group is as small as the recording.
+    Runs of neighbouring segments are joined first, each run in a group of its
+    own, so that a very long clip is not gathered segment by segment.
     """
-    parts = F.array_sort(F.collect_list(F.struct("seg_no", "text")))
-    joined = segments.groupBy("clip_id").agg(F.array_join(F.transform(parts, lambda s: s["text"]), "").alias("text"))
-    return joined.withColumn("text", tx.suppress_hallucination(tx.strip(F.col("text"))))
+    run = F.floor(F.col("seg_no") / RUN_LENGTH)
+    runs = _joined(segments.withColumn("_run", run), ["clip_id", "_run"], "seg_no")
+    clips = _joined(runs, ["clip_id"], "_run")
+    return clips.withColumn("text", tx.suppress_hallucination(tx.strip(F.col("text"))))
+
+
+RUN_LENGTH = 1024
+
+
+def _joined(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    parts = F.array_sort(F.collect_list(F.struct(order, "text")))
+    return df.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda s: s["text"]), "").alias("text"))
