@@ -112,3 +112,26 @@ def run_fingerprints(items: np.ndarray, size: int) -> np.ndarray:
 
 def longs(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64))
+
+
+def range_fingerprints(items: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Fingerprints of the item ranges [start, end)."""
+    powers, inverses = _tables(len(items) + 1)
+    sums = np.zeros(len(items) + 1, np.uint64)
+    np.cumsum(items * powers[: len(items)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverses[starts])
+
+
+def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal ranges covered by the ranges [start, end); touching ones join."""
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order]) if len(ends) else ends
+    new = np.ones(len(starts), bool)
+    new[1:] = starts[1:] > ends[:-1]
+    return starts[new], ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)] if len(ends) else ends
+
+
+def without(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """The bytes outside the given disjoint ascending ranges."""
+    edges = [0, *(int(x) for pair in zip(starts, ends, strict=True) for x in pair), len(data)]
+    return b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))

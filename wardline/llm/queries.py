@@ -3,17 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wardline.llm.jaccard_join import jaccard_join
+from wardline.llm.sentence_dedup import sentence_dedup
+from wardline.llm.suffix_dedup import suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_read(spark, sf_dir, "documents"), keep_bytes=False)
+
+
+def op3_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentence_dedup(_read(spark, sf_dir, "documents"), counts=True)
+    return found.select("doc_id", "n_sentences", "n_removed", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_jaccard_join": op10_jaccard_join}
+QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_sentence_dedup": op3_sentence_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
+}
 ORACLES: dict[str, str] = {}
