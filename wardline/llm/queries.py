@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm.jaccard_join import jaccard_join
+from wardline.llm.language_id import language_id
 from wardline.llm.packing import best_fit_packing, token_pieces
 from wardline.llm.pivot_search import top_k, whole_vectors
+from wardline.llm.quality_rules import quality_rules
 from wardline.llm.sentence_dedup import sentence_dedup
 from wardline.llm.suffix_dedup import suffix_dedup
 
@@ -36,6 +38,14 @@ def op3_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", "n_removed", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_read(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_read(spark, sf_dir, "documents"))
+
+
 def op6_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(whole_vectors(_read(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
 
@@ -66,6 +76,8 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_sentence_dedup": op3_sentence_dedup,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
     "op6_pivot_search": op6_pivot_search,
     "op10_jaccard_join": op10_jaccard_join,
 }
