@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from wardline.llm.jaccard_join import jaccard_join
 from wardline.llm.language_id import language_id
 from wardline.llm.packing import best_fit_packing, token_pieces
+from wardline.llm.piece_tokens import encode
 from wardline.llm.pivot_search import top_k, whole_vectors
 from wardline.llm.quality_rules import quality_rules
 from wardline.llm.sentence_dedup import sentence_dedup
+from wardline.llm.sharding import assign
 from wardline.llm.suffix_dedup import suffix_dedup
+from wardline.llm.transcripts import parse_transcripts, raw_transcripts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,6 +53,36 @@ def op6_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(whole_vectors(_read(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_transcripts(raw_transcripts(_read(spark, sf_dir, "conversations")))
+
+
+def op8_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), keep_ids=False).drop("ids")
+
+
+SHARD_BYTES = 1 << 20
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = assign(_read(spark, sf_dir, "documents"), SHARD_BYTES)
+    return found.select(F.col("key").alias("doc_id"), F.col("bytes").alias("n_bytes"), F.col("depth").cast("int").alias("depth"), "shard", "page")
+
+
+OP9_SQL = f"""
+WITH hashed AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS hash
+  FROM documents),
+nodes AS (
+  SELECT doc_id, n_bytes, depth, hash >> (60 - depth) AS node,
+    sum(n_bytes) OVER (PARTITION BY depth, hash >> (60 - depth)) AS held
+  FROM hashed CROSS JOIN (SELECT CAST(unnest(range(0, 41)) AS INTEGER) AS depth))
+SELECT doc_id, n_bytes, min(depth) AS depth, arg_min((CAST(1 AS BIGINT) << depth) + node, depth) AS shard, CAST(0 AS BIGINT) AS page
+FROM nodes WHERE held <= {SHARD_BYTES} GROUP BY doc_id, n_bytes
+"""
+
+
 OP6_SQL = """
 WITH v AS (
   SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE))) AS v
@@ -79,6 +112,9 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_pivot_search": op6_pivot_search,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op8_piece_tokens": op8_piece_tokens,
+    "op9_sharding": op9_sharding,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLES: dict[str, str] = {"op6_pivot_search": OP6_SQL}
+ORACLES: dict[str, str] = {"op6_pivot_search": OP6_SQL, "op9_sharding": OP9_SQL}
