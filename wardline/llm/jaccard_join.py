@@ -6,8 +6,10 @@ document its set size and the smallest doc_id reachable by links.
 
 1. Equal sets form a class, named by a 64-bit fingerprint of the set; only
    classes are compared.
-2. Two similar sets share one of their smallest ``n - ceil(0.8 n) + 1`` shingle
-   hashes.  Classes that share none with another class can have no link.
+2. Similar sets A and B lack at most ``n - T`` of each other's shingles, with T
+   the smallest intersection that a set of n elements needs.  So of the smallest
+   ``n - T + h`` hashes of both, at least the smaller h are common.  A class
+   that shares fewer with other classes can have no link.
 3. For the classes left, all shingles that at least two of them hold are found;
    a class of which fewer than 80 % are held elsewhere can have no link either.
 4. What is left is searched.  Classes that share one of their rarest shingles
@@ -45,6 +47,8 @@ from wardline.session import materialise
 
 # Shingles held in the index of one search task, and queries sent to it at once.
 INDEX_SHINGLES = 1_000_000
+# One of so many of a set's shingles is added to its prefix, to demand more than one common shingle.
+SPARE = 10
 QUERY_SHINGLES = 4_000_000
 
 
@@ -103,7 +107,7 @@ def _shingles(size: int, percent: int, all_of_them: bool) -> Callable:
                     continue
                 seen.add(name)
                 n = len(found)
-                part = found if all_of_them else found[: n - least_overlap(n, percent) + 1]
+                part = found if all_of_them else found[: n - least_overlap(n, percent) + 1 + n // SPARE]
                 keys.append(part)
                 names.append(np.full(len(part), name, np.int64))
                 sizes.append(np.full(len(part), n, np.int64))
@@ -211,19 +215,16 @@ def _candidates(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
     """(class, n, keys): classes that may have a link, their shared shingles from rare to frequent."""
     pairs = docs.select("text").mapInArrow(_shingles(size, percent, False), "class long, n long, key long")
     same = Window.partitionBy("key")
-    live = (
-        pairs.select("key", "class")
-        .select("class", (F.min("class").over(same) != F.max("class").over(same)).alias("shared"))
-        .filter("shared")
-        .select("class")
-        .distinct()
-    )
+    common = pairs.withColumn("shared", F.min("class").over(same) != F.max("class").over(same)).filter("shared")
+    # The smallest possible partner of a set has T elements, and spare ones for that size.
+    least = F.floor((F.col("n") * percent + 99) / 100)
+    live = common.groupBy("class", "n").count().filter(F.col("count") >= 1 + F.floor(least / SPARE)).select("class")
     live = classes.join(live, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     live = materialise(live.select("doc_id").distinct(), "live")
     texts = docs.select("doc_id", "text").join(live, "doc_id", "left_semi").select("text")
-    held = texts.mapInArrow(_shingles(size, percent, True), "class long, n long, key long").distinct()
+    held = texts.mapInArrow(_shingles(size, percent, True), "class long, n long, key long")
     shared = held.withColumn("held", F.count("*").over(same)).filter("held > 1")
-    lists = shared.groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("held", "key"))).alias("keys"))
+    lists = shared.groupBy("class", "n").agg(F.sort_array(F.collect_set(F.struct("held", "key"))).alias("keys"))
     enough = F.size("keys") * 100 >= F.col("n") * percent
     return lists.filter(enough).select("class", "n", F.col("keys.key").alias("keys"))
 
