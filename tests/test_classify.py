@@ -5,6 +5,7 @@ from wardline.bindings import base
 from wardline.functions import scores as sc
 from wardline.operators import labels as lb
 from wardline.operators import messages as ms
+from wardline.operators import rules as rl
 from wardline.operators import users as us
 from wardline.plans import classify as cl
 from wardline.plans import scoring as so
@@ -125,3 +126,21 @@ def test_same_answer_with_the_lexicon_as_a_table(spark):
     small = result(spark, rows)
     large = result(spark, rows, normaliser=base.normaliser_settings(spark, phonetic=False, inline_limit=0))
     assert small == large
+
+
+def test_long_list_of_exception_words(spark):
+    df = spark.createDataFrame([("1", "alpha beta gamma"), ("2", "alphabet w77 a-b"), ("3", None), ("4", "")], "id string, text string")
+    words = ["alpha", "beta", "a-b", "alpha beta", *(f"w{i}" for i in range(10_001))]
+    table = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {r["id"]: r["text"] for r in us.mask_listed_words(df, table, "text", "id").collect()}
+    assert got == {"1": "friend gamma", "2": "alphabet friend friend", "3": None, "4": ""}
+    short = ["alpha", "beta", "a-b", "alpha beta", "w77"]
+    assert got == {r["id"]: r["text"] for r in rl.mask_words(df, "text", short).collect()}
+
+
+def test_names_that_share_a_word_do_not_meet(spark):
+    users = spark.createDataFrame([(f"user {i}", 0) for i in range(10_000)], "name string, first_seen long")
+    df = spark.createDataFrame([(str(i), i, f"the user said {i}") for i in range(20)] + [("x", 99, "user 77 and user 9999!")], "id string, seq long, text string")
+    found = us.names_in(df.select("id", "text"), users, "text", [])
+    assert found.count() == 2
+    assert {r["id"]: r["text"] for r in us.mask_active_users(df, users, "text").collect()}["x"] == "friend and friend!"

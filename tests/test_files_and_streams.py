@@ -36,7 +36,7 @@ def test_ragged_corpus(spark, tmp_path):
 def test_feedback_log(spark, tmp_path):
     path = tmp_path / "f.csv"
     path.write_text("2024-01-01T10:00:00,1,hi,Profanity,0.5,Not_offensive\n2024-01-02T10:00:00,2,yo,Not_offensive,,,user_classify:x\n", encoding="utf-8")
-    assert rows(rd.read_feedback(spark, str(path)).select("text", "label", "extra")) == [
+    assert rows(rd.read_feedback(spark, str(path)).orderBy("seq").select("text", "label", "extra")) == [
         ("hi", "Profanity", "user_feedback"), ("yo", "Not_offensive", "user_feedback"),
     ]
     assert [r["action"] for r in rd.read_audit(spark, str(path)).collect()] == [None, "user_classify:x"]
@@ -144,6 +144,30 @@ def test_stream_users_and_replay(spark, tmp_path):
     assert spark.read.schema(seen).parquet(f"{path}/batch=*").count() == us.first_seen(df, "room").count()
 
 
+def test_first_batch_that_runs_twice_keeps_its_users(spark, tmp_path):
+    df, _ = incoming(spark, tmp_path)
+    path, chat = str(tmp_path / "users"), str(tmp_path / "chat")
+    for _ in range(2):
+        found = st.register_users(df, path, 0, "room")
+        assert found.count() == us.first_seen(df, "room").count()
+        st.save_user_chat(df.withColumn("label", F.lit("x")), chat, 0)
+    st.save_user_chat(df.withColumn("label", F.lit("y")), chat, 1)
+    assert sorted(rows(spark.read.parquet(chat).select("text"))) == sorted(rows(df.select("text").distinct()))
+
+
+def test_order_of_rows_over_files(spark, tmp_path):
+    import os
+
+    folder = tmp_path / "corpus"
+    folder.mkdir()
+    (folder / "b.tsv").write_text("hello\tProfanity\tfeedback\n")
+    os.utime(folder / "b.tsv", (1_000_000, 1_000_000))
+    (folder / "a.tsv").write_text("".join(f"text {i}\tNot_offensive\tseed\n" for i in range(3000)) + "hello\tNot_offensive\tfeedback\n")
+    got = rd.read_corpus(spark, str(folder))
+    assert [r["text"] for r in got.orderBy("seq").collect()] == ["hello", *(f"text {i}" for i in range(3000)), "hello"]
+    assert [r["label"] for r in lb.build_overrides(got).filter("key = 'hello'").collect()] == ["Not_offensive"]
+
+
 def test_stream_dedupe_and_stats(spark, tmp_path):
     df, stream = incoming(spark, tmp_path)
     out = str(tmp_path / "texts")
@@ -167,7 +191,9 @@ def test_retrain_save_and_load(spark, tmp_path):
     settings = tr.RetrainSettings(
         {"corpus": corpus, "user_chat": None}, str(tmp_path / "splits"), str(tmp_path / "model"), features=1 << 10, max_iter=8
     )
-    tr.retrain(spark, settings)
+    done = tr.retrain(spark, settings)
+    # 5 % of 96 rows and the 24 held out; both are scored.
+    assert (done.validation.first()["n"], done.holdout.first()["n"]) == (5, 24)
     train = rd.read_corpus(spark, str(tmp_path / "splits/train"))
     holdout = rd.read_corpus(spark, str(tmp_path / "splits/holdout"))
     assert (train.count(), holdout.count()) == (96, 24)

@@ -106,13 +106,21 @@ def test_prefix_and_pair_steps_agree_between_plans(spark, lexicon):
 
 
 def test_gate_has_no_word_boundary(spark):
-    df = spark.createDataFrame([("food and it",), ("scenario",), ("a nn d\ni",), ("a n n d i",), ("nothing",)], "t string")
-    got = [r[0] for r in df.select(lx.gate_hit(F.col("t"), ["andi", "nari"])).collect()]
-    assert got == [True, True, True, False, False]
-
-
-def test_gate_in_chunks(spark):
-    assert len(lx.gate_patterns(["abc"] * 1200)) == 3
+    df = spark.createDataFrame([("top era now",), ("finest",), ("o pp e\nra",), ("n e s t o",), ("nothing",)], "t string")
+    got = [r[0] for r in df.select(lx.gate_hit(F.col("t"), ["opera", "nest"])).collect()]
+    assert got == [True, True, True, True, False]
+
+
+def test_gate_hits_of_many_terms_do_not_overlap(spark):
+    terms = ["abc", *(f"qq{i}q" for i in range(501)), "bcd"]
+    rows = [(1, "abcd"), (2, "abc bcd"), (3, "a  bb c, bcd"), (4, ""), (5, None), (6, "abcabc abd")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    table = spark.createDataFrame([(t, i) for i, t in enumerate(terms)] + [("abc", 900), ("", 901)], "term string, pos int")
+    want = {1: 1, 2: 2, 3: 2, 4: 0, 5: None, 6: 2}
+    assert dict(tuple(r) for r in df.select("id", lx.gate_count(F.col("t"), terms)).collect()) == want
+    found = lx.gate_by_joins(df, "id", "t", table)
+    assert {r["id"]: r["hits"] for r in found.collect()} == want
+    assert lx.load_terms(table, 10) is None
 
 
 def test_lexicon_over_the_limit_stays_a_table(spark):

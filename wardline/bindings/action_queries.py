@@ -360,3 +360,18 @@ def stream_classify(spark, sf):
     settings = classifier_settings(spark, sf, overrides=None, users=None)
     _finished(st.stream_classify(message_stream(spark, sf), settings, out, overrides, users, once=True))
     return spark.read.parquet(f"{out}/batch=*").select(*RESULT)
+
+
+@query(
+    "stream_user_chat",
+    with_(b.MESSAGES)
+    + f"""SELECT m.text, arg_min(c.label, m.seq) AS label, 'user_chat' AS extra, min(m.seq) AS seq
+FROM ({CLASSIFY}) c JOIN messages m USING (id) GROUP BY m.text""",
+)
+def stream_user_chat(spark, sf):
+    """Each text that the stream saw, once, with the label of its first message."""
+    out, overrides, users, chat = (scratch_dir(spark, n) for n in ("classified", "overrides", "users", "chat"))
+    st.append_overrides(message_overrides(messages(spark, sf)), overrides, 0)
+    settings = classifier_settings(spark, sf, overrides=None, users=None)
+    _finished(st.stream_classify(message_stream(spark, sf), settings, out, overrides, users, once=True, chat=chat))
+    return spark.read.parquet(f"{chat}/batch=*").select("text", "label", "extra", "seq")

@@ -51,11 +51,11 @@ RULES = [
     rl.Rule(3, 1, r"\bhey+\b", "friend"),
     rl.Rule(3, 2, r"\bsich\b", "friend"),
 ]
-PHRASE = rl.Rule(10, 1, r"\bclowns?\s+(?:and\s+)?(?:fish|show)(?:es)?\b", "food")
+PHRASE = rl.Rule(10, 1, r"\bgreen\s+(?:and\s+)?(?:door|gate)(?:s)?\b", "entrance")
 LATE_RULES = [
-    rl.Rule(12, 1, r"\blab\b", "laboratory"),
-    rl.Rule(13, 1, r"\bhehely\b", "went"),
-    rl.Rule(13, 2, r"\bononst\b", "came"),
+    rl.Rule(12, 1, r"\bhrs\b", "hours"),
+    rl.Rule(13, 1, r"\bhehely\b", "gladly"),
+    rl.Rule(13, 2, r"\bononst\b", "almost"),
     rl.Rule(14, 1, r"\bdimwits?\b", "idiot"),
     rl.Rule(16, 1, r"\bfriends?\b", "friend"),
     rl.Rule(16, 2, r"\b(?:they|them|their)\b", "friend"),
@@ -97,7 +97,7 @@ PHRASES = [
     "nee trash",
     "he is stupid like is",
     "né like of trash",
-    "clowns and fish",
+    "green and doors",
     "you worthles moron",
     "disgustiiiing",
     "the scumness",

@@ -41,7 +41,7 @@ def dedupe_first(spark, sf):
     return cu.keep_first(docs, ["text"], ["doc_id"])
 
 
-SOURCES = f"""user_chat AS (SELECT text, 'Not_offensive' AS label, 'user_chat' AS extra, doc_id AS seq FROM documents WHERE source < 'src15'),
+SOURCES = f"""user_chat AS (SELECT text, 'Not_offensive' AS label, 'user_chat' AS extra, doc_id AS seq FROM documents),
 feedback AS (SELECT text, CASE WHEN toxic = 1 THEN 'Profanity' ELSE 'Not_offensive' END AS label, 'user_feedback' AS extra, doc_id AS seq
   FROM labels JOIN documents USING (doc_id)),
 together AS (
@@ -53,7 +53,7 @@ together AS (
 def sources(spark, sf):
     """Three sources on the same texts; each source has its own labels."""
     docs = load(spark, sf, "documents").select("doc_id", "text", "source")
-    chat = docs.filter(F.col("source") < "src15").select(
+    chat = docs.select(
         "text", F.lit("Not_offensive").alias("label"), F.lit("user_chat").alias("extra"), F.col("doc_id").alias("seq")
     )
     truth = load(spark, sf, "labels").select("doc_id", "toxic").join(docs, "doc_id")
@@ -81,9 +81,7 @@ curated AS (SELECT * FROM mapped WHERE mapped_label IN (SELECT mapped_label FROM
 
 def curated(spark, sf):
     """The whole curation; ties between sources of one rank go to the later source name."""
-    rows = cu.drop_unlabelled(cu.union_sources(sources(spark, sf)))
-    rows = cu.keep_last(rows, ["text"], ["source_rank", "seq", "source"])
-    return cu.drop_rare(lb.map_labels(rows, lb.label_dim(spark)))
+    return tr.curate(sources(spark, sf), lb.label_dim(spark))
 
 
 @query("curated_corpus", with_(b.CORPUS, CURATED) + "SELECT text, label, extra, seq, source, source_rank::INTEGER AS source_rank, mapped_label FROM curated")
@@ -243,16 +241,16 @@ SAFE_TEMPLATES = [
     "{mood} news : {who} {verb} early",
 ]
 SAFE_SLOTS = {
-    "who": ["my teacher", "our team", "the driver", "grandma", "a neighbour"],
-    "verb": ["found", "forgot", "painted", "sold"],
-    "thing": ["ticket", "bicycle", "homework", "cake", "photo", "phone"],
-    "mood": ["happy", "late", "ready", "fine"],
-    "place": ["school", "the beach", "the market", "the library"],
+    "who": ["the astronomer", "a beekeeper", "the choir", "our captain", "the gardener"],
+    "verb": ["polished", "sketched", "measured", "repaired"],
+    "thing": ["telescope", "violin", "canoe", "lantern", "barometer", "loom"],
+    "mood": ["curious", "patient", "windswept", "cheerful"],
+    "place": ["the observatory", "the harbour", "the vineyard", "the lighthouse"],
 }
 OFFENSIVE_TEMPLATES = ["{who} is a {degree} {term}", "what a {term} {who} is", "{degree} {term} , that is {who}", "go away {term}", "{who} , you {term}"]
 OFFENSIVE_SLOTS = {
-    "who": ["this one", "your team", "he", "she"],
-    "degree": ["real", "total", "certified", "complete"],
+    "who": ["that fellow", "your crew", "the skipper", "your cousin"],
+    "degree": ["dreadful", "shameless", "towering", "notorious"],
     "term": b.TERMS,
 }
 
@@ -287,13 +285,12 @@ _TRAIN_ROW = _render_sql(SAFE_TEMPLATES, SAFE_SLOTS, 8, "o_orderkey")
 
 @query(
     "leakfree_generate",
-    with_(GENERATED, f"seen AS (SELECT {_TRAIN_ROW} AS text FROM orders WHERE o_orderpriority = '1-URGENT')")
+    with_(GENERATED, f"seen AS (SELECT {_TRAIN_ROW} AS text FROM orders)")
     + f"SELECT id, text, true_label FROM generated WHERE {KEY} NOT IN (SELECT {KEY} FROM seen)",
 )
 def leakfree_generate(spark, sf):
-    """Generated rows that do not occur among the rows of another seed, one per urgent order."""
-    urgent = load(spark, sf, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
-    seen = ge.generate_from(urgent, "o_orderkey", SAFE_TEMPLATES, SAFE_SLOTS, "Not_offensive", 8)
+    """Generated rows that do not occur among the rows of another seed, one per order."""
+    seen = ge.generate_from(load(spark, sf, "orders"), "o_orderkey", SAFE_TEMPLATES, SAFE_SLOTS, "Not_offensive", 8)
     return ge.unseen(generated(spark, sf), seen)
 
 

@@ -243,32 +243,40 @@ def gate_hits(spark, sf):
     return docs.select("doc_id", lx.gate_hit(F.col("text"), b.TERMS).alias("hit"), hits.alias("hits"))
 
 
-@query("gate_short_terms", f"SELECT doc_id, regexp_matches(lower(text), {b.gate_sql(['andi', 'nari', 'ereri'])}) AS hit FROM documents")
+@query("gate_hits_by_joins", with_(b.SCORED) + "SELECT doc_id, h AS hits FROM scored")
+def gate_hits_by_joins(spark, sf):
+    """The same count with the lexicon as a table of any length."""
+    docs = load_spread(spark, sf, "documents", "doc_id", "text").withColumn("text", F.lower("text"))
+    found = lx.gate_by_joins(docs, "doc_id", "text", b.lexicon(spark))
+    return found.select("doc_id", F.col("hits").cast("bigint").alias("hits"))
+
+
+@query("gate_short_terms", f"SELECT doc_id, regexp_matches(lower(text), {b.gate_sql(['thea', 'ndon', 'ereri'])}) AS hit FROM documents")
 def gate_short_terms(spark, sf):
     """Terms that occur inside and across ordinary words: there is no word boundary."""
     docs = load_spread(spark, sf, "documents", "doc_id", "text")
-    return docs.select("doc_id", lx.gate_hit(F.lower("text"), ["andi", "nari", "ereri"]).alias("hit"))
+    return docs.select("doc_id", lx.gate_hit(F.lower("text"), ["thea", "ndon", "ereri"]).alias("hit"))
 
 
-LOOPS = "CASE WHEN doc_id % 3 = 0 THEN repeat(substr(text, 1, 3), 8) WHEN doc_id % 3 = 1 THEN substr(text, 1, 15) ELSE text END"
+LOOPS = """SELECT doc_id, 'whole' AS kind, text FROM documents
+  UNION ALL SELECT doc_id, 'loop', repeat(substr(text, 1, 3), 8) FROM documents
+  UNION ALL SELECT doc_id, 'short', substr(text, 1, 15) FROM documents"""
 
 
 @query(
     "hallucination",
-    with_(f"t AS (SELECT doc_id, {LOOPS} AS text FROM documents)")
-    + """SELECT doc_id, CASE WHEN length(text) > 15 AND len(list_distinct(string_split(text, ''))) < 8 THEN '' ELSE text END AS text,
+    with_(f"t AS ({LOOPS})")
+    + """SELECT doc_id, kind, CASE WHEN length(text) > 15 AND len(list_distinct(string_split(text, ''))) < 8 THEN '' ELSE text END AS text,
   len(list_distinct(string_split(text, ''))) AS distinct_chars FROM t""",
 )
 def hallucination(spark, sf):
-    part = F.col("doc_id") % 3
-    loops = (
-        F.when(part == 0, F.repeat(F.substring("text", 1, 3), F.lit(8)))
-        .when(part == 1, F.substring("text", 1, 15))
-        .otherwise(F.col("text"))
-    )
-    docs = load_spread(spark, sf, "documents", "doc_id", "text").withColumn("text", loops)
+    """Whole texts, and of each a looping and a short one."""
+    kinds = {"whole": F.col("text"), "loop": F.repeat(F.substring("text", 1, 3), F.lit(8)), "short": F.substring("text", 1, 15)}
+    docs = load_spread(spark, sf, "documents", "doc_id", "text")
+    docs = docs.select("doc_id", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in kinds.items()))))
     return docs.select(
         "doc_id",
+        "kind",
         tx.suppress_hallucination(F.col("text")).alias("text"),
         tx.distinct_chars(F.col("text")).cast("bigint").alias("distinct_chars"),
     )

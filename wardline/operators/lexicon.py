@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wardline.functions import text as tx
-from wardline.session import small_table, take_config
+from wardline.session import small_table
 
 MAX_INLINE_TERMS = 512
+# Terms of one gate pattern; beyond that a table of terms is joined.
+MAX_GATE_TERMS = 10_000
 COSINE = 0.85
 
 # The inflection endings and intensifying prefixes, in the order they are tried.
@@ -517,37 +519,58 @@ def fuzzy_map(
 # -- keyword gate --------------------------------------------------------------
 
 
-def gate_patterns(terms: list[str], chunk: int = 500) -> list[str]:
-    """Patterns for terms whose letters come in order, each repeated at will, space between allowed.
+def gate_pattern(terms: list[str]) -> str:
+    """One pattern for terms whose letters come in order, each repeated at will, space between allowed.
 
     There is no word boundary.  A look-ahead on the first letters lets the
-    matcher skip most positions.
+    matcher skip most positions.  Hits do not overlap, whatever terms they are of.
     """
-    out = []
-    for start in range(0, len(terms), chunk):
-        part = terms[start : start + chunk]
-        heads = "".join(sorted({tx.escape(t[0]) for t in part if t}))
-        bodies = [f"{tx.SPACE}*".join(tx.escape(ch) + "+" for ch in t) for t in part if t]
-        out.append(f"(?=[{heads}])" + tx.alternation(bodies))
-    return out
+    terms = [t for t in terms if t]
+    heads = "".join(sorted({tx.escape(t[0]) for t in terms}))
+    return f"(?=[{heads}])" + tx.alternation([f"{tx.SPACE}*".join(tx.escape(ch) + "+" for ch in t) for t in terms])
 
 
 def gate_hit(c: Column, terms: list[str]) -> Column:
-    hit = F.lit(False)
-    for pattern in gate_patterns(terms):
-        hit = hit | c.rlike(pattern)
-    return hit
+    return c.rlike(gate_pattern(terms)) if any(terms) else F.lit(False)
 
 
 def gate_count(c: Column, terms: list[str]) -> Column:
     """Number of non-overlapping gate hits."""
-    total = F.lit(0)
-    for pattern in gate_patterns(terms):
-        total = total + F.regexp_count(c, F.lit(pattern))
-    return total
+    return F.regexp_count(c, F.lit(gate_pattern(terms))) if any(terms) else F.lit(0)
+
+
+def load_terms(lexicon: DataFrame, limit: int = MAX_GATE_TERMS) -> list[str] | None:
+    """Lexicon terms in order, for the gate; None if there are more than ``limit``, which ``gate_by_joins`` takes."""
+    rows = lexicon.select("term", "pos").take(limit + 1)
+    return None if len(rows) > limit else [r["term"] for r in sorted(rows, key=lambda r: r["pos"])]
+
 
+def _squeezed(c: Column) -> Column:
+    """Without white space, and each run of one character as one: what a gate hit's text and term have in common."""
+    return F.regexp_replace(F.regexp_replace(c, tx.SPACE, ""), r"(?s)(.)\1+", "$1")
 
-def load_terms(lexicon: DataFrame, limit: int = 10_000) -> list[str]:
-    """Lexicon terms in order, for the gate."""
-    rows = take_config(lexicon.select("term", "pos"), limit, "the lexicon")
-    return [r["term"] for r in sorted(rows, key=lambda r: r["pos"])]
+
+def gate_by_joins(df: DataFrame, id_col: str, col: str, lexicon: DataFrame, gram: int = 4) -> DataFrame:
+    """Add ``hits``, the gate count for a lexicon of any length.
+
+    A text can only hit terms whose squeezed form it holds.  Candidates come
+    from a join on the first ``gram`` characters of that form (all of a shorter
+    one); the pattern of a row is made of the terms that stand in it.
+    """
+    head = F.substring("_form", 1, gram)
+    terms = lexicon.filter("term <> ''").groupBy("term").agg(F.min("pos").alias("pos")).withColumn("_form", _squeezed(F.col("term")))
+    terms = terms.select("pos", "term", "_form", head.alias("_head"))
+    texts = df.select(id_col, col).withColumn("_text", _squeezed(F.col(col)))
+    # What starts at each place, and the shorter beginnings of that.
+    grams = F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{1,{gram}}}))"), F.lit(1)))
+    starts = F.flatten(F.transform(grams, lambda g: F.transform(F.sequence(F.lit(1), F.length(g)), lambda n: F.substring(g, F.lit(1), n))))
+    found = texts.withColumn("_head", F.explode(F.array_distinct(starts))).select(id_col, "_head").join(terms, "_head")
+    found = found.groupBy(id_col).agg(F.collect_set(F.struct("pos", "term", "_form")).alias("_terms"))
+    spaced = lambda t: F.array_join(
+        F.transform(F.regexp_extract_all(t, F.lit("(?s)."), 0), lambda ch: F.concat(F.lit(r"\Q"), ch, F.lit(r"\E+"))), f"{tx.SPACE}*"
+    )
+    out = df.join(found, id_col, "left").withColumn("_text", _squeezed(F.col(col)))
+    out = out.withColumn("_terms", F.array_sort(F.filter("_terms", lambda t: F.contains(F.col("_text"), t["_form"]))))
+    pattern = F.concat(F.lit("(?:"), F.array_join(F.transform("_terms", lambda t: spaced(t["term"])), "|"), F.lit(")"))
+    hits = F.when(F.size(F.coalesce("_terms", F.array())) > 0, F.regexp_count(F.col(col), pattern)).when(F.col(col).isNotNull(), 0)
+    return out.withColumn("hits", hits).drop("_terms", "_text")

@@ -2,7 +2,8 @@
 
 A message must not see users who come later.  Listing all earlier users for
 each message would grow with messages times users; only names that stand in
-the text matter, so the join is on a piece of the text instead.
+the text matter, so the join is on pieces of the text instead: a name is found
+by all its pieces in order, so that names which share a word do not meet.
 """
 
 from __future__ import annotations
@@ -27,23 +28,38 @@ def first_seen(msgs: DataFrame, room: str | None = None, seq: str = "seq", name:
     return seen.filter((F.col("name") != "") & (F.col("name") != GUEST))
 
 
-def _name_key(name: Column) -> Column:
-    """The longest word of a name (the first of these), or the name if it has none."""
-    words = F.regexp_extract_all(name, F.lit(f"{tx.WORD}+"), 0)
-    ranked = F.transform(words, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w")))
-    return F.coalesce(F.array_max(ranked)["w"], name)
+def _pieces(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(_PIECE), 0)
+
+
+def names_in(texts: DataFrame, names: DataFrame, col: str, on: list[str]) -> DataFrame:
+    """``texts`` joined with the ``names`` (name, ...) whose pieces stand in ``col`` in order, and with equal ``on``.
+
+    The text does not travel.  Runs of pieces are made for the numbers of pieces that names have.
+    """
+    pieces = _pieces(F.col("name"))
+    keyed = names.withColumn("_key", F.when(F.size(pieces) > 0, pieces).otherwise(F.array("name")))
+    sizes = sorted(r[0] for r in keyed.select(F.size("_key")).distinct().collect())  # a few small numbers
+    def run(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size("_pieces") - n + 1)
+        return F.when(F.size("_pieces") >= n, F.transform(starts, lambda i: F.slice("_pieces", i, n)))
+
+    runs = [run(n) for n in sizes]
+    if not runs:
+        runs = [F.array().cast("array<array<string>>")]
+    every = F.array_distinct(F.flatten(F.array_compact(F.array(*runs))))
+    # One column for the pieces: they are cut once per text.
+    cut = texts.withColumn("_pieces", _pieces(F.col(col))).drop(col)
+    return cut.withColumn("_key", F.explode(every)).drop("_pieces").join(keyed, [*on, "_key"]).drop("_key")
 
 
 def users_as_of(
     msgs: DataFrame, users: DataFrame, col: str, id_col: str = "id", room: str | None = None, seq: str = "seq"
 ) -> DataFrame:
     """``(id, names)``: users seen no later than the message whose name may stand in its text."""
-    on = ([room] if room else []) + ["_key"]
-    keyed = users.withColumn("_key", _name_key(F.col("name")))
-    pieces = F.array_distinct(F.regexp_extract_all(F.col(col), F.lit(_PIECE), 0))
-    pairs = msgs.select(id_col, *([room] if room else []), seq, F.explode(pieces).alias("_key"))
+    on = [room] if room else []
     return (
-        pairs.join(keyed, on)
+        names_in(msgs.select(id_col, *on, seq, col), users, col, on)
         .filter(F.col("first_seen") <= F.col(seq))
         .groupBy(id_col)
         .agg(F.collect_set("name").alias("names"))
@@ -73,3 +89,14 @@ def mask_active_users(
     found = users_as_of(msgs, users, col, id_col, room, seq)
     masked = F.when(F.col("names").isNull(), F.col(col)).otherwise(mask_names(F.col(col), F.col("names"), token))
     return msgs.join(found, id_col, "left").withColumn(col, masked).drop("names")
+
+
+def mask_listed_words(df: DataFrame, words: DataFrame, col: str, id_col: str, token: str = tx.NEUTRAL) -> DataFrame:
+    """``rules.mask_words`` for a list of any length, ``words`` (word): each text is matched with the words it may hold."""
+    names = words.select(F.col("word").alias("name")).filter("name <> ''").distinct()
+    found = names_in(df.select(id_col, col), names, col, []).groupBy(id_col).agg(F.collect_set("name").alias("_words"))
+    longest_first = F.transform(F.col("_words"), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))
+    parts = F.transform(F.array_sort(longest_first), lambda s: F.concat(F.lit(r"\Q"), s["w"], F.lit(r"\E")))
+    pattern = F.concat(F.lit(tx.BOUNDARY + "(?:"), F.array_join(parts, "|"), F.lit(")" + tx.BOUNDARY))
+    masked = F.when(F.col("_words").isNull(), F.col(col)).otherwise(F.regexp_replace(F.col(col), pattern, F.lit(token)))
+    return df.join(found, id_col, "left").withColumn(col, masked).drop("_words")

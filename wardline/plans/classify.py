@@ -42,7 +42,7 @@ def neutral_intercept(c: Column) -> Column:
 
 def apply_gate(df: DataFrame, hit: Column, score: str = "offensive") -> DataFrame:
     """Force typed texts with a gate hit that the model scored under the threshold."""
-    return df.withColumn("gated", hit & (F.col(score) < sc.THRESHOLD)).withColumns(
+    return df.withColumn("gated", F.coalesce(hit & (F.col(score) < sc.THRESHOLD), F.lit(False))).withColumns(
         {
             score: F.when(F.col("gated"), sc.GATE_SCORE).otherwise(F.col(score)),
             "safe": F.when(F.col("gated"), sc.GATE_REST).otherwise(F.col("safe")),
@@ -74,8 +74,13 @@ def process(df: DataFrame, settings: ClassifierSettings) -> DataFrame:
     df = typed.withColumn(
         "processed", F.when(F.col("is_audio"), tx.strip(F.col("text"))).otherwise(F.col("processed"))
     )
-    words = [r["word"] for r in settings.normaliser.exceptions.select("word").take(settings.max_terms)]
-    df = df.withColumn("ai_input", rl.mask_words_in(F.col("processed"), words))
+    exceptions = settings.normaliser.exceptions.select("word")
+    words = exceptions.take(settings.max_terms + 1)
+    if len(words) > settings.max_terms:
+        df = materialise(df, "processed").withColumn("ai_input", F.col("processed"))
+        df = us.mask_listed_words(df, exceptions, "ai_input", "id")
+    else:
+        df = df.withColumn("ai_input", rl.mask_words_in(F.col("processed"), [r["word"] for r in words]))
     if settings.users is not None:
         # names are looked up in the processed text and then replaced in it: without
         # writing it once, the normaliser would run twice
@@ -110,7 +115,12 @@ def classify(msgs: DataFrame, settings: ClassifierSettings) -> DataFrame:
     df = df.withColumn("offensive", F.lit(1.0) - F.col("safe"))
     if settings.gate:
         terms = lx.load_terms(settings.normaliser.lexicon, settings.max_terms)
-        df = apply_gate(df, ~F.col("is_audio") & lx.gate_hit(F.col("ai_input"), terms))
+        if terms is None:
+            df = lx.gate_by_joins(materialise(df, "scored"), "id", "ai_input", settings.normaliser.lexicon)
+            hit = F.col("hits") > 0
+        else:
+            hit = lx.gate_hit(F.col("ai_input"), terms)
+        df = apply_gate(df, F.col("needs_score") & ~F.col("is_audio") & F.coalesce(hit, F.lit(False)))
     else:
         df = df.withColumn("gated", F.lit(False))
     model_label = F.when(F.col("gated"), "Profanity").otherwise(sc.top_label(F.col("scores")))

@@ -92,28 +92,32 @@ def _token_step(c: Column, step: Step, lex: lx.Lexicon) -> Column:
 
 
 def normaliser(settings: Settings):
-    """The normaliser as a function on columns, or None if the lexicon is too large for literals."""
+    """The normaliser's two halves as functions on columns, or None if the lexicon is too large for literals.
+
+    The second half uses its input twice; it should be a column, not the first half's expression.
+    """
     lex = lx.load_lexicon(settings.lexicon, settings.threshold, settings.inline_limit)
     words = settings.exceptions.select("word").take(settings.inline_limit + 1)
     if lex is None or len(words) > settings.inline_limit:
         return None
     codes = lx.sound_codes(settings.lexicon.sparkSession, lex) if settings.phonetic else None
 
-    def apply(c: Column) -> Column:
+    def rewritten(c: Column) -> Column:
         c = F.lower(romanise(c))
         for step in settings.steps:
             c = _token_step(c, step, lex) if isinstance(step, StripPrefixes | DropBeforeTerm) else _rewritten(c, step)
-        return lx.map_tokens(c, lex, [w["word"] for w in words], codes, settings.suffixes)
+        return c
 
-    return apply
+    return rewritten, lambda c: lx.map_tokens(c, lex, [w["word"] for w in words], codes, settings.suffixes)
 
 
 def normalise(df: DataFrame, col: str, settings: Settings, id_col: str, out: str | None = None) -> DataFrame:
     """Normalise ``col`` into ``out``.  ``id_col`` must be unique; only the plan by joins uses it."""
     out = out or col
-    apply = normaliser(settings)
-    if apply is not None:
-        return df.withColumn(out, apply(F.col(col)))
+    halves = normaliser(settings)
+    if halves is not None:
+        rewritten, mapped = halves
+        return df.withColumn(out, rewritten(F.col(col))).withColumn(out, mapped(F.col(out)))
     # every step by joins reads its input twice, so the text is written in between
     df = df.withColumn(out, F.lower(romanise(F.col(col))))
     for step in settings.steps:

@@ -14,6 +14,9 @@ from wardline.functions import text as tx
 from wardline.operators import curation as cu
 from wardline.operators import labels as lb
 from wardline.operators import splits as sp
+from wardline.operators.evaluation import binary_metrics
+from wardline.plans.classify import predict_binary
+from wardline.plans.scoring import pipeline_scorer
 from wardline.session import materialise
 from wardline.sources import sinks
 
@@ -23,6 +26,9 @@ VALIDATION_SHARE = 0.05
 SPLIT_SEED = 99
 MAX_TOKENS = 64
 
+# Which of several labels of a text counts: the source's rank, the place in the source, then the later source name.
+ORDER = ["source_rank", "seq", "source"]
+
 
 def training_prep(df: DataFrame, dim: DataFrame, order: list[str] = ["seq"]) -> DataFrame:
     """Labelled rows, the last per text, with canonical label and label id."""
@@ -35,21 +41,23 @@ def truncate_tokens(df: DataFrame, col: str = "text", n: int = MAX_TOKENS, out:
 
 
 def fit_classifier(
-    df: DataFrame, features: int = 1 << 18, max_iter: int = 30, reg: float = 1e-4
+    df: DataFrame, features: int = 1 << 18, max_iter: int = 30, reg: float = 1e-4, max_tokens: int | None = None
 ) -> PipelineModel:
     """Multinomial logistic regression on hashed words, word pairs and character trigrams.
 
     ``df`` has ``text`` and ``label_id``.  Hashing needs no vocabulary, so no
-    stage holds more on the driver than the coefficients.
+    stage holds more on the driver than the coefficients.  ``max_tokens`` cuts
+    the texts it is fitted on; the model scores whole texts.
     """
-    cut = SQLTransformer(
-        statement=f"SELECT *, array_join(slice(split(lower(trim(text)), '[ \\t\\r\\n]+'), 1, {MAX_TOKENS}), ' ') AS _cut FROM __THIS__"
-    )
+    if max_tokens:
+        cut = truncate_tokens(df, "text", max_tokens, "_tokens")
+        df = cut.withColumn("text", tx.join_tokens(F.col("_tokens"))).drop("_tokens")
+    low = SQLTransformer(statement="SELECT *, lower(trim(text)) AS _cut FROM __THIS__")
     words = RegexTokenizer(inputCol="_cut", outputCol="_words", pattern=r"[^\p{L}\p{N}_]+")
     pairs = NGram(n=2, inputCol="_words", outputCol="_pairs")
     chars = RegexTokenizer(inputCol="_cut", outputCol="_chars", pattern="", minTokenLength=1)
     triples = NGram(n=3, inputCol="_chars", outputCol="_triples")
-    parts, stages = [], [cut, words, pairs, chars, triples]
+    parts, stages = [], [low, words, pairs, chars, triples]
     for name in ("_words", "_pairs", "_triples"):
         stages += [
             HashingTF(inputCol=name, outputCol=f"{name}_tf", numFeatures=features),
@@ -91,12 +99,26 @@ class RetrainSettings:
 def curate(sources: dict[str, DataFrame | None], dim: DataFrame) -> DataFrame:
     """Union, labelled rows, last per text, canonical labels, no rare classes."""
     rows = cu.drop_unlabelled(cu.union_sources(sources))
-    rows = cu.keep_last(rows, ["text"], ["source_rank", "seq"])
+    rows = cu.keep_last(rows, ["text"], ORDER)
     return cu.drop_rare(lb.map_labels(rows, dim))
 
 
-def retrain(spark: SparkSession, settings: RetrainSettings) -> PipelineModel:
-    """Split again, then train on the training part; a failing step stops the chain.
+@dataclass(frozen=True)
+class Retrained:
+    model: PipelineModel
+    validation: DataFrame
+    holdout: DataFrame
+
+
+def evaluated(model: PipelineModel, rows: DataFrame, label: str) -> DataFrame:
+    """One row of metrics of the offensive class on ``rows`` (text, label)."""
+    truth = F.when(F.col(label).isin(lb.SAFE_LABELS), "Not_offensive").otherwise("Offensive")
+    guessed = predict_binary(rows.select("text", truth.alias("truth")), "text", pipeline_scorer(model))
+    return binary_metrics(guessed, "truth", "predicted", "Offensive")
+
+
+def retrain(spark: SparkSession, settings: RetrainSettings) -> Retrained:
+    """Split again, train, save, and evaluate on both parts left out; a failing step stops the chain.
 
     The curated rows are read by the split's passes and by both writers, so
     they are written once first.
@@ -105,8 +127,8 @@ def retrain(spark: SparkSession, settings: RetrainSettings) -> PipelineModel:
     rows = materialise(curate(settings.sources, dim), "curated")
     train, holdout = sp.stratified_split(rows, "text", "mapped_label", HOLDOUT_SHARE, settings.seed)
     sinks.write_splits(train, holdout, settings.split_path)
-    prepared = materialise(training_prep(train, dim, ["source_rank", "seq"]).select("text", "label_id"), "prepared")
-    fit_on, _ = sp.split(prepared, "text", VALIDATION_SHARE, settings.seed)
-    model = fit_classifier(fit_on, settings.features, settings.max_iter)
+    prepared = materialise(training_prep(train.drop("mapped_label"), dim, ORDER).select("text", "label_id", "mapped_label"), "prepared")
+    fit_on, validation = sp.split(prepared, "text", VALIDATION_SHARE, settings.seed)
+    model = fit_classifier(fit_on.select("text", "label_id"), settings.features, settings.max_iter, max_tokens=MAX_TOKENS)
     save_model(model, settings.model_path)
-    return model
+    return Retrained(model, evaluated(model, validation, "mapped_label"), evaluated(model, holdout, "mapped_label"))

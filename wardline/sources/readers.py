@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,26 @@ def _csv(spark: SparkSession, path: str, schema: T.StructType, sep: str, multi_l
     )
 
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Add ``seq``: files by time of change, then path; then the order within the file.
+
+    A split begins at its byte offset, and each of its rows takes a byte at
+    least, so rows are counted on from there.
+    """
+    rows = rows.withColumns(
+        {
+            "_changed": F.col("_metadata.file_modification_time"),
+            "_file": F.col("_metadata.file_path"),
+            "_row": F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1),
+        }
+    )
+    # One row per file.
+    files = rows.select("_changed", "_file").distinct()
+    files = files.select("_file", (F.row_number().over(Window.orderBy("_changed", "_file")) - 1).cast("long").alias("_rank"))
+    placed = rows.join(files, "_file").withColumn("seq", F.shiftleft("_rank", 43) + F.col("_row"))
+    return placed.drop("_changed", "_file", "_row", "_rank")
+
+
 def _or_empty(read, spark: SparkSession, schema: T.StructType) -> DataFrame:
     try:
         return read()
@@ -30,7 +50,7 @@ def _or_empty(read, spark: SparkSession, schema: T.StructType) -> DataFrame:
 def read_corpus(
     spark: SparkSession, path: str, source: str = "corpus", keep_long: bool = False, multi_line: bool = True
 ) -> DataFrame:
-    """Headerless TSV ``text, label, extra`` plus ``source`` and ``seq`` (row order in the file).
+    """Headerless TSV ``text, label, extra`` plus ``source`` and ``seq`` (order of files and rows).
 
     Rows with too few fields are padded with null; rows with too many are
     dropped unless ``keep_long`` (the override map takes them).  Texts may hold
@@ -41,16 +61,14 @@ def read_corpus(
     rows = _csv(spark, path, schema, "\t", multi_line)
     if not keep_long:
         rows = rows.filter(F.col("_over").isNull())
-    return rows.drop("_over").withColumns({"source": F.lit(source), "seq": F.monotonically_increasing_id()})
+    return _in_order(rows.drop("_over")).select(*(f.name for f in schemas.CORPUS), F.lit(source).alias("source"), "seq")
 
 
 def read_feedback(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Feedback log (6 or 7 comma-separated fields) as corpus rows; a missing file is empty."""
     def read() -> DataFrame:
-        rows = _csv(spark, path, schemas.FEEDBACK, ",", multi_line)
-        return rows.select("text", "label", F.lit("user_feedback").alias("extra")).withColumns(
-            {"source": F.lit("feedback"), "seq": F.monotonically_increasing_id()}
-        )
+        rows = _in_order(_csv(spark, path, schemas.FEEDBACK, ",", multi_line))
+        return rows.select("text", "label", F.lit("user_feedback").alias("extra"), F.lit("feedback").alias("source"), "seq")
 
     empty = T.StructType(schemas.CORPUS.fields + [T.StructField("source", T.StringType()), T.StructField("seq", T.LongType())])
     return _or_empty(read, spark, empty)
@@ -65,7 +83,7 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     """Message history, a JSON array per file, with ``seq`` as order; a bad or missing file is empty."""
     def read() -> DataFrame:
         reader = spark.read.schema(schemas.MESSAGE).options(multiLine=True, mode="DROPMALFORMED")
-        return reader.json(path).withColumn("seq", F.monotonically_increasing_id())
+        return _in_order(reader.json(path))
 
     return _or_empty(read, spark, T.StructType(schemas.MESSAGE.fields + [T.StructField("seq", T.LongType())]))
 

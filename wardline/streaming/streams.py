@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from wardline import schemas
-from wardline.operators import evaluation
+from wardline.operators import curation, evaluation
 from wardline.operators import labels as lb
 from wardline.operators import messages as ms
 from wardline.operators import users as us
@@ -41,9 +41,11 @@ def sink_messages(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """All batches, or those before the given one."""
     try:
-        return spark.read.schema(schema).parquet(f"{path}/batch=*")
+        rows = spark.read.schema(schema + ", batch long").option("basePath", path).parquet(f"{path}/batch=*")
+        return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -66,16 +68,27 @@ def refresh_overrides(spark: SparkSession, path: str) -> DataFrame:
 
 
 def register_users(batch_df: DataFrame, path: str, batch: int, room: str | None = None) -> DataFrame:
-    """Add the users of a micro-batch that are new, and return all users so far."""
+    """Add the users of a micro-batch that are new, and return all users so far.
+
+    New means not in an earlier batch: a batch that runs again finds its own users new again.
+    """
     keys = ([room] if room else []) + ["name"]
     seen = us.first_seen(batch_df, room)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seen.schema.fields)
     spark = batch_df.sparkSession
-    known = _read(spark, path, schema)
+    known = _read(spark, path, schema, batch)
     _write(seen.join(known.select(*keys), keys, "left_anti"), path, batch)
     return _read(spark, path, schema).groupBy(*keys).agg(F.min("first_seen").alias("first_seen"))
 
 
+def save_user_chat(classified: DataFrame, path: str, batch: int) -> None:
+    """The texts of a micro-batch that no earlier one has, each with the label of its first message."""
+    rows = curation.keep_first(classified.select("text", "label", "seq"), ["text"], ["seq"])
+    rows = rows.select("text", "label", F.lit("user_chat").alias("extra"), "seq")
+    known = _read(classified.sparkSession, path, "text string, label string, extra string, seq long", batch)
+    _write(curation.subtract_texts(rows, known), path, batch)
+
+
 def stream_classify(
     stream: DataFrame,
     settings: ClassifierSettings,
@@ -84,9 +97,11 @@ def stream_classify(
     users: str | None = None,
     checkpoint: str | None = None,
     once: bool = False,
+    chat: str | None = None,
 ) -> StreamingQuery:
     """Classify messages as they arrive and write them under ``out``.
 
+    With ``chat``, new texts and their labels are saved there as user chat.
     With ``overrides`` the override table is read anew for each micro-batch;
     with ``users`` the senders are registered before their messages are
     classified.
@@ -99,6 +114,9 @@ def stream_classify(
         if users:
             now = replace(now, users=register_users(ms.with_defaults(batch_df), users, batch, settings.room))
         _write(classify(msgs, now), out, batch)
+        if chat:
+            written = batch_df.sparkSession.read.parquet(f"{out}/batch={batch}")
+            save_user_chat(written, chat, batch)
 
     return sink_messages(stream, run, checkpoint, once)
 
