@@ -75,24 +75,25 @@ def _pieces(path: str, capacity: int, keep_ids: bool) -> Callable:
     def work(batches):
         encode, end = encoder(path).encode, END.to_bytes(4, "little")
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            sizes = np.cumsum([len(t or "") for t in texts])
-            cuts = np.searchsorted(sizes, np.arange(TOGETHER, (sizes[-1] if len(sizes) else 0) + TOGETHER, TOGETHER), side="left") + 1
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             at = 0
-            for cut in sorted(set(np.minimum(cuts, len(texts)).tolist())):
+            while at < len(texts):
+                cut, size = at, 0
+                while cut < len(texts) and (cut == at or size + len(texts[cut]) <= TOGETHER):
+                    size += len(texts[cut])
+                    cut += 1
                 rows, ids = [], []
-                for k, found in zip(range(at, cut), encode([t or "" for t in texts[at:cut]]), strict=True):
+                for k, found in zip(range(at, cut), encode(texts[at:cut]), strict=True):
                     found += end
                     for piece, start in enumerate(range(0, len(found), 4 * capacity)):
                         own = found[start : start + 4 * capacity]
                         rows.append((k, piece, start // 4, len(own) // 4, zlib.crc32(own)))
                         ids.append(own if keep_ids else None)
                 at = cut
-                if rows:
-                    k, *columns = np.array(rows, np.int64).T
-                    columns = [pa.array(columns[0].astype(np.int32)), *map(pa.array, columns[1:])]
-                    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(k)), *columns, pa.array(ids, pa.binary())], names=names)
+                k, *columns = np.array(rows, np.int64).T
+                columns = [pa.array(columns[0].astype(np.int32)), *map(pa.array, columns[1:])]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(k)), *columns, pa.array(ids, pa.binary())], names=names)
 
     return work
 
