@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from wardline.llm.blocks import BASE, blocks, longs, mix, run_fingerprints
 from wardline.llm.components import components
+from wardline.llm.scratch import settled
 from wardline.session import materialise
 
 # Shingles held in the index of one search task, and queries sent to it at once.
@@ -220,7 +221,7 @@ def _candidates(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
     least = F.floor((F.col("n") * percent + 99) / 100)
     live = common.groupBy("class", "n").count().filter(F.col("count") >= 1 + F.floor(least / SPARE)).select("class")
     live = classes.join(live, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    live = materialise(live.select("doc_id").distinct(), "live")
+    live = settled(live.select("doc_id").distinct(), "live")
     texts = docs.select("doc_id", "text").join(live, "doc_id", "left_semi").select("text")
     held = texts.mapInArrow(_shingles(size, percent, True), "class long, n long, key long")
     shared = held.withColumn("held", F.count("*").over(same)).filter("held > 1")
@@ -231,7 +232,7 @@ def _candidates(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
 
 def link_classes(docs: DataFrame, classes: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Components of classes with a link: (node, root)."""
-    sets = materialise(_candidates(docs, classes, size, percent), "sets")
+    sets = settled(_candidates(docs, classes, size, percent), "sets")
     # In the full order the shingles that no other class holds come first and take their share of the prefix.
     prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - (F.col("n") - F.size("keys"))
     prefixes = sets.select("class", F.explode(F.slice("keys", 1, prefix.cast("int"))).alias("key"))

@@ -35,10 +35,12 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.blocks import Block, blocks, longs, merged, without
+from wardline.llm.blocks import Block, blocks, longs, merged, mix, without
+from wardline.llm.scratch import settled
 from wardline.session import materialise
 
 LENGTH = 100
@@ -82,7 +84,12 @@ def _block_runs(block: Block, length: int, gram: int) -> tuple[np.ndarray, ...]:
 
 
 def _runs(length: int, gram: int) -> Callable:
-    """Rows (gram, whole, doc_id, first, windows, again); again: an earlier run of the batch is equal."""
+    """Rows (gram, whole, doc_id, place), a run each.
+
+    ``place`` is the first window and, in the low byte, the number of windows.
+    It is inverted if an earlier run of the batch is equal; such a run needs no
+    bucket, and gets one of its own.
+    """
 
     def work(batches):
         for batch in batches:
@@ -94,8 +101,10 @@ def _runs(length: int, gram: int) -> Callable:
             order = np.lexsort((first, doc, whole))
             again = np.zeros(len(order), bool)
             again[order[1:]] = whole[order[1:]] == whole[order[:-1]]
-            columns = [longs(grams), longs(whole), longs(doc), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(again)]
-            yield pa.RecordBatch.from_arrays(columns, names=["gram", "whole", "doc_id", "first", "windows", "again"])
+            place = first << 8 | count
+            bucket = np.where(again, mix(grams ^ mix(doc.astype(np.uint64))), grams)
+            columns = [longs(bucket), longs(whole), longs(doc), longs(np.where(again, ~place, place))]
+            yield pa.RecordBatch.from_arrays(columns, names=["gram", "whole", "doc_id", "place"])
 
     return work
 
@@ -160,14 +169,23 @@ def _refine(length: int) -> Callable:
     return work
 
 
+def _packed(batches):
+    """Texts as compressed bytes, for the shuffles."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        packed = [pack((t or "").encode()) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+
+
 def _digest(length: int, last: bool) -> Callable:
     """Digests of documents whose repeated windows are all known; otherwise the text and the runs to refine."""
 
     def work(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                data = (row["text"] or "").encode()
+                data = unpack(row["packed"])
                 runs = row["runs"] or []
                 ranges = [(x["low"], x["high"]) for x in runs if last or not x["open"]] + [(x["low"], x["high"]) for x in row.get("known") or []]
                 opened = [] if last else [x for x in runs if x["open"]]
@@ -182,7 +200,7 @@ def _digest(length: int, last: bool) -> Callable:
                         "n_spans": len(starts),
                         "kept_sha256": None if opened else hashlib.sha256(kept).hexdigest(),
                         "kept": kept if last or not opened else None,
-                        "text": row["text"] if opened else None,
+                        "packed": row["packed"] if opened else None,
                         "known": [{"low": a, "high": b} for a, b in ranges],
                         "opened": [
                             {"gram": x["gram"], "first": x["low"], "windows": x["high"] - x["low"] + 1, "bytes": data[x["low"] : x["high"] + length]}
@@ -199,26 +217,26 @@ _RANGE = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 _OPEN = pa.list_(pa.struct([("gram", pa.int64()), ("first", pa.int64()), ("windows", pa.int64()), ("bytes", pa.binary())]))
 _ARROW = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    + [("kept", pa.binary()), ("text", pa.string()), ("known", _RANGE), ("opened", _OPEN)]
+    + [("kept", pa.binary()), ("packed", pa.binary()), ("known", _RANGE), ("opened", _OPEN)]
 )
 _SCHEMA = (
-    "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, text string, "
+    "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, packed binary, "
     "known array<struct<low: long, high: long>>, opened array<struct<gram: long, first: long, windows: long, bytes: binary>>"
 )
 
 
 def _shared_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc_id, runs): runs whose q-gram occurs elsewhere, each repeated as a whole or open."""
-    runs = docs.mapInArrow(_runs(length, gram), "gram long, whole long, doc_id long, first int, windows int, again boolean")
-    runs = runs.withColumn("salt", F.when(F.col("again"), F.col("doc_id")))
-    bucket = Window.partitionBy("gram", "salt")
-    place = F.struct("doc_id", "first")
-    runs = runs.withColumn("held", F.count("*").over(bucket)).filter("again OR held > 1")
+    runs = docs.mapInArrow(_runs(length, gram), "gram long, whole long, doc_id long, place long")
+    bucket = Window.partitionBy("gram")
+    where = F.struct("doc_id", "place")
+    runs = runs.withColumn("held", F.count("*").over(bucket)).filter("place < 0 OR held > 1")
     runs = runs.withColumn("mixed", F.min("whole").over(bucket) < F.max("whole").over(bucket))
-    runs = runs.withColumn("lead", F.min(place).over(Window.partitionBy("gram", "salt", "whole")) == place)
-    runs = runs.withColumn("open", ~F.col("again") & F.col("lead")).filter("NOT open OR mixed")
-    low = F.col("first").cast("long")
-    run = F.struct("gram", low.alias("low"), (low + F.col("windows") - 1).alias("high"), "open")
+    runs = runs.withColumn("lead", F.min(where).over(Window.partitionBy("gram", "whole")) == where)
+    runs = runs.withColumn("open", (F.col("place") >= 0) & F.col("lead")).filter("NOT open OR mixed")
+    place = F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))
+    low = F.shiftright(place, 8)
+    run = F.struct("gram", low.alias("low"), (low + place.bitwiseAND(255) - 1).alias("high"), "open")
     return runs.groupBy("doc_id").agg(F.collect_list(run).alias("runs"))
 
 
@@ -244,11 +262,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_b
     """
     docs = docs.select("doc_id", "text")
     runs = _shared_runs(docs.filter("doc_id IS NOT NULL"), length, gram)
-    first = docs.join(runs, "doc_id", "left").mapInArrow(_digest(length, False), _SCHEMA)
-    first = materialise(first if keep_bytes else first.drop("kept"), "digests")
+    packed = docs.mapInArrow(_packed, "doc_id long, packed binary")
+    first = packed.join(runs, "doc_id", "left").mapInArrow(_digest(length, False), _SCHEMA)
+    first = settled(first if keep_bytes else first.drop("kept"), "digests")
     opened = first.select("doc_id", F.explode("opened").alias("run")).select("doc_id", "run.*")
     known = _refined(opened, length).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    rest = first.filter(F.size("opened") > 0).select("doc_id", "text", "known").join(known, "doc_id", "left")
+    rest = first.filter(F.size("opened") > 0).select("doc_id", "packed", "known").join(known, "doc_id", "left")
     rest = rest.mapInArrow(_digest(length, True), _SCHEMA)
     columns: list[str | Column] = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_bytes else [])]
     return first.filter(F.size("opened") == 0).select(columns).unionByName(rest.select(columns))
