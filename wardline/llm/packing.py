@@ -16,6 +16,7 @@ Other columns of the input are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable
 
@@ -34,11 +35,17 @@ TOGETHER = 1 << 20
 # Rows of one length that are numbered together.
 NUMBERED = 100_000
 
+# A word of Latin letters and punctuation after it: the tokenizer lower-cases it and divides it there.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of texts from a tokenizer that never joins what white space divides; each different word is encoded once."""
+    """Ids of texts from a tokenizer that never joins what white space divides; each different word is encoded once.
+
+    The tokenizer must lower-case its input and divide letters from punctuation.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,7 +58,10 @@ class WordEncoder:
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         new = set().union(*split).difference(self.known)
         known = self.known if len(self.known) + len(new) <= WORDS else dict(self.known)
-        self._learn(sorted(new), known)
+        parts = {w: (m[1].lower(), m[2]) for w in new if (m := _PLAIN.fullmatch(w))}
+        needed = (new - parts.keys()).union(*parts.values())
+        self._learn(sorted(needed.difference(known)), known)
+        known.update((w, known[a] + known[b]) for w, (a, b) in parts.items())
         return [b"".join([known[w] for w in words]) for words in split]
 
     def _learn(self, words: list[str], known: dict[str, bytes]) -> None:
