@@ -200,6 +200,19 @@ def test_language(spark, docs, nothing):
     assert li.language_id(nothing).count() == 0
 
 
+def test_language_sample_of_frequent_labels_and_repeated_rows(spark):
+    """A frequent label gives exactly the rows with the smallest hashes; one row repeated often counts once."""
+    rows = spark.range(20_000).selectExpr("id AS key", "if(id % 20 = 0, 'rare', 'hot') AS label", "concat('text ', id) AS text")
+    copies = spark.range(3_000).selectExpr("-1L AS key", "'hot' AS label", "concat('copy ', id % 7) AS text")
+    both = rows.unionByName(copies)
+    sample = li.training_sample(both)
+    hashes = both.select("key", "label").distinct().selectExpr("label", "xxhash64(key) AS h", "key").collect()
+    for label in ("hot", "rare"):
+        wanted = [r["key"] for r in sorted((r for r in hashes if r["label"] == label), key=lambda r: (r["h"], r["key"]))][: li.PER_LANGUAGE]
+        found = [k for k, x in zip(sample["key"].to_pylist(), sample["label"].to_pylist(), strict=True) if x == label]
+        assert sorted(found) == sorted(wanted)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(9)
     vectors = [(i, rng.normal(size=8).tolist()) for i in range(260)] + [(260 + i, [0.5] * 8) for i in range(9)]

@@ -16,7 +16,8 @@ and other columns are never inputs of a prediction.
 Nulls and edge cases: a null text, and one without a letter, is ``und`` with score
 0 and rejected.  Rows with a null label are not learned from.  A text too short
 for an n-gram gets the prior.  Without any labelled row everything is ``und``.
-Repeated rows may be sampled repeatedly and are predicted once each.
+Repeated rows are learned from once, with the smallest of the texts that share key and
+label, and are predicted once each.
 """
 
 from __future__ import annotations
@@ -104,11 +105,17 @@ def _features(batches):
 def training_sample(rows: DataFrame) -> pa.Table:
     """Features of the sampled rows of ``rows`` (key, label, text); at most PER_LANGUAGE * LANGUAGES rows of at most BUCKETS entries."""
     rows = rows.filter(F.col("label").isNotNull() & F.col("key").isNotNull() & F.col("text").isNotNull())
-    common = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).select("label")
+    sizes = rows.groupBy("label").agg(F.count("*").alias("rows"), F.approx_count_distinct("key").alias("keys"))
+    common = sizes.orderBy(F.desc("rows"), "label").limit(LANGUAGES)
+    # About four times the rows wanted have a hash in the lowest such share: only they are ranked, however frequent the label.
+    share = F.least(F.lit(1.0), 4 * PER_LANGUAGE / F.col("keys"))
+    low = F.xxhash64("key").cast("double") <= (2 * share - 1) * 2.0**63
+    near = rows.select("key", "label").join(F.broadcast(common), "label").filter(low).select("key", "label").distinct()
     order = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key")
-    ranked = rows.select("key", "label").join(common, "label", "left_semi").withColumn("place", F.row_number().over(order))
-    chosen = materialise(ranked.filter(F.col("place") <= PER_LANGUAGE).select("key", "label").distinct(), "sample")
-    sampled = rows.join(F.broadcast(chosen), ["key", "label"]).select("key", "label", "text")
+    chosen = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PER_LANGUAGE).drop("place")
+    sampled = rows.join(F.broadcast(materialise(chosen, "sample")), ["key", "label"])
+    # Repeated rows of one key must not enlarge the sample.
+    sampled = sampled.groupBy("key", "label").agg(F.min("text").alias("text"))
     return sampled.mapInArrow(_features, "key long, label string, at binary, weights binary").toArrow()
 
 
