@@ -127,3 +127,24 @@ def test_rare_classes_go(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",)], "mapped_label string")
     assert rows(cu.drop_rare(df)) == [("a",), ("a",)]
     assert rows(cu.label_distribution(df)) == [("a", 2), ("b", 1)]
+
+
+def test_digest_joins_keep_nulls_and_repeats(spark):
+    a = spark.createDataFrame([(1, "Alpha"), (2, " alpha "), (3, None), (4, "beta"), (4, "beta")], "id int, text string")
+    b = spark.createDataFrame([("ALPHA",), (None,), ("beta",)], "text string")
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    assert ids(cu.overlap(a, b)) == [1, 2, 4, 4] and ids(cu.remove_overlap(a, b)) == [3]
+    assert ids(cu.subtract_texts(a, b)) == [1, 2, 3] and cu.subtract_texts(a, b).columns == ["id", "text"]
+
+
+def test_scratch_scope_deletes_what_was_written_inside(spark):
+    from pathlib import Path
+
+    from wardline.session import materialise, scratch_scope
+
+    with scratch_scope(spark):
+        path = materialise(spark.range(5), "inside").inputFiles()[0].removeprefix("file://")
+        assert Path(path).exists()
+    assert not Path(path).parent.exists()
+    kept = materialise(spark.range(5), "outside").inputFiles()[0].removeprefix("file://")
+    assert Path(kept).exists()

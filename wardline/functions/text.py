@@ -52,6 +52,11 @@ def norm_key(c: Column) -> Column:
     return F.lower(strip(c))
 
 
+def digest(c: Column) -> Column:
+    """32 bytes that stand for a text as a join or state key, so that whole texts need not travel as keys."""
+    return F.unhex(F.sha2(c, 256))
+
+
 def is_blank(c: Column) -> Column:
     return F.coalesce(strip(c) == "", F.lit(True))
 

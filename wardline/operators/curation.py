@@ -7,6 +7,7 @@ rather than row numbers, which would sort a hot key in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -102,17 +103,17 @@ def split_sizes(named: dict[str, DataFrame]) -> DataFrame:
 
 def overlap(test: DataFrame, train: DataFrame, col: str = "text") -> DataFrame:
     """Test rows whose text, case and outer space aside, stands in the training data."""
-    return _by_key(test, train, col, "left_semi")
+    return by_digest(test, train, col, "left_semi", tx.norm_key)
 
 
 def remove_overlap(test: DataFrame, train: DataFrame, col: str = "text") -> DataFrame:
-    return _by_key(test, train, col, "left_anti")
+    return by_digest(test, train, col, "left_anti", tx.norm_key)
 
 
-def _by_key(test: DataFrame, train: DataFrame, col: str, how: str) -> DataFrame:
-    keyed = test.withColumn("_key", tx.norm_key(F.col(col)))
-    keys = train.filter(F.col(col).isNotNull()).select(tx.norm_key(F.col(col)).alias("_key")).distinct()
-    return keyed.join(keys, "_key", how).drop("_key")
+def by_digest(a: DataFrame, b: DataFrame, col: str, how: str, key: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """Semi or anti join on a text column: one copy of the texts of ``a`` is shuffled, and digests of those of ``b``."""
+    keys = b.filter(F.col(col).isNotNull()).select(tx.digest(key(F.col(col))).alias("_key")).distinct()
+    return a.withColumn("_key", tx.digest(key(F.col(col)))).join(keys, "_key", how).select(*a.columns)
 
 
 def intersect_texts(a: DataFrame, b: DataFrame, col: str = "text") -> DataFrame:
@@ -123,7 +124,7 @@ def intersect_texts(a: DataFrame, b: DataFrame, col: str = "text") -> DataFrame:
 
 def subtract_texts(a: DataFrame, b: DataFrame, col: str = "text") -> DataFrame:
     """Rows of ``a`` whose exact text is not in ``b``; duplicates in ``a`` stay."""
-    return a.join(b.select(col).distinct(), col, "left_anti")
+    return by_digest(a, b, col, "left_anti")
 
 
 def union_generated(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.session import pinned
+from wardline.session import materialise, pinned
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -114,9 +114,11 @@ def score_histogram(df: DataFrame, score: str, correct: str, bins: int = 20) ->
     """Counts in equal bins over each subset's own range; the last bin is closed.
 
     A subset with a single value spreads half a unit to each side.  Empty bins
-    are listed with zero.
+    are listed with zero.  ``df`` is evaluated once: its counts per subset and
+    score are written here, and ranges and bins are found from them.
     """
-    ranges = df.groupBy(correct).agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
+    scores = materialise(df.groupBy(correct, score).agg(F.count("*").alias("n")), "scores")
+    ranges = scores.groupBy(correct).agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
     same = F.col("hi") == F.col("lo")
     ranges = ranges.select(
         correct,
@@ -125,7 +127,7 @@ def score_histogram(df: DataFrame, score: str, correct: str, bins: int = 20) ->
     )
     place = F.least(F.floor((F.col(score) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
     ranges = pinned(ranges)  # one row per subset
-    counts = df.join(ranges, correct).groupBy(correct, place.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    counts = scores.join(ranges, correct).groupBy(correct, place.cast("int").alias("bin")).agg(F.sum("n").alias("n"))
     grid = ranges.select(correct, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / bins
     return grid.join(counts, [correct, "bin"], "left").select(

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.operators import evaluation
+from wardline.operators.curation import by_digest
 from wardline.operators.labels import label_is_safe
 
 
 def pending_review(items: DataFrame, verified: DataFrame, col: str = "text") -> DataFrame:
-    return items.join(verified.select(col).distinct(), col, "left_anti")
+    return by_digest(items, verified, col, "left_anti")
 
 
 def next_item(

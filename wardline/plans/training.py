@@ -97,10 +97,14 @@ class RetrainSettings:
 
 
 def curate(sources: dict[str, DataFrame | None], dim: DataFrame) -> DataFrame:
-    """Union, labelled rows, last per text, canonical labels, no rare classes."""
+    """Union, labelled rows, last per text, canonical labels, no rare classes.
+
+    Class counts and later the passes of a split read the result several times,
+    so it is written here: the sources are read and deduplicated once.
+    """
     rows = cu.drop_unlabelled(cu.union_sources(sources))
     rows = cu.keep_last(rows, ["text"], ORDER)
-    return cu.drop_rare(lb.map_labels(rows, dim))
+    return cu.drop_rare(materialise(lb.map_labels(rows, dim), "curated"))
 
 
 @dataclass(frozen=True)
@@ -118,13 +122,9 @@ def evaluated(model: PipelineModel, rows: DataFrame, label: str) -> DataFrame:
 
 
 def retrain(spark: SparkSession, settings: RetrainSettings) -> Retrained:
-    """Split again, train, save, and evaluate on both parts left out; a failing step stops the chain.
-
-    The curated rows are read by the split's passes and by both writers, so
-    they are written once first.
-    """
+    """Split again, train, save, and evaluate on both parts left out; a failing step stops the chain."""
     dim = lb.label_dim(spark)
-    rows = materialise(curate(settings.sources, dim), "curated")
+    rows = curate(settings.sources, dim)
     train, holdout = sp.stratified_split(rows, "text", "mapped_label", HOLDOUT_SHARE, settings.seed)
     sinks.write_splits(train, holdout, settings.split_path)
     prepared = materialise(training_prep(train.drop("mapped_label"), dim, ORDER).select("text", "label_id", "mapped_label"), "prepared")

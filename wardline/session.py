@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_type
 
-# Settings that matter for the plans in this package.  Partition counts are
-# left to adaptive execution: it starts wide and coalesces to the advisory size.
+# Settings that matter for the plans in this package.  Adaptive execution coalesces
+# shuffle partitions to the advisory size; build_session says how many it starts from.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -19,12 +22,19 @@ SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # State on disk: it may outgrow an executor's heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
+SHUFFLE_PARTITION_BYTES = 128 << 20
 
 
-def build_session(app: str = "wardline", **extra: str) -> SparkSession:
+def build_session(app: str = "wardline", input_bytes: int | None = None, **extra: str) -> SparkSession:
+    """A session; with ``input_bytes``, shuffles start from one partition for each 128 MB of the largest input, but at least 200."""
     builder = SparkSession.builder.appName(app)
-    for key, value in {**SETTINGS, **extra}.items():
+    wide = {}
+    if input_bytes is not None:
+        wide["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(max(200, -(-input_bytes // SHUFFLE_PARTITION_BYTES)))
+    for key, value in {**SETTINGS, **wide, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -83,8 +93,27 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
 
 
+_scope = threading.local()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what this thread has materialised inside; results must be written by then."""
+    outer, _scope.paths = getattr(_scope, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _scope.paths = _scope.paths, outer
+        context = spark.sparkContext
+        for path in paths:
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a frame that several plans read, and read it back: computed once, safe from lost executors."""
     path = scratch_dir(df.sparkSession, name)
+    if getattr(_scope, "paths", None) is not None:
+        _scope.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,12 +17,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from wardline import schemas
+from wardline.functions import text as tx
 from wardline.operators import curation, evaluation
 from wardline.operators import labels as lb
 from wardline.operators import messages as ms
 from wardline.operators import users as us
 from wardline.plans.classify import ClassifierSettings, classify
-from wardline.session import scratch_dir
+from wardline.session import scratch_dir, scratch_scope
 
 
 def stream_messages(
@@ -113,7 +114,8 @@ def stream_classify(
             now = replace(now, overrides=refresh_overrides(batch_df.sparkSession, overrides))
         if users:
             now = replace(now, users=register_users(ms.with_defaults(batch_df), users, batch, settings.room))
-        _write(classify(msgs, now), out, batch)
+        with scratch_scope(batch_df.sparkSession):
+            _write(classify(msgs, now), out, batch)
         if chat:
             written = batch_df.sparkSession.read.parquet(f"{out}/batch={batch}")
             save_user_chat(written, chat, batch)
@@ -139,11 +141,11 @@ def stream_active_users(
 def stream_dedupe(stream: DataFrame, key: str = "text", watermark: str | None = None, ts: str = "ts") -> DataFrame:
     """Each distinct text once.
 
-    Exact over all time keeps every text in state; with a watermark, state is
-    bounded and texts count as new again after that time.
+    Exact over all time keeps a digest of every text in state; with a watermark,
+    state is bounded and texts count as new again after that time.
     """
     if watermark is None:
-        return stream.dropDuplicates([key])
+        return stream.withColumn("_key", tx.digest(F.col(key))).dropDuplicates(["_key"]).drop("_key")
     return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
 
 
