@@ -105,6 +105,35 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_read(spark, sf_dir, "documents"))
 
 
+OP10_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+members AS (
+  SELECT doc_id, list_sort(list_distinct(CASE
+    WHEN w IS NULL OR len(w) = 0 THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS shingles
+  FROM texts),
+named AS (SELECT doc_id, len(shingles) AS n, md5(array_to_string(shingles, chr(10))) AS class, shingles FROM members),
+classes AS (
+  SELECT class, min(n) AS n, min(doc_id) AS first, any_value(shingles) AS shingles
+  FROM named WHERE n > 0 AND doc_id IS NOT NULL GROUP BY class),
+held AS (SELECT first, n, unnest(shingles) AS shingle FROM classes),
+links AS (
+  SELECT a.first AS a, b.first AS b FROM held a JOIN held b ON a.shingle = b.shingle AND a.first <> b.first
+    AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.first, b.first, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reached AS (
+  SELECT first AS node, first AS root FROM classes
+  UNION
+  SELECT l.b, r.root FROM reached r JOIN links l ON l.a = r.node WHERE r.root < l.b),
+roots AS (SELECT node, min(root) AS root FROM reached GROUP BY node)
+SELECT m.doc_id, CAST(m.n AS BIGINT) AS n_shingles, coalesce(r.root, m.doc_id) AS component_id
+FROM named m LEFT JOIN classes c ON m.class = c.class AND m.n > 0 AND m.doc_id IS NOT NULL LEFT JOIN roots r ON r.node = c.first
+"""
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -117,4 +146,4 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLES: dict[str, str] = {"op6_pivot_search": OP6_SQL, "op9_sharding": OP9_SQL}
+ORACLES: dict[str, str] = {"op6_pivot_search": OP6_SQL, "op9_sharding": OP9_SQL, "op10_jaccard_join": OP10_SQL}
