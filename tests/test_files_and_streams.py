@@ -155,6 +155,23 @@ def test_first_batch_that_runs_twice_keeps_its_users(spark, tmp_path):
     assert sorted(rows(spark.read.parquet(chat).select("text"))) == sorted(rows(df.select("text").distinct()))
 
 
+def test_snapshots_give_what_all_batches_give(spark, tmp_path):
+    users, overrides = str(tmp_path / "users"), str(tmp_path / "overrides")
+    chat = "room string, username string, seq long"
+    for batch in (0, 1, 2, 2, 3, 4, 4, 5):  # some run twice, one of them with a snapshot
+        sent = spark.createDataFrame([("r", f"user {batch % 4}", batch), ("r", f"user {batch}", batch)], chat)
+        found = st.register_users(sent, users, batch, "room", every=2)
+        assert sorted((r["name"], r["first_seen"]) for r in found.collect()) == [(f"user {i}", i) for i in range(batch + 1)]
+        forced = spark.createDataFrame([("same", f"label {batch}", batch), (f"key {batch}", "x", batch)], "key string, label string, seq long")
+        st.append_overrides(forced, overrides, batch, every=2)
+    now = st.refresh_overrides(spark, overrides)
+    assert sorted(rows(now)) == sorted([("same", "label 5", 5), *((f"key {i}", "x", i) for i in range(6))])
+    for path, frame in ((users, found), (overrides, now)):
+        assert st._snapshots(spark, path) == [1, 3]
+        read = {name.rsplit("/", 2)[1] for name in frame.inputFiles()}
+        assert "upto=3" in read and "upto=1" not in read
+
+
 def test_order_of_rows_over_files(spark, tmp_path):
     import os
 

@@ -25,6 +25,9 @@ from wardline.operators import users as us
 from wardline.plans.classify import ClassifierSettings, classify
 from wardline.session import scratch_dir, scratch_scope
 
+# Micro-batches after which overrides and users are written as one table.
+SNAPSHOT_EVERY = 100
+
 
 def stream_messages(
     spark: SparkSession, path: str, schema: T.StructType = schemas.INCOMING, fmt: str = "parquet", **options
@@ -42,33 +45,61 @@ def sink_messages(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _snapshots(spark: SparkSession, path: str) -> list[int]:
+    """Batches up to which a complete snapshot exists."""
+    context = spark.sparkContext
+    done = context._jvm.org.apache.hadoop.fs.Path(f"{path}/_snapshots/upto=*/_SUCCESS")
+    found = done.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(done) or []
+    return [int(x.getPath().getParent().getName().split("=")[1]) for x in found]
+
+
 def _read(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """All batches, or those before the given one."""
+    """All batches, or those before the given one: the last snapshot of them, and the batches since."""
+    upto = max((x for x in _snapshots(spark, path) if before is None or x < before), default=None)
     try:
         rows = spark.read.schema(schema + ", batch long").option("basePath", path).parquet(f"{path}/batch=*")
-        return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+    if before is not None:
+        rows = rows.filter(F.col("batch") < before)
+    if upto is None:
+        return rows.drop("batch")
+    rows = rows.filter(F.col("batch") > upto).drop("batch")
+    return rows.unionByName(spark.read.schema(schema).parquet(f"{path}/_snapshots/upto={upto}"))
+
+
+def _snapshot(spark: SparkSession, path: str, batch: int, every: int, table: Callable[[int], DataFrame]) -> None:
+    """Every so many batches, write ``table(batch)``, the rows of all batches before this one, as one table.
+
+    Those batches are complete and do not run again, so a replay finds the same
+    snapshot; a reader never needs to open their files after that.
+    """
+    if batch and batch % every == 0 and batch - 1 not in _snapshots(spark, path):
+        table(batch).write.mode("overwrite").parquet(f"{path}/_snapshots/upto={batch - 1}")
 
 
 def _write(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def append_overrides(rows: DataFrame, path: str, batch: int) -> None:
-    """``(key, label, seq)`` rows that take effect with the next micro-batch."""
+def append_overrides(rows: DataFrame, path: str, batch: int, every: int = SNAPSHOT_EVERY) -> None:
+    """``(key, label, seq)`` rows that take effect with the next micro-batch.  Batch numbers ascend."""
+    spark = rows.sparkSession
+    _snapshot(spark, path, batch, every, lambda before: refresh_overrides(spark, path, before))
     _write(rows.select("key", "label", "seq"), path, batch)
 
 
-def refresh_overrides(spark: SparkSession, path: str) -> DataFrame:
-    """The override table as it is now: the last label per key."""
-    rows = _read(spark, path, "key string, label string, seq long")
+def refresh_overrides(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The override table as it is now, or was before a batch: the last label per key."""
+    rows = _read(spark, path, "key string, label string, seq long", before)
     return rows.groupBy("key").agg(F.max_by("label", "seq").alias("label"), F.max("seq").alias("seq"))
 
 
-def register_users(batch_df: DataFrame, path: str, batch: int, room: str | None = None) -> DataFrame:
+def register_users(
+    batch_df: DataFrame, path: str, batch: int, room: str | None = None, every: int = SNAPSHOT_EVERY
+) -> DataFrame:
     """Add the users of a micro-batch that are new, and return all users so far.
 
     New means not in an earlier batch: a batch that runs again finds its own users new again.
@@ -77,9 +108,11 @@ def register_users(batch_df: DataFrame, path: str, batch: int, room: str | None
     seen = us.first_seen(batch_df, room)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in seen.schema.fields)
     spark = batch_df.sparkSession
+    users = lambda before: _read(spark, path, schema, before).groupBy(*keys).agg(F.min("first_seen").alias("first_seen"))
+    _snapshot(spark, path, batch, every, users)
     known = _read(spark, path, schema, batch)
     _write(seen.join(known.select(*keys), keys, "left_anti"), path, batch)
-    return _read(spark, path, schema).groupBy(*keys).agg(F.min("first_seen").alias("first_seen"))
+    return users(None)
 
 
 def save_user_chat(classified: DataFrame, path: str, batch: int) -> None:
