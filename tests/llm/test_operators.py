@@ -151,6 +151,37 @@ def test_sentence_dedup(docs, nothing):
     assert sd.sentence_dedup(docs).columns == docs.columns and sd.sentence_dedup(nothing).count() == 0
 
 
+def passages(kind, rng, words, n=40, size=50):
+    """Pairs of texts of their own that share ``size`` words, somewhere."""
+    join = "" if kind == "spaceless" else " "
+    if kind == "spaceless":
+        words = [chr(c) for c in range(0x4E00, 0x5200)]
+    style = {"punctuated": lambda k, w: f"{w}.", "shouted": lambda k, w: f"{w}!!" if k % 5 else w, "sixteen": lambda k, w: f"{w}." if k % 16 == 9 else w}
+    out = []
+    for k in range(n):
+        say = lambda m: [style.get(kind, lambda k, w: w)(i, w) for i, w in enumerate(rng.choice(words, m))]
+        shared = say(size)
+        out.append((join.join(shared), [join.join([*say(rng.integers(1, 90)), *shared, *say(rng.integers(1, 90))]) for _ in range(2)]))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["bare", "punctuated", "shouted", "sixteen", "spaceless"])
+def test_sentence_dedup_finds_passages_at_any_offset(spark, kind):
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(5000)]
+    pairs = passages(kind, rng, words)
+    texts = [(2 * i + j, t) for i, (_, both) in enumerate(pairs) for j, t in enumerate(both)]
+    found = dict(rows(sd.sentence_dedup(spark.createDataFrame(texts, "doc_id long, text string"))))
+    join = "" if kind == "spaceless" else " "
+    for i, (shared, both) in enumerate(pairs):
+        assert found[2 * i] == both[0]
+        before, after = both[1].split(shared)
+        kept = found[2 * i + 1]
+        assert kept.startswith(before) and kept.endswith(after)
+        left = kept[len(before) : len(kept) - len(after)]
+        assert (len(left) if join == "" else len(left.split())) <= 20
+
+
 def test_quality_counts(docs, nothing):
     for r in qr.quality_rules(docs).collect():
         text = corpus()[r["doc_id"]][1] or ""
