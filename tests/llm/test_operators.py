@@ -151,6 +151,17 @@ def test_sentence_dedup(docs, nothing):
     assert sd.sentence_dedup(docs).columns == docs.columns and sd.sentence_dedup(nothing).count() == 0
 
 
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_repeated_rows_lose_what_one_row_loses(spark, docs, parts):
+    # One partition: the copies meet in one batch; several: in batches of their own.
+    twice = docs.coalesce(1).union(docs.coalesce(1)).coalesce(1) if parts == 1 else docs.union(docs).repartition(parts, F.rand(1))
+    for once, both in ((sd.sentence_dedup(docs, counts=True), sd.sentence_dedup(twice, counts=True)), (sx.suffix_dedup(docs, keep_bytes=False), sx.suffix_dedup(twice, keep_bytes=False))):
+        key = lambda r: (r[0], str(r))
+        want = sorted([tuple(r) for r in once.collect()] * 2, key=key)
+        assert sorted([tuple(r) for r in both.collect()], key=key) == want
+
+
 def passages(kind, rng, words, n=40, size=50):
     """Pairs of texts of their own that share ``size`` words, somewhere."""
     join = "" if kind == "spaceless" else " "

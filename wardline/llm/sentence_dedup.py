@@ -22,7 +22,7 @@ shuffle, so a run that very many documents share is a few rows.
 Nulls and edge cases: a null, empty or blank text has no sentence and stays as
 it is.  A text of fewer than ``LEAST`` words has no run.  Rows with a null
 doc_id stay as they are and are compared with nothing; rows that share a doc_id
-must have one text and are read as one document.  Other columns pass through.
+must have one text and are read as one document, so both lose the same.  Other columns pass through.
 """
 
 from __future__ import annotations
@@ -132,8 +132,11 @@ def _runs(run: int) -> Callable:
                 continue
             words, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((at, doc, words))
-            again = np.zeros(len(order), bool)
-            again[order[1:]] = words[order[1:]] == words[order[:-1]]
+            words, doc, at = words[order], doc[order], at[order]
+            new, same = np.ones(len(words), bool), words[1:] == words[:-1]
+            new[1:] = ~same | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])  # repeated rows give equal runs
+            again = np.append(False, same)[: len(new)][new]
+            words, doc, at = words[new], doc[new], at[new]
             words = np.where(again, mix(words ^ mix(doc.astype(np.uint64))), words)
             columns = [longs(words), longs(doc), pa.array(np.where(again, ~at, at).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["run", "doc_id", "at"])

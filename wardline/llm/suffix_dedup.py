@@ -99,8 +99,11 @@ def _runs(length: int, gram: int) -> Callable:
                 continue
             doc, first, count, grams, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((first, doc, whole))
-            again = np.zeros(len(order), bool)
-            again[order[1:]] = whole[order[1:]] == whole[order[:-1]]
+            doc, first, count, grams, whole = (x[order] for x in (doc, first, count, grams, whole))
+            new, same = np.ones(len(whole), bool), whole[1:] == whole[:-1]
+            new[1:] = ~same | (doc[1:] != doc[:-1]) | (first[1:] != first[:-1])  # repeated rows give equal runs
+            again = np.append(False, same)[: len(new)][new]
+            doc, first, count, grams, whole = (x[new] for x in (doc, first, count, grams, whole))
             place = first << 8 | count
             bucket = np.where(again, mix(grams ^ mix(doc.astype(np.uint64))), grams)
             columns = [longs(bucket), longs(whole), longs(doc), longs(np.where(again, ~place, place))]
@@ -147,6 +150,7 @@ def _refine(length: int) -> Callable:
     """Repeated windows of the runs of a group; the first windows of a divided q-gram, which are not final, with their identity."""
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["doc_id", "first"])
         count = rows["windows"].to_numpy()
         text = np.frombuffer(b"".join(rows["bytes"]), np.uint8)
         base = np.concatenate(([0], np.cumsum([len(x) for x in rows["bytes"]])[:-1]))
@@ -237,7 +241,7 @@ def _shared_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     place = F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))
     low = F.shiftright(place, 8)
     run = F.struct("gram", low.alias("low"), (low + place.bitwiseAND(255) - 1).alias("high"), "open")
-    return runs.groupBy("doc_id").agg(F.collect_list(run).alias("runs"))
+    return runs.groupBy("doc_id").agg(F.collect_set(run).alias("runs"))
 
 
 def _refined(opened: DataFrame, length: int) -> DataFrame:
