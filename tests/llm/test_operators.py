@@ -227,6 +227,25 @@ def test_quality_rejects_outliers(spark):
     assert {r["doc_id"] for r in qr.quality_rules(df).filter("kept").collect()} == set(range(200))
 
 
+def test_each_quality_statistic_rejects_alone(spark):
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefgh"), 2 + rng.integers(8))) for _ in range(500)]
+    say = lambda n: rng.choice(words, n).tolist()
+    clean = [" ".join(say(60 + rng.integers(200))) for _ in range(300)] + [" ".join(say(25)) for _ in range(10)]
+    first, lines = say(300), [" ".join(say(7)) for _ in range(30)]
+    odd = [
+        " ".join(w + "#" * (k % 4 == 0) for k, w in enumerate(say(150))),  # a symbol to four words
+        " ".join([*first, *first[5:55]]),  # 100 of 350 words are repeated
+        "\n".join([*lines, *(x for k in range(4) for x in ("so it is", "and was"))]),  # a quarter of the lines
+        " ".join(w + "abcd" for w in say(150)),
+        " ".join(say(20_000)),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(clean + odd)], "doc_id long, text string, lang string, source string")
+    found = qr.quality_rules(df).collect()
+    assert not any(r["base_failed"] for r in found)
+    assert {r["doc_id"] for r in found if r["kept"]} == set(range(len(clean)))
+
+
 def test_language(spark, docs, nothing):
     rng = np.random.default_rng(8)
     speech = {"aa": "kalimu soto veda rini".split(), "bb": "worg thrak stelm blunk".split(), "cc": "ñandú qué señor año".split()}

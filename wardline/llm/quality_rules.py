@@ -18,7 +18,8 @@ collected, however large.
 
 A statistic that hardly varies in a group (most texts have no symbols) has
 almost no robust variance.  Each one therefore has a ``floor``: a spread that is no
-reason to reject, which is added to the scatter.
+reason to reject, the least that the scatter has.  A group that varies more keeps its
+own.  The floors are small enough that each statistic can reject alone.
 
 Nulls and edge cases: a null text has no words and fails the base rule, as does an
 empty one.  A null language or source is a group value of its own.  In groups
@@ -47,8 +48,8 @@ SHARE = 0.75
 STEPS = 5
 BINS = 32
 LEAST_DOCS = 50
-# A squared distance that one clean document in far more than a million exceeds, were the vectors normal.
-CUT = 60.0
+# Share of the squared distances of clean documents within the cut, were the vectors normal.
+WITHIN = 0.999
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -126,10 +127,10 @@ def _statistics() -> list[tuple[Column, float]]:
     words, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
     return [
         (F.log1p(F.col("word_chars") / words), 0.06),
-        (F.log1p(F.col("n_symbols") / words), 0.04),
-        (F.asin(F.sqrt(F.col("n_dup_lines") / lines)), 0.12),
-        (F.asin(F.sqrt(F.col("n_repeat_words") / words)), 0.12),
-        (F.log(words), 1.0),
+        (F.log1p(F.col("n_symbols") / words), 0.03),
+        (F.asin(F.sqrt(F.col("n_dup_lines") / lines)), 0.1),
+        (F.asin(F.sqrt(F.col("n_repeat_words") / words)), 0.1),
+        (F.log(words), 0.5),
     ]
 
 
@@ -161,7 +162,9 @@ def _estimates(size: int, scale: float, floors: list[float]) -> Callable:
                 scatter = np.zeros((size, size))
                 scatter[upper] = np.asarray(second, float) / n - np.outer(mean, mean)[upper]
                 scatter = scatter + np.triu(scatter, 1).T
-                inverses.append(np.linalg.inv(scatter * scale + np.diag(np.square(floors))).ravel().tolist())
+                scatter = scatter * scale
+                scatter += np.diag(np.maximum(np.square(floors) - np.diag(scatter), 0.0))
+                inverses.append(np.linalg.inv(scatter).ravel().tolist())
                 centres.append(mean.tolist())
             yield pd.DataFrame({"group": batch["group"], "centre": centres, "inverse": inverses})
 
@@ -231,7 +234,7 @@ def _judged(counted: DataFrame, estimates: DataFrame, groups: DataFrame) -> Data
     found = counted.join(groups, "own", "left").join(estimates, "group", "left")
     distance = F.when(~F.col("base_failed"), _distance(len(_statistics())))
     found = found.withColumn("distance", F.when(F.col("centre").isNotNull(), distance))
-    return found.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT))
+    return found.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= _bound(WITHIN, len(_statistics()))))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
