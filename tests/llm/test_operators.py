@@ -344,6 +344,21 @@ def test_piece_tokens(docs, nothing):
     assert pt.encode(nothing, path).count() == 0
 
 
+def test_piece_tokens_are_those_of_sentencepiece(docs):
+    from sentencepiece import SentencePieceProcessor
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    model = SentencePieceProcessor(model_file=path)
+    found = {r["doc_id"]: r["ids"] for r in pt.encode(docs, path).collect()}
+    for i, text, *_ in corpus():
+        if pt.SPACE not in (text or "") and "\0" not in (text or ""):
+            assert found[i] == model.encode(text or "")
+    words = pt.vocabulary(path)
+    texts = ["the and of that worthwhile tokenisation", "  two  spaces ", "é🎈x 漢字", "antidisestablishmentarianism" * 40, "ab" * 70 + "," * 90]
+    for text, ids in zip(texts, words.tokens(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == model.encode(text)
+
+
 def test_sharding(spark, docs, nothing, tmp_path):
     found = sh.assign(docs, 4000).collect()
     sizes, hashes = Counter(), {}

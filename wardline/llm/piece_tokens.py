@@ -1,16 +1,23 @@
 """Subword encoding by suffix-array matching, and decoding.
 
-A text is encoded as the sequence of vocabulary pieces with the largest total score.
+A BPE model encodes a text as SentencePiece does: of all adjacent symbols that
+together are a piece, those with the best score are joined, the leftmost of
+equals first, until none are left.  The scores of other models are log chances: there
+a text is the sequence of pieces with the largest total score.
+
 The stretches of a batch's texts from one space to the next are concatenated,
 each different one once, as no piece goes on after a space.  Their suffixes
 are sorted by as many characters as the longest piece has.  Binary search finds the
 range of suffixes that start with a piece, for every piece; these ranges
-are the edges of the segmentation graph.  Edges are sorted by position and relaxed
-from left to right, all stretches at once.  Of equally good paths the one with the
+are the edges of the segmentation graph.  In a BPE model an edge is a join that may
+be made; every stretch makes its best one at a time, all stretches at once (those
+of more than ``LONG`` characters with a heap each).  In others edges are sorted by
+position and relaxed from left to right, all stretches at once.  Of equally good paths the one with the
 longer last piece wins, and so on backwards.
 
 A character that no piece covers becomes its UTF-8 bytes, at a score below any
-piece.  Decoding joins pieces and bytes and takes away the space put before a text.
+piece.  A space sign that the text itself has becomes bytes too, unlike in
+SentencePiece, which would make it a space.  Decoding joins pieces and bytes and takes away the space put before a text.
 
 Nulls and edge cases: a null or empty text has no ids.  Any other text, however
 long, gives itself again when decoded.  Repeated rows are encoded once each.
@@ -18,6 +25,7 @@ long, gives itself again when decoded.  Repeated rows are encoded once each.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Callable
 
@@ -29,6 +37,7 @@ SPACE = "▁"
 # Stands for the space sign where a text itself has it: no text can hold this half of a pair.
 LITERAL = "\udfff"
 STRETCHES = 300_000
+LONG = 64
 TOGETHER = 1 << 20
 
 _vocabularies: dict[str, Vocabulary] = {}
@@ -37,6 +46,7 @@ _vocabularies: dict[str, Vocabulary] = {}
 class Vocabulary:
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
+        from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
         model = SentencePieceProcessor(model_file=path)
         ids = range(model.get_piece_size())
@@ -58,20 +68,127 @@ class Vocabulary:
         for row, piece in zip(self.codes, self.pieces, strict=True):
             row[: len(piece)] = [ord(c) for c in piece]
         self.below = float(self.scores.min()) - 10
+        trained = ModelProto.FromString(model.serialized_model_proto()).trainer_spec
+        self.bpe = trained.model_type == trained.BPE
+        # Place of each piece by score, the best first.
+        self.rank = np.unique(-self.scores, return_inverse=True)[1]
+        self.numbers = {p: i for i, p in enumerate(self.pieces)}
         self.known: dict[str, bytes] = {}
+        self.joined: dict[str, bytes] = {}
+
+    def tokens(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text, in the manner of the model."""
+        return self._encode(texts, self.joined, self._join) if self.bpe else self.encode(texts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        """Little-endian 32-bit ids of the best sum of scores of each text."""
+        return self._encode(texts, self.known, self._segment)
+
+    def _encode(self, texts: list[str], known: dict[str, bytes], found: Callable) -> list[bytes]:
         split = [_stretches(t) for t in texts]
-        new = sorted(set().union(*split).difference(self.known))
-        known = self.known if len(self.known) + len(new) <= STRETCHES else dict(self.known)
+        new = sorted(set().union(*split).difference(known))
+        known = known if len(known) + len(new) <= STRETCHES else dict(known)
         if new:
-            known.update(zip(new, self._segment(new), strict=True))
+            known.update(zip(new, found(new), strict=True))
         return [b"".join([known[s] for s in stretches]) for stretches in split]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join([self.bytes_of[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
 
+    def _join(self, stretches: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(stretches)
+        lengths = np.array([len(s) for s in stretches])
+        short = np.flatnonzero(lengths <= LONG)
+        for k in np.flatnonzero(lengths > LONG):
+            out[k] = self._join_long(stretches[k])
+        if len(short):
+            for k, ids in zip(short, self._join_short([stretches[k] for k in short]), strict=True):
+                out[k] = ids
+        return out
+
+    def _join_short(self, stretches: list[str]) -> list[bytes]:
+        lengths = np.array([len(s) for s in stretches], np.int64)
+        ends = np.cumsum(lengths + 1) - 1
+        text = np.frombuffer(("\0".join(stretches) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+        start, length, piece = self._edges(text)
+        keys = start * (self.longest + 1) + length
+        order = np.argsort(keys)
+        keys, piece = keys[order], piece[order]
+
+        def pieces(begin, size):
+            """The piece of each place, or -1."""
+            if not len(keys):
+                return np.full(len(begin), -1)
+            wanted = begin * (self.longest + 1) + size
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            return np.where((size <= self.longest) & (keys[at] == wanted), piece[at], -1)
+
+        none = np.iinfo(np.int64).max
+        owner = np.repeat(np.arange(len(stretches)), lengths)
+        begin = np.arange(len(owner)) + owner  # a stop character follows each stretch
+        size = np.ones(len(owner), np.int64)
+
+        def ranks(at):
+            """Rank of the join of each symbol with the next one."""
+            after = np.minimum(at + 1, len(owner) - 1)
+            found = pieces(begin[at], size[at] + size[after])
+            return np.where((after > at) & (owner[after] == owner[at]) & (found >= 0), self.rank[found], none)
+
+        rank, done = ranks(np.arange(len(owner))), []
+        while len(owner):
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            least = np.minimum.reduceat(rank, first)
+            each = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(owner))))
+            over = least[each] == none
+            best = np.flatnonzero((rank == least[each]) & ~over)
+            best = best[np.append(True, each[best[1:]] != each[best[:-1]])[: len(best)]]
+            done.append((owner[over], begin[over], size[over]))
+            size[best] += size[best + 1]
+            keep = ~over
+            keep[best + 1] = False
+            place = np.cumsum(keep) - 1
+            owner, begin, size, rank = owner[keep], begin[keep], size[keep], rank[keep]
+            best = place[best]
+            changed = np.unique(np.concatenate((best, np.maximum(best - 1, 0))))
+            if len(changed):
+                rank[changed] = ranks(changed)
+        owner, begin, size = (np.concatenate(x) for x in zip(*done, strict=True))
+        found = pieces(begin, size)
+        found = np.where(found >= 0, self.ids[found], -1 - begin)
+        return self._written(stretches, ends - lengths, owner, found)
+
+    def _join_long(self, stretch: str) -> bytes:
+        size = [1] * len(stretch)
+        before, after = list(range(-1, len(stretch) - 1)), list(range(1, len(stretch) + 1))
+        heap: list[tuple[int, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < len(stretch):
+                end = j + size[j]
+                number = self.numbers.get(stretch[i:end]) if end - i <= self.longest else None
+                if number is not None:
+                    heapq.heappush(heap, (int(self.rank[number]), i, end))
+
+        for i in range(len(stretch)):
+            offer(i)
+        while heap:
+            _, i, end = heapq.heappop(heap)
+            j = after[i]
+            if not size[i] or j >= len(stretch) or j + size[j] != end:
+                continue
+            size[i], size[j] = end - i, 0
+            after[i] = after[j]
+            if after[i] < len(stretch):
+                before[after[i]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        at = np.array([i for i, n in enumerate(size) if n], np.int64)
+        found = [self.numbers.get(stretch[i : i + size[i]], -1) for i in at.tolist()]
+        ids = np.array([self.ids[n] if n >= 0 else -1 - i for n, i in zip(found, at.tolist(), strict=True)], np.int64)
+        return self._written([stretch], np.zeros(1, np.int64), np.zeros(len(ids), np.int64), ids)[0]
+
     def _segment(self, stretches: list[str]) -> list[bytes]:
         lengths = np.array([len(s) for s in stretches], np.int64)
         ends = np.cumsum(lengths + 1) - 1  # a stop character follows each stretch
@@ -112,7 +229,10 @@ class Vocabulary:
             ids.append(np.where(piece[edge] >= 0, piece[edge], -1 - start[edge]))
             at[live] = start[edge]
             live = live[at[live] > begins[live]]
-        owner, found = np.concatenate(owners[::-1]), np.concatenate(ids[::-1])
+        return self._written(stretches, begins, np.concatenate(owners[::-1]), np.concatenate(ids[::-1]))
+
+    def _written(self, stretches: list[str], begins: np.ndarray, owner: np.ndarray, found: np.ndarray) -> list[bytes]:
+        """The ids of each stretch; a negative one is -1 - the place of a character that becomes its bytes."""
         order = np.argsort(owner, kind="stable")
         found, edges = found[order], np.searchsorted(owner[order], np.arange(len(stretches) + 1))
         data, cuts = found.astype("<u4").tobytes(), (edges * 4).tolist()
@@ -195,7 +315,7 @@ def _encoded(path: str, keep_ids: bool) -> Callable:
                 while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
                     size += len(texts[end])
                     end += 1
-                found = words.encode(texts[at:end])
+                found = words.tokens(texts[at:end])
                 whole = [words.decode(np.frombuffer(x, "<u4")) == t for x, t in zip(found, texts[at:end], strict=True)]
                 columns = [
                     batch.column("doc_id").slice(at, end - at),
