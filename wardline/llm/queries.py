@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.llm.hard_negatives import hard_negatives, labelled_vectors
 from wardline.llm.jaccard_join import jaccard_join
 from wardline.llm.language_id import language_id
+from wardline.llm.line_dedup import line_dedup
 from wardline.llm.packing import best_fit_packing, token_pieces
 from wardline.llm.piece_tokens import encode
 from wardline.llm.pivot_search import top_k, whole_vectors
@@ -15,6 +17,7 @@ from wardline.llm.sentence_dedup import sentence_dedup
 from wardline.llm.sharding import assign
 from wardline.llm.suffix_dedup import suffix_dedup
 from wardline.llm.transcripts import parse_transcripts, raw_transcripts
+from wardline.llm.whitening import whiten
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -134,6 +137,61 @@ FROM named m LEFT JOIN classes c ON m.class = c.class AND m.n > 0 AND m.doc_id I
 """
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(_read(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_read(spark, sf_dir, "documents"), with_text=False)
+
+
+OP12_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, len(parts) AS n_lines, unnest(parts) AS line, unnest(range(len(parts))) AS place
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines),
+repeated AS (
+  SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 AND doc_id IS NOT NULL GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+judged AS (
+  SELECT k.*, coalesce(k.doc_id <> r.first, false) AS dropped FROM keyed k LEFT JOIN repeated r ON k.key = r.key)
+SELECT doc_id, CAST(min(n_lines) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE dropped) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(labelled_vectors(_read(spark, sf_dir, "embeddings"), label=moved), F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM v a JOIN v c ON c.vec_id <> a.vec_id AND len(c.v) = len(a.v)
+  WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+negatives AS (
+  SELECT p.*, n.vec_id AS negative_id, n.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+    AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 10
+"""
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -145,5 +203,8 @@ QUERIES = {
     "op8_piece_tokens": op8_piece_tokens,
     "op9_sharding": op9_sharding,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_whitening": op11_whitening,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLES: dict[str, str] = {"op6_pivot_search": OP6_SQL, "op9_sharding": OP9_SQL, "op10_jaccard_join": OP10_SQL}
+ORACLES: dict[str, str] = {"op6_pivot_search": OP6_SQL, "op9_sharding": OP9_SQL, "op10_jaccard_join": OP10_SQL, "op12_line_dedup": OP12_SQL, "op13_hard_negatives": OP13_SQL}
