@@ -83,6 +83,46 @@ def audit_rows(spark, sf):
     return _plain_ts(ac.audit_rows(actions(spark, sf), classified(spark, sf)))
 
 
+# Documents are classified on the first day; two thirds again later, some twice at that instant.
+AGAIN = """versions AS (
+  SELECT id, TIMESTAMP '2024-01-01 06:00:00' AS ts, 1::BIGINT AS seq, label, offensive_score FROM classified
+  UNION ALL SELECT id, TIMESTAMP '2024-01-01' + to_days((id::BIGINT % 25)::INTEGER), 2::BIGINT, 'Profanity',
+    round_even(offensive_score / 2 + 0.5::DOUBLE, 4) FROM classified WHERE id::BIGINT % 3 <> 0
+  UNION ALL SELECT id, TIMESTAMP '2024-01-01' + to_days((id::BIGINT % 25)::INTEGER), 3::BIGINT, 'Not_offensive',
+    round_even(offensive_score / 2, 4) FROM classified WHERE id::BIGINT % 6 = 1),
+standing AS (SELECT id, ts, arg_max(label, seq) AS model_label, arg_max(offensive_score, seq) AS offensive_score FROM versions GROUP BY id, ts)"""
+
+
+def versions(spark, sf):
+    """A classification log of the documents ``(id, ts, seq, label, offensive_score)``."""
+    first = classified(spark, sf).select("id", "label", "offensive_score")
+    number = F.col("id").cast("bigint")
+    day = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + (number % 25) * 86400)
+    half = lambda more: F.bround(F.col("offensive_score") / 2 + more, 4)
+    row = lambda ts, seq, label, score: F.struct(ts.alias("ts"), F.lit(seq).cast("long").alias("seq"), label.alias("label"), score.alias("offensive_score"))
+    rows = F.array(
+        row(F.lit("2024-01-01 06:00:00").cast("timestamp"), 1, F.col("label"), F.col("offensive_score")),
+        F.when(number % 3 != 0, row(day, 2, F.lit("Profanity"), half(0.5))),
+        F.when(number % 6 == 1, row(day, 3, F.lit("Not_offensive"), half(0.0))),
+    )
+    return first.select("id", F.explode(F.array_compact(rows)).alias("v")).select("id", "v.*")
+
+
+@query(
+    "audit_as_of",
+    with_(BASE, AGAIN)
+    + f"""SELECT a.ts::TIMESTAMP AS ts, message_id AS id, c.text,
+  CASE kind WHEN 'report' THEN coalesce(value, 'Offensive_Untargetede')
+    ELSE CASE WHEN lower(trim(value)) = 'hate_speech' THEN 'Offensive_Untargetede' ELSE 'Not_offensive' END END AS label,
+  s.offensive_score, s.model_label, CASE WHEN kind = 'classify' THEN 'user_classify:' || lower(trim(value)) END AS action, a.seq
+FROM actions a JOIN classified c ON c.id = message_id ASOF LEFT JOIN standing s ON s.id = a.message_id AND a.ts >= s.ts
+WHERE kind <> 'reveal' AND {VALID}""",
+)
+def audit_as_of(spark, sf):
+    """The prediction at the time of feedback, of documents that were classified more than once."""
+    return _plain_ts(ac.audit_as_of(actions(spark, sf), classified(spark, sf), versions(spark, sf)))
+
+
 @query("reveal_state", with_(b.ACTIONS) + "SELECT message_id, count(*) % 2 = 1 AS revealed FROM actions WHERE kind = 'reveal' GROUP BY 1")
 def reveal_state(spark, sf):
     return ac.reveal_state(actions(spark, sf))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import text as tx
+from wardline.operators.asof import as_of
 from wardline.operators.labels import DEFAULT_REPORT_LABEL, SAFE_LABEL
 
 # Accepted classifications.
@@ -79,7 +80,25 @@ def override_rows(training_rows: DataFrame) -> DataFrame:
 
 def audit_rows(actions: DataFrame, msgs: DataFrame) -> DataFrame:
     """Audit log rows: the human label next to the prediction at the time of feedback."""
-    both = _labelled(actions, msgs, "report").unionByName(_labelled(actions, msgs, "classify"))
+    return _audit(_labelled(actions, msgs, "report").unionByName(_labelled(actions, msgs, "classify")))
+
+
+def audit_as_of(actions: DataFrame, msgs: DataFrame, log: DataFrame) -> DataFrame:
+    """Audit log rows with the prediction that stood when the action came.
+
+    ``log`` is the versioned classification log ``(id, ts, seq, label,
+    offensive_score)``: a message classified again has another row.  Of several
+    versions at one instant the last ``seq`` counts; a version at the instant of
+    the action is seen by it.  An action before the first one has no prediction.
+    """
+    texts = msgs.select("id", "text")
+    both = _labelled(actions, texts, "report").unionByName(_labelled(actions, texts, "classify"))
+    versions = log.select(F.col("id").alias("message_id"), "ts", "seq", F.col("label").alias("model_label"), "offensive_score")
+    held = as_of(both.select("message_id", "ts"), versions, "message_id", "ts", "seq", ["model_label", "offensive_score"])
+    return _audit(both.join(held, ["message_id", "ts"], "left"))
+
+
+def _audit(both: DataFrame) -> DataFrame:
     note = F.when(F.col("kind") == "classify", F.concat(F.lit("user_classify:"), classification(F.col("value"))))
     return both.select(
         "ts", F.col("message_id").alias("id"), "text", "label", "offensive_score", "model_label", note.alias("action"), "seq"
