@@ -66,6 +66,36 @@ def test_both_plans_equal_brute_force(spark):
     assert len(want) > 40
 
 
+def test_few_pairs_meet_with_a_large_lexicon(spark, tmp_path):
+    """Tokens meet the terms of which they have a rare gram, and every match is among these."""
+    rng = random.Random(8)
+    syllables = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 5)))
+    terms = sorted({word() for _ in range(30_000)})[:20_000]
+    tokens = sorted({word() for _ in range(150)} | {t[:-1] + rng.choice("aeiou") + "s" for t in rng.sample(terms, 100)})
+    path = str(tmp_path / "index")
+    table = spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, pos int")
+    lx.fit_ngram_index(table).write.parquet(path)
+    index, frame = spark.read.parquet(path), token_frame(spark, tokens)
+    every = frame.select("token", F.explode(F.array_distinct(tx.char_grams(F.col("token")))).alias("gram")).join(index, "gram")
+    met = lx.candidate_terms(frame, index)
+    assert met.count() < every.count() / 4
+    got = {r["token"]: r["term"] for r in lx.nearest_term(frame, index).collect()}
+    df = Counter(g for t in terms for g in set(grams(t)))
+    idf = {g: math.log((1 + len(terms)) / (1 + n)) + 1 for g, n in df.items()}
+    weigh = lambda w: {g: n * idf[g] for g, n in Counter(grams(w)).items() if g in idf}
+    vectors = [(i, t, weigh(t)) for i, t in enumerate(terms)]
+    norms = [math.sqrt(sum(x * x for x in v.values())) for *_, v in vectors]
+    want = {}
+    for token in tokens:
+        q = weigh(token)
+        size = math.sqrt(sum(x * x for x in q.values()))
+        best = max((round(sum(x * v.get(g, 0) for g, x in q.items()) / norms[i], 9), -i, t) for i, t, v in vectors)
+        if size and round(best[0] / size, 9) >= 0.85:
+            want[token] = best[2]
+    assert got == want and len(want) > 30
+
+
 def cascade(spark, texts, **options):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     out = lx.fuzzy_map(df, "text", base.lexicon(spark), base.exceptions(spark), "id", base.SUFFIXES, **options)

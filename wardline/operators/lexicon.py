@@ -7,6 +7,7 @@ Two plans give the same result.
   number or skew of the tokens.
 * A larger lexicon stays a table.  Distinct tokens are matched by joins on
   n-grams, stems and sound codes, and the resulting dictionary is joined back.
+  Of the n-grams only the rare ones that a match cannot do without are joined.
 
 The narrow plan first drops tokens that cannot reach the cosine threshold.  By
 Cauchy-Schwarz the cosine of a token with a term is at most the root of the
@@ -312,35 +313,61 @@ def distinct_tokens(df: DataFrame, col: str) -> DataFrame:
     return df.select(F.explode(F.array_distinct(tx.tokens(F.col(col)))).alias("token")).distinct()
 
 
+def term_heads(index: DataFrame, threshold: float = COSINE) -> DataFrame:
+    """``(gram, pos, term, parts)``: a term under each of the rare grams that a match cannot do without all of.
+
+    A term's grams are taken, long ones first and then rare ones, until what is left has less
+    than ``threshold**2`` of its squared weight.  By Cauchy-Schwarz the cosine
+    with a token that has none of the taken ones stays below the threshold.
+    ``parts`` says what each gram of a token adds to the dot product.
+    """
+    rare = (-F.length("gram")).alias("long"), F.col("df"), F.col("gram")
+    listed = F.array_sort(F.collect_list(F.struct(*rare, "w", (F.col("w") * F.col("idf")).alias("part"))))
+    terms = index.groupBy("pos", "term").agg(listed.alias("grams"))
+    square = lambda g: g["w"] * g["w"]
+    total = F.aggregate("grams", F.lit(0.0), lambda acc, g: acc + square(g))
+    size = F.aggregate(
+        "grams",
+        F.struct(total.alias("left"), F.lit(0).alias("size")),
+        lambda acc, g: F.struct(
+            (acc["left"] - square(g)).alias("left"),
+            (acc["size"] + F.when(acc["left"] >= total * (threshold**2 - 1e-6), 1).otherwise(0)).alias("size"),
+        ),
+        lambda acc: acc["size"],
+    )
+    parts = F.map_from_entries(F.transform("grams", lambda g: F.struct(g["gram"], g["part"])))
+    heads = F.transform(F.slice("grams", 1, size), lambda g: g["gram"])
+    return terms.select(F.explode(heads).alias("gram"), "pos", "term", parts.alias("parts"))
+
+
+def candidate_terms(tokens: DataFrame, index: DataFrame, threshold: float = COSINE) -> DataFrame:
+    """``(token, pos, term, parts)``: pairs that share a rare gram of the term, once for each; no other pair reaches the threshold."""
+    grams = tokens.select("token", F.explode(F.array_distinct(tx.char_grams(F.col("token")))).alias("gram"))
+    return grams.join(term_heads(index, threshold), "gram").drop("gram")
+
+
 def nearest_term(tokens: DataFrame, index: DataFrame, threshold: float = COSINE) -> DataFrame:
     """``(token, term, sim)`` for distinct tokens with a term at or above the threshold.
 
-    One pass of partial sums per (token, term) and one per token; tokens that
-    come from :func:`distinct_tokens` are already placed by token, so only the
-    gram join can move data.  A gram stands in ``df`` index rows, hence the
-    squared norm is the sum of ``q*q/df`` over all joined rows.
+    Tokens meet only the terms of which they have a rare gram.  The best of
+    these by dot product is the best by cosine; the tokens that have one get
+    their norm over the grams that the lexicon knows.
     """
+    pairs = candidate_terms(tokens, index, threshold)
+    dot = F.aggregate(tx.char_grams(F.col("token")), F.lit(0.0), lambda acc, g: acc + F.coalesce(F.col("parts")[g], F.lit(0.0)))
+    top = F.max(F.struct(F.round(dot, 9).alias("dot"), (-F.col("pos")).alias("rank"), F.col("term").alias("term")))
+    best = pairs.groupBy("token").agg(top.alias("top"))
     counts = F.transform(
         F.array_distinct(F.col("grams")),
         lambda g: F.struct(g.alias("gram"), F.size(F.filter("grams", lambda x: x == g)).alias("tf")),
     )
-    grams = (
-        tokens.select("token", tx.char_grams(F.col("token")).alias("grams"))
-        .select("token", F.explode(counts).alias("g"))
-        .select("token", "g.gram", "g.tf")
-    )
-    q = F.col("tf") * F.col("idf")
-    per_term = (
-        grams.join(index, "gram")
-        .groupBy("token", "pos", "term")
-        .agg(F.sum(q * F.col("w")).alias("dot"), F.sum(q * q / F.col("df")).alias("part"))
-    )
-    best = per_term.groupBy("token").agg(
-        F.sum("part").alias("squares"),
-        F.max(F.struct(F.round("dot", 9).alias("dot"), (-F.col("pos")).alias("rank"), F.col("term").alias("term"))).alias("top"),
-    )
+    cut = best.withColumn("grams", tx.char_grams(F.col("token"))).select("token", "top", F.explode(counts).alias("g"))
+    vocabulary = index.groupBy("gram").agg(F.min("idf").alias("idf"))
+    known = cut.select("token", "top", "g.gram", "g.tf").join(vocabulary, "gram")
+    square = F.pow(F.col("tf") * F.col("idf"), F.lit(2.0))
+    normed = known.groupBy("token").agg(F.min("top").alias("top"), F.sum(square).alias("squares"))
     sim = F.round(F.col("top.dot") / F.sqrt("squares"), 9)
-    return best.select("token", F.col("top.term").alias("term"), sim.alias("sim")).filter(F.col("sim") >= threshold)
+    return normed.select("token", F.col("top.term").alias("term"), sim.alias("sim")).filter(F.col("sim") >= threshold)
 
 
 def nearest_term_stemmed(
