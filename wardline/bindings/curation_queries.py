@@ -13,9 +13,10 @@ from wardline.operators import curation as cu
 from wardline.operators import generation as ge
 from wardline.operators import labels as lb
 from wardline.operators import splits as sp
+from wardline.plans import counting as ct
 from wardline.plans import scoring as so
 from wardline.plans import training as tr
-from wardline.session import materialise
+from wardline.session import materialise, scratch_dir
 
 # -- rows --------------------------------------------------------------------------------
 
@@ -317,12 +318,77 @@ def truncate_tokens(spark, sf):
     return docs.select("doc_id", F.size("tokens").cast("bigint").alias("n"), tx.join_tokens(F.col("tokens")).alias("text"))
 
 
-@query("train_predict")
+TERM_BUCKETS = f"""worded AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents),
+spelled AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM worded),
+counts AS (SELECT doc_id, ({b.sql_hash('term')} % {ct.BUCKETS})::INTEGER AS bucket, count(*) AS tf FROM spelled GROUP BY 1, 2)"""
+
+
+@query(
+    "train_features",
+    with_(TERM_BUCKETS)
+    + """SELECT doc_id, bucket, tf, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*) OVER (PARTITION BY bucket))::DOUBLE) + 1, 9) AS idf
+FROM counts""",
+)
+def train_features(spark, sf):
+    """Hashed term counts of every document and the IDF of their buckets."""
+    docs = load_spread(spark, sf, "documents", "doc_id", "text")
+    idf = ct.bucket_idf(ct.count_terms(docs.select("text", F.lit("all").alias("label"))))
+    return ct.term_counts(docs, "doc_id", "text").join(idf, "bucket").select("doc_id", "bucket", "tf", F.round("idf", 9).alias("idf"))
+
+
+LEARNED = """labelled AS (SELECT doc_id, label FROM corpus WHERE text IS NOT NULL AND label IS NOT NULL),
+sums AS (
+  SELECT label, bucket, count(*) AS docs, sum(tf)::BIGINT AS terms FROM counts JOIN labelled USING (doc_id) GROUP BY ALL
+  UNION ALL SELECT label, -1, count(*), sum(coalesce(len(w) + greatest(len(w) - 1, 0), 0))::BIGINT FROM labelled JOIN worded USING (doc_id) GROUP BY label)"""
+
+
+@query("train_goes_on", with_(b.CORPUS, TERM_BUCKETS, LEARNED) + "SELECT label, bucket::INTEGER AS bucket, docs, terms FROM sums")
+def train_goes_on(spark, sf):
+    """Training on two thirds of the corpus, saved and continued with the rest; the second batch runs twice."""
+    path = scratch_dir(spark, "sums")
+    rows = corpus(spark, sf)
+    ct.go_on_training(rows.filter("doc_id % 3 <> 0"), path, 0)
+    ct.go_on_training(rows.filter("doc_id % 3 = 0"), path, 1)
+    return ct.go_on_training(rows.filter("doc_id % 3 = 0"), path, 1)
+
+
+# Hashing documents apart: a fifth of the labelled ones is held out.
+HELD = f"({b.sql_hash("'held:' || doc_id")} % 5 = 0)"
+TOXIC = """truth AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'Profanity' ELSE 'Not_offensive' END AS label FROM labels JOIN documents USING (doc_id))"""
+COUNTED = f"""fit AS (SELECT * FROM truth WHERE NOT {HELD}),
+classes AS (SELECT label, count(*) AS size, (SELECT count(*) FROM fit) AS texts FROM fit GROUP BY label),
+inside AS (SELECT label, bucket, count(*) AS docs FROM counts JOIN fit USING (doc_id) GROUP BY ALL),
+cells AS (SELECT label, size, texts, bucket, coalesce(docs, 0) + 0.5::DOUBLE AS a, df - coalesce(docs, 0) + 0.5::DOUBLE AS z
+  FROM (SELECT bucket, sum(docs) AS df FROM inside GROUP BY bucket) CROSS JOIN classes LEFT JOIN inside USING (label, bucket)),
+weights AS (SELECT label, bucket, (ln(a / (size + 1)) - ln(z / (texts - size + 1))) / 2 AS weight FROM cells
+  WHERE abs(ln(a / (size + 1)) - ln(z / (texts - size + 1))) >= {ct.SURE}::DOUBLE * sqrt(1 / a + 1 / z)),
+found AS (SELECT doc_id, label, sum(weight) AS weight FROM counts JOIN weights USING (bucket) GROUP BY ALL),
+odds AS (SELECT doc_id, label, ln(size / texts::DOUBLE) + coalesce(weight, 0) AS odds
+  FROM documents CROSS JOIN classes LEFT JOIN found USING (doc_id, label))"""
+
+
+@query(
+    "train_predict",
+    with_(TERM_BUCKETS, TOXIC, COUNTED)
+    + f"""SELECT doc_id, {HELD} AS held_out, round(1 / (1 + exp(least(max(odds) FILTER (label = 'Not_offensive') - max(odds) FILTER (label = 'Profanity'), 700))), 6) AS offensive
+FROM odds GROUP BY doc_id""",
+)
 def train_predict(spark, sf):
-    """Train on the labelled documents, then score every document."""
-    truth = load(spark, sf, "labels").select("doc_id", F.when(F.col("toxic") == 1, 3).otherwise(0).alias("label_id"))
+    """Train on four fifths of the labelled documents, then score every document."""
     docs = load_spread(spark, sf, "documents", "doc_id", "text")
-    rows = docs.join(truth, "doc_id").select("text", "label_id")
-    model = tr.fit_classifier(rows, features=1 << 14, max_iter=10)
-    scored = so.pipeline_scorer(model)(docs, "text")
-    return scored.select("doc_id", sc.rounded(sc.fold_scores(F.col("scores"), lb.SAFE_LABELS)).alias("offensive"))
+    held = tx.hash_int(F.concat(F.lit("held:"), F.col("doc_id").cast("string"))) % 5 == 0
+    truth = load(spark, sf, "labels").select("doc_id", F.when(F.col("toxic") == 1, "Profanity").otherwise("Not_offensive").alias("label"))
+    sums = materialise(ct.count_terms(docs.filter(~held).join(truth, "doc_id").select("text", "label")), "sums")
+    scored = ct.count_scores(docs.withColumn("held_out", held), "doc_id", "text", sums)
+    return scored.select("doc_id", "held_out", F.round(sc.fold_scores(F.col("scores"), lb.SAFE_LABELS), 6).alias("offensive"))
+
+
+@query("train_logistic")
+def train_logistic(spark, sf):
+    """A logistic regression on four fifths of the labelled documents, scoring every document."""
+    docs = load_spread(spark, sf, "documents", "doc_id", "text")
+    held = tx.hash_int(F.concat(F.lit("held:"), F.col("doc_id").cast("string"))) % 5 == 0
+    truth = load(spark, sf, "labels").select("doc_id", F.when(F.col("toxic") == 1, 3).otherwise(0).alias("label_id"))
+    model = tr.fit_classifier(docs.filter(~held).join(truth, "doc_id").select("text", "label_id"), features=1 << 14, max_iter=10)
+    scored = so.pipeline_scorer(model)(docs.withColumn("held_out", held), "text")
+    return scored.select("doc_id", "held_out", sc.rounded(sc.fold_scores(F.col("scores"), lb.SAFE_LABELS)).alias("offensive"))
