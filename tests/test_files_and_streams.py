@@ -1,4 +1,6 @@
 import json
+import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -220,3 +222,40 @@ def test_retrain_save_and_load(spark, tmp_path):
     got = cl.predict_binary(test, "text", scorer, threshold=0.5, truth="truth")
     assert got.filter("correct").count() == 24
     assert got.columns[:2] == ["text", "truth"]
+
+
+def test_windowed_stats_count_late_rows_within_the_watermark(spark, tmp_path):
+    schema = "ts timestamp, room string, is_offensive boolean, reported boolean, user_classification string"
+    files = [
+        [("2024-01-01 10:05:00", "a", True, None, None), ("2024-01-01 12:00:00", "a", False, True, "hate_speech")],
+        [("2024-01-01 10:59:00", "a", True, None, None), ("2024-01-01 15:30:00", "b", None, None, None)],  # 61 minutes late
+        [("2024-01-01 15:31:00", "b", None, None, None)],  # a batch drops what the watermark of the batch before it rules out
+        [("2024-01-01 10:30:00", "a", True, None, None), ("2024-01-01 13:59:00", "a", None, None, None)],  # the first one is too late now
+    ]
+    for i, rows_ in enumerate(files):
+        df = spark.createDataFrame(rows_, schema.replace("ts timestamp", "ts string")).withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
+        time.sleep(1.1)  # files are taken by time of change
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
+    counted = st.stream_stats_windowed(stream, "ts", "1 hour", "2 hours", ["room"])
+    out = str(tmp_path / "out")
+    st.write_table(counted, out, "update", str(tmp_path / "checkpoint"), once=True).awaitTermination()
+    found = st.latest_rows(spark, out, ["window_start", "room"]).select(F.hour("window_start").alias("h"), "room", "total", "offensive", "reported")
+    assert sorted(rows(found)) == [(10, "a", 2, 2, 0), (12, "a", 1, 0, 1), (13, "a", 1, 0, 0), (15, "b", 2, 0, 0)]
+    first = st.latest_rows(spark, out, ["window_start", "room"], before=1)
+    assert first.count() == 2
+
+
+def test_rows_are_in_the_order_of_files_and_lines(spark, tmp_path):
+    """Also beyond a million files: the numbers leave room, and a later file never comes first."""
+    want = []
+    for i in range(12):
+        path = tmp_path / f"{'zyxwvutsrqpo'[i]}.tsv"
+        lines = [f"{i}-{k}" for k in range(1 + i * 37 % 50)]
+        path.write_text("".join(f"{x}\tlabel\tseed\n" for x in lines), encoding="utf-8")
+        os.utime(path, (1_700_000_000 + i // 2, 1_700_000_000 + i // 2))
+        want.append((i // 2, path.name, lines))
+    got = rd.read_corpus(spark, str(tmp_path)).orderBy("seq")
+    assert [r["text"] for r in got.collect()] == [x for *_, lines in sorted(want) for x in lines]
+    files = 500_000_000
+    assert files * rd._TASK_ROWS + (1 << 61) < 1 << 63

@@ -38,8 +38,8 @@ def test_every_text_function_takes_edge_rows(spark):
 
 
 def test_collapse_runs(spark):
-    assert column(spark, ["myreeee kk"], tx.collapse_runs) == ["myree kk"]
-    assert column(spark, ["myreeee kk"], lambda c: tx.collapse_runs(c, 2, 1)) == ["myre k"]
+    assert column(spark, ["soooo zz"], tx.collapse_runs) == ["soo zz"]
+    assert column(spark, ["soooo zz"], lambda c: tx.collapse_runs(c, 2, 1)) == ["so z"]
 
 
 @settings(max_examples=15, deadline=None)
@@ -74,20 +74,20 @@ def test_romanise(spark):
 
 
 PATTERNS = [
-    (r"\beta\b", "eda"),
-    (r"\beda+\b", "friend"),
-    (r"\bpup(?:py|pies|)\b", "dog"),
-    (r"\bpuppy\b\s+(?:said|told)", "about"),
-    (r"(?:said|told)\s+\bpuppy\b", "about"),
-    (r"(\w+)\s+like\s+(?:is|was)", r"\1 insult"),
-    (r"\bfriend(?:s)?\b", "friend"),
-    (r"\bninak(?:k)?\s+oke\b", "friend"),
+    (r"\bzonk\b", "blip"),
+    (r"\bblip+\b", "pal"),
+    (r"\bkit(?:ten|tens|)\b", "cat"),
+    (r"\bkitten\b\s+(?:ran|sat)", "there"),
+    (r"(?:ran|sat)\s+\bkitten\b", "there"),
+    (r"(\w+)\s+beats\s+(?:any|all)", r"\1 wins"),
+    (r"\bpal(?:s)?\b", "pal"),
+    (r"\bgloop(?:y)?\s+mud\b", "pal"),
 ]
 
 
 def test_patterns_mean_what_python_means(spark):
     """Unicode word boundaries and classes, on random text."""
-    words = ["eta", "éeta", "edaaa", "puppy", "pup", "said", "told", "né", "like", "is", "was", "friends", "ninak", "oke", "_eta", "eta3", "x"]
+    words = ["zonk", "ézonk", "blippp", "kitten", "kit", "ran", "sat", "né", "beats", "any", "all", "pals", "gloop", "mud", "_zonk", "zonk3", "x"]
     seps = [" ", "  ", "\n", " ", ".", "-", ""]
     rng = random.Random(3)
     texts = ["".join(rng.choice(words) + rng.choice(seps) for _ in range(rng.randint(1, 14))) for _ in range(400)]
@@ -97,24 +97,24 @@ def test_patterns_mean_what_python_means(spark):
 
 
 def test_merged_rules_equal_rules_in_order(spark):
-    rules = [rl.Rule(1, i, p, "friend") for i, p in enumerate([r"\bda\b", r"\bfriend(?:s)?\b", r"\bavan\b", r"\bninak(?:k)?(?:oke|ku|)\b"])]
+    rules = [rl.Rule(1, i, p, "pal") for i, p in enumerate([r"\byo\b", r"\bpal(?:s)?\b", r"\bmate\b", r"\bgloop(?:y)?(?:er|est|)\b"])]
     assert len(rl.merged(rules)) == 1
-    texts = ["da avan ninakkoke friends", "dada avan.da friend", "ninak"]
+    texts = ["yo mate gloopyest pals", "yoyo mate.yo pal", "gloop"]
     want = texts
     for rule in rules:
         want = [re.sub(rule.pattern, rule.replacement, t) for t in want]
     assert column(spark, texts, lambda c: rl.rewrite(c, rules)) == want
 
 
-@pytest.mark.parametrize("strict, want", [(False, "nedog"), (True, "nee patti")])
+@pytest.mark.parametrize("strict, want", [(False, "sofcat"), (True, "sofa kit")])
 def test_article_may_be_the_tail_of_a_word(spark, strict, want):
-    assert column(spark, ["nee patti"], lambda c: rl.prefix_rewrite(c, ["oru", "e"], ["patti"], "dog", strict)) == [want]
+    assert column(spark, ["sofa kit"], lambda c: rl.prefix_rewrite(c, ["some", "a"], ["kit"], "cat", strict)) == [want]
 
 
 def test_capture_rule_is_unicode_and_safe_on_long_words(spark):
-    texts = ["né pole undu", "a pole undux pole undu", "w" * 100000]
-    want = [re.sub(r"(\w+)\s+pole\s+(?:undu)", r"\1 insult", t) for t in texts[:2]] + [texts[2]]
-    assert column(spark, texts, lambda c: rl.capture_rewrite(c, "pole", ["undu"], "insult")) == want
+    texts = ["né beats all", "a beats allx beats all", "w" * 100000]
+    want = [re.sub(r"(\w+)\s+beats\s+(?:all)", r"\1 wins", t) for t in texts[:2]] + [texts[2]]
+    assert column(spark, texts, lambda c: rl.capture_rewrite(c, "beats", ["all"], "wins")) == want
 
 
 def test_mask_words_with_symbols(spark):

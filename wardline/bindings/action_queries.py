@@ -361,6 +361,30 @@ def stream_stats(spark, sf):
     return rows.filter(F.col("batch") == last).drop("batch")
 
 
+@query(
+    "stream_stats_windowed",
+    """SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS total, count(*) FILTER (value > 50) AS offensive,
+  count(*) - count(*) FILTER (value > 50) AS safe, count(*) FILTER (event_type = 'error') AS reported,
+  count(*) FILTER (event_type = 'signup') AS classified_hate, count(*) FILTER (event_type = 'purchase') AS classified_not_hate
+FROM events GROUP BY ALL""",
+)
+def stream_stats_windowed(spark, sf):
+    """Counters per day of event time, the watermark two days behind."""
+    out = scratch_dir(spark, "windows")
+    kind = F.col("event_type")
+    flags = table_stream(spark, sf, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        "event_type",
+        (F.col("value") > 50).alias("is_offensive"),
+        F.when(kind == "error", True).alias("reported"),
+        F.when(kind == "signup", "hate_speech").when(kind == "purchase", "not_hate_speech").alias("user_classification"),
+    )
+    counted = st.stream_stats_windowed(flags, "ts", "1 day", "2 days", ["event_type"])
+    _finished(st.write_table(counted, out, mode="update", once=True))
+    found = st.latest_rows(spark, out, ["window_start", "event_type"]).drop("window_end")
+    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 OVERRIDES = with_(b.CORPUS) + f"""SELECT {b.sql_key('text')} AS key, arg_max(label, seq) AS label, max(seq) AS seq FROM corpus
 WHERE extra IN ('user_classify', 'feedback') AND label IS NOT NULL GROUP BY 1"""
 

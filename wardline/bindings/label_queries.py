@@ -250,16 +250,13 @@ def classify_with_python_model(spark, sf):
 @query(
     "guard_off",
     with_(b.MESSAGES)
-    + """SELECT id, CASE WHEN guard_on THEN 'Profanity' ELSE 'Not_offensive' END AS label, CASE WHEN guard_on THEN 'x' END AS label_display,
-  CASE WHEN guard_on THEN 0.9 ELSE 0.0 END::DOUBLE AS offensive_score, guard_on AS is_offensive,
-  CASE WHEN guard_on THEN 'high' ELSE 'safe' END AS bucket, CASE WHEN NOT guard_on THEN text END AS transliterated FROM messages""",
+    + f"""SELECT id, c.label, label_display, offensive_score, safe_score, is_offensive, bucket, CASE WHEN NOT guard_on THEN m.text END AS transliterated
+FROM ({CLASSIFY}) c JOIN messages m USING (id)""",
 )
 def guard_off(spark, sf):
-    df = messages(spark, sf).select(
-        "id", "text", "guard_on", F.lit("Profanity").alias("label"), F.lit("x").alias("label_display"),
-        F.lit(0.9).alias("offensive_score"), F.lit(0.1).alias("safe_score"), F.lit(True).alias("is_offensive"), F.lit("high").alias("bucket"),
-    )
-    return ms.guarded(df).drop("text", "guard_on", "safe_score")
+    """The classifier on messages of which some were sent while the guard was off."""
+    found = cl.classify(messages(spark, sf), classifier_settings(spark, sf))
+    return found.select("id", "label", "label_display", "offensive_score", "safe_score", "is_offensive", "bucket", "transliterated")
 
 
 @query(

@@ -16,6 +16,7 @@ from wardline.operators import rules as rl
 from wardline.operators import users as us
 from wardline.plans import classify as cl
 from wardline.plans import normalise as nm
+from wardline.plans import scoring as so
 
 LOWERED = "low AS (SELECT doc_id, lower(text) AS text FROM chat)"
 
@@ -208,11 +209,13 @@ def normalise_by_joins(spark, sf):
 
 @query(
     "audio_branch",
-    with_(b.MESSAGES) + f"SELECT id, CASE WHEN is_audio THEN {b.sql_strip('text')} ELSE {o.word_rules('lower(text)', b.RULES)} END AS text FROM messages",
+    with_(b.MESSAGES, o.full_normaliser("messages", "id", "norm", b))
+    + f"SELECT id, CASE WHEN is_audio THEN {b.sql_strip('m.text')} ELSE n.text END AS processed FROM messages m JOIN norm n USING (id)",
 )
 def audio_branch(spark, sf):
-    typed = rl.rewrite(F.lower("text"), b.RULES)
-    return messages(spark, sf).select("id", F.when(F.col("is_audio"), tx.strip(F.col("text"))).otherwise(typed).alias("text"))
+    """What the classifier scores: typed messages normalised, audio only stripped."""
+    settings = cl.ClassifierSettings(b.normaliser_settings(spark), so.lexicon_scorer(b.TERMS))
+    return cl.process(messages(spark, sf).select("id", "text", "is_audio"), settings).select("id", "processed")
 
 
 # -- predicates --------------------------------------------------------------------
@@ -282,19 +285,20 @@ def hallucination(spark, sf):
     )
 
 
-WORDS = ["hey", "friend ", "yah", "friends", "dear", "friend of mine"]
-_WORD = b.sql_pick(WORDS, "doc_id::VARCHAR")
-
-
 @query(
     "neutral_intercept",
-    with_(f"t AS (SELECT doc_id, {o.word_rules(_WORD, b.RULES + b.LATE_RULES)} AS text FROM documents)")
-    + f"SELECT doc_id, text, {b.sql_strip('text')} = 'friend' AS safe FROM t",
+    with_(b.MESSAGES, f"words AS (SELECT DISTINCT unnest({b.sql_tokens('text')}) AS id FROM messages)", "said AS (SELECT id, id AS text FROM words)",
+          o.full_normaliser("said", "id", "norm", b))
+    + f"""SELECT id, text AS processed, {b.sql_strip('text')} = 'friend' AS safe,
+  CASE WHEN {b.sql_strip('text')} = 'friend' THEN 0.0::DOUBLE END AS offensive_score FROM norm""",
 )
 def neutral_intercept(spark, sf):
-    docs = load(spark, sf, "documents").select("doc_id", tx.pick(WORDS, F.col("doc_id").cast("string")).alias("text"))
-    out = rl.apply_rules(docs, "text", b.RULES + b.LATE_RULES)
-    return out.withColumn("safe", cl.neutral_intercept(F.col("text")))
+    """Every word of the conversations as a message of its own, through the classifier."""
+    words = lx.distinct_tokens(messages(spark, sf), "text").select(F.col("token").alias("id"), F.col("token").alias("text"))
+    said = words.withColumns({"seq": F.lit(0).cast("long"), "is_audio": F.lit(False), "guard_on": F.lit(True)})
+    found = cl.classify(said, cl.ClassifierSettings(b.normaliser_settings(spark), so.lexicon_scorer(b.TERMS)))
+    safe = F.col("path") == "intercept"
+    return found.select("id", "processed", safe.alias("safe"), F.when(safe, F.col("offensive_score")).alias("offensive_score"))
 
 
 # -- lexicon -----------------------------------------------------------------------

@@ -18,24 +18,27 @@ def _csv(spark: SparkSession, path: str, schema: T.StructType, sep: str, multi_l
     )
 
 
-def _in_order(rows: DataFrame) -> DataFrame:
+# A task counts its rows below this number.
+_TASK_ROWS = 1 << 33
+
+
+def _in_order(rows: DataFrame, path: str) -> DataFrame:
     """Add ``seq``: files by time of change, then path; then the order within the file.
 
     A split begins at its byte offset, and each of its rows takes a byte at
-    least, so rows are counted on from there.
+    least, so rows are counted on from there.  Files begin where all files
+    before them end, with room for the rows of a task between; that leaves
+    numbers for half a billion files.  The files are listed, not read, for it.
     """
-    rows = rows.withColumns(
-        {
-            "_changed": F.col("_metadata.file_modification_time"),
-            "_file": F.col("_metadata.file_path"),
-            "_row": F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1),
-        }
+    place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(_TASK_ROWS - 1)
+    rows = rows.withColumns({"_file": F.col("_metadata.file_path"), "_row": place})
+    listed = rows.sparkSession.read.format("binaryFile").load(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_modification_time").alias("_changed"), F.col("_metadata.file_size").alias("_size")
     )
     # One row per file.
-    files = rows.select("_changed", "_file").distinct()
-    files = files.select("_file", (F.row_number().over(Window.orderBy("_changed", "_file")) - 1).cast("long").alias("_rank"))
-    placed = rows.join(files, "_file").withColumn("seq", F.shiftleft("_rank", 43) + F.col("_row"))
-    return placed.drop("_changed", "_file", "_row", "_rank")
+    before = Window.orderBy("_changed", "_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = listed.select("_file", F.coalesce(F.sum(F.col("_size") + _TASK_ROWS).over(before), F.lit(0)).alias("_begin"))
+    return rows.join(files, "_file").withColumn("seq", F.col("_begin") + F.col("_row")).drop("_file", "_row", "_begin")
 
 
 def _or_empty(read, spark: SparkSession, schema: T.StructType) -> DataFrame:
@@ -61,13 +64,13 @@ def read_corpus(
     rows = _csv(spark, path, schema, "\t", multi_line)
     if not keep_long:
         rows = rows.filter(F.col("_over").isNull())
-    return _in_order(rows.drop("_over")).select(*(f.name for f in schemas.CORPUS), F.lit(source).alias("source"), "seq")
+    return _in_order(rows.drop("_over"), path).select(*(f.name for f in schemas.CORPUS), F.lit(source).alias("source"), "seq")
 
 
 def read_feedback(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Feedback log (6 or 7 comma-separated fields) as corpus rows; a missing file is empty."""
     def read() -> DataFrame:
-        rows = _in_order(_csv(spark, path, schemas.FEEDBACK, ",", multi_line))
+        rows = _in_order(_csv(spark, path, schemas.FEEDBACK, ",", multi_line), path)
         return rows.select("text", "label", F.lit("user_feedback").alias("extra"), F.lit("feedback").alias("source"), "seq")
 
     empty = T.StructType(schemas.CORPUS.fields + [T.StructField("source", T.StringType()), T.StructField("seq", T.LongType())])
@@ -83,7 +86,7 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     """Message history, a JSON array per file, with ``seq`` as order; a bad or missing file is empty."""
     def read() -> DataFrame:
         reader = spark.read.schema(schemas.MESSAGE).options(multiLine=True, mode="DROPMALFORMED")
-        return _in_order(reader.json(path))
+        return _in_order(reader.json(path), path)
 
     return _or_empty(read, spark, T.StructType(schemas.MESSAGE.fields + [T.StructField("seq", T.LongType())]))
 

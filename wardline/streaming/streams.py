@@ -187,8 +187,29 @@ def stream_stats(stream: DataFrame, by: list[str] = []) -> DataFrame:
     return evaluation.moderation_stats(stream, by)
 
 
+def stream_stats_windowed(stream: DataFrame, ts: str = "ts", window: str = "1 hour", watermark: str = "1 hour", by: list[str] = []) -> DataFrame:
+    """Dashboard counters per window of event time.
+
+    Rows that come late count in their window as long as it ends less than
+    ``watermark`` before the latest instant seen up to the batch before last;
+    later ones are dropped, and state is kept no longer.
+    """
+    placed = stream.withWatermark(ts, watermark).withColumn("window", F.window(ts, window))
+    counted = evaluation.moderation_stats(placed, ["window", *by])
+    return counted.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *[c for c in counted.columns if c != "window"])
+
+
+def latest_rows(spark: SparkSession, path: str, keys: list[str], before: int | None = None) -> DataFrame:
+    """What a table written in update mode says now: each key's row of its last update."""
+    rows = spark.read.parquet(path)
+    rows = rows if before is None else rows.filter(F.col("batch") < before)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return last.select(*keys, *(F.col(f"_last.{c}").alias(c) for c in rest))
+
+
 def write_table(stream: DataFrame, path: str, mode: str = "append", checkpoint: str | None = None, once: bool = False) -> StreamingQuery:
-    """Write a stateful stream: appended batches, or in complete mode one folder per update."""
+    """Write a stateful stream: appended batches, or in complete and update mode one folder per update."""
     checkpoint = checkpoint or scratch_dir(stream.sparkSession, "stream")
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", path)
