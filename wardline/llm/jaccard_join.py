@@ -38,7 +38,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.blocks import BASE, blocks, longs, mix, run_fingerprints
@@ -182,14 +182,15 @@ def _search(percent: int) -> Callable:
     return work
 
 
-def t_occurrence_links(index: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between ``queries`` and ``index``, both (class, cluster, label, n, keys).
+def t_occurrence_links(sets: DataFrame, index: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between ``queries`` and ``index``, both (class, cluster, label, size) of ``sets`` (class, n, keys).
 
     Clusters below ``INDEX_SHINGLES`` share blocks; a larger one is cut into
     blocks of that size, and its queries visit each.  Queries beyond
-    ``QUERY_SHINGLES`` go to further copies of the block.
+    ``QUERY_SHINGLES`` go to further copies of the block.  Blocks are planned
+    on these narrow rows; the arrays join them when all is planned.
     """
-    weight = lambda df, name: df.groupBy("cluster").agg(F.sum(F.size("keys")).alias(name))
+    weight = lambda df, name: df.groupBy("cluster").agg(F.sum("size").alias(name))
     sizes = materialise(weight(index, "held").join(weight(queries, "asked"), "cluster"), "cluster-sizes")
     total = sizes.agg(F.sum("held"), F.sum("asked")).first()
     shared = int(max(1, (total[0] or 0) // INDEX_SHINGLES * 2, (total[1] or 0) // QUERY_SHINGLES * 2, 16))
@@ -202,14 +203,19 @@ def t_occurrence_links(index: DataFrame, queries: DataFrame, percent: int) -> Da
         F.when(big, F.ceil(F.col("asked") / QUERY_SHINGLES)).otherwise(1).cast("int").alias("copies"),
     )
     one = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    index = index.join(sizes, "cluster").withColumn("part", one("parts")).withColumn("copy", every("copies"))
-    queries = queries.join(sizes, "cluster").withColumn("copy", one("copies")).withColumn("part", every("parts"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     place = ["block", "big", "part", "copy"]
-    # New names for one side: both may come from one table.
-    columns = [F.col(c).alias(c) for c in (*place, "class", "label", "n", "keys")]
-    index, queries = (df.select(columns).groupBy(place) for df in (index, queries))
-    return index.cogroup(queries).applyInPandas(_search(percent), "a long, b long")
+
+    def placed(df: DataFrame, part: Column, copy: Column) -> DataFrame:
+        """Rows with their arrays at each of their places."""
+        spots = df.join(sizes, "cluster").select("class", "label", "block", "big", part.alias("parts"), copy.alias("copies"))
+        found = sets.select(*(F.col(c).alias(c) for c in ("class", "n", "keys"))).join(spots, "class")
+        found = found.withColumn("part", F.explode("parts")).withColumn("copy", F.explode("copies"))
+        return found.select(*(F.col(c).alias(c) for c in (*place, "class", "label", "n", "keys")))
+
+    index = placed(index, F.array(one("parts")), every("copies"))
+    queries = placed(queries, every("parts"), F.array(one("copies")))
+    return index.groupBy(place).cogroup(queries.groupBy(place)).applyInPandas(_search(percent), "a long, b long")
 
 
 def _candidates(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -239,18 +245,20 @@ def link_classes(docs: DataFrame, classes: DataFrame, size: int = 5, percent: in
     stars = prefixes.withColumn("first", F.min("class").over(Window.partitionBy("key"))).select("class", "first").distinct()
     stars = materialise(stars, "stars")
     clusters = components(stars.select(F.col("class").alias("a"), F.col("first").alias("b")))
-    placed = sets.join(clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster")), "class")
+    sized = sets.select("class", F.size("keys").alias("size"))
+    placed = sized.join(clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster")), "class")
     placed = materialise(placed, "placed")
     firsts = stars.filter("class <> first").select(F.col("first").alias("class")).distinct()
     own = placed.withColumn("label", F.col("class"))
-    links = materialise(t_occurrence_links(own.join(firsts, "class", "left_semi"), own, percent), "links-first")
+    links = materialise(t_occurrence_links(sets, own.join(firsts, "class", "left_semi"), own, percent), "links-first")
     joined = materialise(components(links), "joined")
     labelled = placed.join(joined.select(F.col("node").alias("class"), "root"), "class", "left")
     labelled = materialise(labelled.withColumn("label", F.coalesce("root", "class")).drop("root"), "labelled")
     parts = labelled.groupBy("cluster", "label").count()
     open_ = parts.groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.count("*").alias("labels"))
     rest = labelled.join(materialise(open_.filter("labels > 1").drop("labels"), "open"), "cluster")
-    more = t_occurrence_links(rest.drop("largest"), rest.filter("label <> largest").drop("largest"), percent)
+    rest = materialise(rest, "rest")
+    more = t_occurrence_links(sets, rest.drop("largest"), rest.filter("label <> largest").drop("largest"), percent)
     return components(links.unionByName(more))
 
 
