@@ -130,6 +130,22 @@ def test_suffix_dedup(docs, nothing, monkeypatch, together):
     assert sx.suffix_dedup(nothing).count() == 0
 
 
+@pytest.mark.parametrize("length, gram", [(8, 4), (400, 40)])
+def test_suffix_dedup_of_other_lengths(spark, length, gram):
+    """With 400 bytes a run has up to 361 windows."""
+    rng = np.random.default_rng(length)
+    parts = ["".join(rng.choice(list("abcdé "), int(n))) for n in rng.integers(5, 900, 12)]
+    texts = [(i, "".join(parts[int(k)] for k in rng.integers(0, 12, 4))) for i in range(60)]
+    found = sx.suffix_dedup(spark.createDataFrame(texts, "doc_id long, text string"), length, gram, keep_bytes=False)
+    assert rows(found) == repeated_bytes(texts, length)
+
+
+def test_suffix_dedup_refuses_lengths_it_cannot_take(docs):
+    for length, gram in ((98, 40), (100, 101), (1 << 20, 40)):
+        with pytest.raises(ValueError):
+            sx.suffix_dedup(docs, length, gram)
+
+
 def test_bucket_pointers():
     text = np.random.default_rng(2).integers(0, 2, 400).astype(np.uint8)
     starts = np.arange(400 - 12)

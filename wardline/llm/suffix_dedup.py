@@ -47,6 +47,8 @@ LENGTH = 100
 GRAM = 40
 # Bits of a sort key that hold a position within a block.
 PLACE = np.uint64(30)
+# Bits of a run's place that hold its number of windows.
+COUNT = 16
 # Runs refined together in one task.
 TOGETHER = 20_000
 
@@ -86,7 +88,7 @@ def _block_runs(block: Block, length: int, gram: int) -> tuple[np.ndarray, ...]:
 def _runs(length: int, gram: int) -> Callable:
     """Rows (gram, whole, doc_id, place), a run each.
 
-    ``place`` is the first window and, in the low byte, the number of windows.
+    ``place`` is the first window and, in the low ``COUNT`` bits, the number of windows.
     It is inverted if an earlier run of the batch is equal; such a run needs no
     bucket, and gets one of its own.
     """
@@ -104,7 +106,7 @@ def _runs(length: int, gram: int) -> Callable:
             new[1:] = ~same | (doc[1:] != doc[:-1]) | (first[1:] != first[:-1])  # repeated rows give equal runs
             again = np.append(False, same)[: len(new)][new]
             doc, first, count, grams, whole = (x[new] for x in (doc, first, count, grams, whole))
-            place = first << 8 | count
+            place = first << COUNT | count
             bucket = np.where(again, mix(grams ^ mix(doc.astype(np.uint64))), grams)
             columns = [longs(bucket), longs(whole), longs(doc), longs(np.where(again, ~place, place))]
             yield pa.RecordBatch.from_arrays(columns, names=["gram", "whole", "doc_id", "place"])
@@ -239,8 +241,8 @@ def _shared_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     runs = runs.withColumn("lead", F.min(where).over(Window.partitionBy("gram", "whole")) == where)
     runs = runs.withColumn("open", (F.col("place") >= 0) & F.col("lead")).filter("NOT open OR mixed")
     place = F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))
-    low = F.shiftright(place, 8)
-    run = F.struct("gram", low.alias("low"), (low + place.bitwiseAND(255) - 1).alias("high"), "open")
+    low = F.shiftright(place, COUNT)
+    run = F.struct("gram", low.alias("low"), (low + place.bitwiseAND((1 << COUNT) - 1) - 1).alias("high"), "open")
     return runs.groupBy("doc_id").agg(F.collect_set(run).alias("runs"))
 
 
@@ -262,10 +264,14 @@ def _refined(opened: DataFrame, length: int) -> DataFrame:
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_bytes: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): every document without its repeated bytes.
 
-    ``keep_bytes=False`` leaves out ``kept``, the remaining bytes.
+    ``keep_bytes=False`` leaves out ``kept``, the remaining bytes.  ``length``
+    must be a multiple of four and hold a q-gram.
     """
+    if length % 4 or not 0 < gram <= length or length - gram >= 1 << COUNT:
+        raise ValueError(f"length {length} does not go with q-grams of {gram} bytes")
     docs = docs.select("doc_id", "text")
-    runs = _shared_runs(docs.filter("doc_id IS NOT NULL"), length, gram)
+    # Written by itself, so that the shuffle of all runs is gone before texts are shuffled.
+    runs = settled(_shared_runs(docs.filter("doc_id IS NOT NULL"), length, gram), "runs")
     packed = docs.mapInArrow(_packed, "doc_id long, packed binary")
     first = packed.join(runs, "doc_id", "left").mapInArrow(_digest(length, False), _SCHEMA)
     first = settled(first if keep_bytes else first.drop("kept"), "digests")
