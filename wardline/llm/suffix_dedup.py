@@ -41,7 +41,6 @@ from pyspark.sql import functions as F
 
 from wardline.llm.blocks import Block, blocks, longs, merged, mix, without
 from wardline.llm.scratch import settled
-from wardline.session import materialise
 
 LENGTH = 100
 GRAM = 40
@@ -177,7 +176,7 @@ def _refine(length: int) -> Callable:
 
 def _packed(batches):
     """Texts as compressed bytes, for the shuffles."""
-    pack = zstandard.ZstdCompressor(level=3).compress
+    pack = zstandard.ZstdCompressor(level=8).compress
     for batch in batches:
         packed = [pack((t or "").encode()) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
@@ -255,7 +254,7 @@ def _refined(opened: DataFrame, length: int) -> DataFrame:
     # A divided q-gram has groups of its own.
     placed = placed.withColumn("own", F.when(F.col("parts") > 1, F.col("gram")))
     found = placed.groupBy("group", "own", "part").applyInPandas(_refine(length), "doc_id long, low long, high long, whole long")
-    found = materialise(found, "refined")
+    found = settled(found, "refined")
     place = F.struct("doc_id", "low")
     firsts = found.filter("whole IS NOT NULL").withColumn("lead", F.min(place).over(Window.partitionBy("whole")))
     return found.filter("whole IS NULL").drop("whole").unionByName(firsts.filter(F.col("lead") != place).drop("lead", "whole"))
