@@ -50,7 +50,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-# The language model and the tokenizer have no SQL; tests/llm checks the stages against plain versions.
+# The language model and the tokenizer have no SQL.
 ORACLE_SQL = None
 
 
