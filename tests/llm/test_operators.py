@@ -388,6 +388,13 @@ def test_sharding(spark, docs, nothing, tmp_path):
     assert max(pages.values()) <= 12 and sum(pages.values()) == 51
     sh.write_shards(docs, str(tmp_path / "shards"), 4000)
     assert rows(spark.read.parquet(str(tmp_path / "shards")).select("doc_id", F.coalesce("text", F.lit("")))) == [(r[0], r[1] or "") for r in corpus()]
+    sh.write_shards(same, str(tmp_path / "equal"), 1000)
+    written = spark.read.parquet(str(tmp_path / "equal"))
+    assert written.count() == 51 and written.select("depth").distinct().count() == 50
+    equal = spark.createDataFrame([(1, "x" * 90)] * 50, "doc_id long, text string")
+    sh.write_shards(equal, str(tmp_path / "same"), 1000)
+    pages = spark.read.parquet(str(tmp_path / "same")).groupBy("shard", "page").count().collect()
+    assert sum(r["count"] for r in pages) == 50 and max(r["count"] for r in pages) <= 12
     assert sh.assign(nothing, 1000).count() == 0
 
 

@@ -84,8 +84,21 @@ def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
 
 def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> None:
     """Write ``docs`` as one Parquet folder per shard and page."""
-    places = assign(docs, limit, key, text).select(F.col("key").alias(key), F.col("digest").alias("digest of text"), "shard", "page").distinct()
-    whole = docs.withColumn("digest of text", F.xxhash64(text))
-    match = whole[key].eqNullSafe(places[key]) & (whole["digest of text"] == places["digest of text"])
-    placed = whole.join(places, match).select(*(whole[c] for c in docs.columns), "shard", "page")
+    same = ["key of row", "digest of text"]
+    places = assign(docs, limit, key, text).select(F.col("key").alias(same[0]), F.col("digest").alias(same[1]), F.struct("shard", "page").alias("spot"))
+    places = materialise(places, "places")
+    whole = docs.withColumns({same[0]: F.col(key), same[1]: F.xxhash64(text)})
+    spots = places.groupBy(same).agg(F.min("spot").alias("spot"), (F.min("spot") != F.max("spot")).alias("several"))
+    renamed = lambda df, *more: df.select(F.col(same[0]).alias("key of place"), F.col(same[1]).alias("digest of place"), *more)
+    match = F.col(same[0]).eqNullSafe(F.col("key of place")) & (F.col(same[1]) == F.col("digest of place"))
+    found = whole.join(renamed(spots, "spot", "several"), match).drop("key of place", "digest of place")
+    kept = [F.col(c) for c in docs.columns]
+    one = found.filter("NOT several").select(*kept, "spot")
+    # Rows with one key and text on several pages: the n-th of them goes where the n-th place is.
+    place = Window.partitionBy(same)
+    rows = found.filter("several").withColumn("number of row", F.row_number().over(place.orderBy(F.xxhash64(*docs.columns)))).drop("spot")
+    theirs = renamed(places.withColumn("n", F.row_number().over(place.orderBy("spot"))), F.col("n").alias("number of place"), F.col("spot").alias("spot"))
+    paged = rows.join(theirs, match & (F.col("number of row") == F.col("number of place"))).select(*kept, "spot")
+    placed = one.unionByName(paged)
+    placed = placed.select(*kept, F.col("spot.shard").alias("shard"), F.col("spot.page").alias("page"))
     placed.repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
