@@ -8,8 +8,9 @@ its centre and scatter.  From the coordinate-wise median as a start, each
 concentration step keeps the nearest ``SHARE`` of the group by Mahalanobis
 distance, and computes mean and covariance anew; the determinant cannot grow.
 A reweighting step over all but clear outliers follows.  Documents whose distance
-exceeds the cut are rejected.  Sources with fewer than ``LEAST_DOCS`` documents
-of a language that pass the base rule are one group for that language.
+exceeds the cut are rejected.  A source with fewer than ``LEAST_DOCS`` documents
+of a language that pass the base rule is judged by the estimate of that whole
+language, and if that has fewer too, of all documents, however few.
 
 Every step is one aggregation over the whole table of statistics: distances are
 rounded to ``1 / BINS`` of a power of two, moments are summed per group and bin,
@@ -22,8 +23,7 @@ reason to reject, the least that the scatter has.  A group that varies more keep
 own.  The floors are small enough that each statistic can reject alone.
 
 Nulls and edge cases: a null text has no words and fails the base rule, as does an
-empty one.  A null language or source is a group value of its own.  In groups
-that are too small even then the method rejects nothing.  Repeated rows count and
+empty one.  A null language or source is a group value of its own.  Repeated rows count and
 are judged once each.  Other columns pass through ``quality_filter``.
 """
 
@@ -48,6 +48,7 @@ SHARE = 0.75
 STEPS = 5
 BINS = 32
 LEAST_DOCS = 50
+EVERYTHING = "all"
 # Share of the squared distances of clean documents within the cut, were the vectors normal.
 WITHIN = 0.999
 
@@ -212,7 +213,8 @@ def mcd_estimates(rows: DataFrame, size: int, floors: list[float]) -> DataFrame:
 
 
 def _counted(docs: DataFrame, carried: list[str]) -> DataFrame:
-    names = {"own": F.to_json(F.struct("lang", "source")), "pool": F.to_json(F.struct("lang"))}
+    nulls = {"ignoreNullFields": "false"}
+    names = {"own": F.to_json(F.struct("lang", "source"), nulls), "pool": F.to_json(F.struct("lang"), nulls)}
     found = text_counts(docs.withColumns(names), [*carried, *names])
     return found.withColumns({f"x{i}": x for i, (x, _) in enumerate(_statistics())})
 
@@ -222,12 +224,16 @@ def _fitted(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
     floors = [floor for _, floor in _statistics()]
     passed = counted.filter(~F.col("base_failed"))
     sizes = passed.groupBy("own", "pool").count()
-    group = F.when(F.col("count") >= LEAST_DOCS, F.col("own")).otherwise(F.col("pool")).alias("group")
-    groups = materialise(sizes.select("own", group, "count"), "groups")
-    large = groups.groupBy("group").agg(F.sum("count").alias("docs")).filter(F.col("docs") >= LEAST_DOCS)
-    grouped = passed.join(groups.join(large, "group").select("own", "group"), "own")
-    rows = materialise(grouped.select("group", *(f"x{i}" for i in range(len(floors)))), "statistics")
-    return mcd_estimates(rows, len(floors), floors), groups.select("own", "group")
+    pools = sizes.groupBy("pool").agg(F.sum("count").alias("docs"))
+    wider = F.when(F.col("docs") >= LEAST_DOCS, F.col("pool")).otherwise(EVERYTHING)
+    group = F.when(F.col("count") >= LEAST_DOCS, F.col("own")).otherwise(wider).alias("group")
+    groups = materialise(sizes.join(pools, "pool").select("own", group), "groups")
+    # A row counts in its own group and in the wider ones that small groups of any source need.
+    needed = groups.select("group").distinct()
+    among = F.explode(F.array("own", "pool", F.lit(EVERYTHING))).alias("group")
+    grouped = passed.select(among, *(f"x{i}" for i in range(len(floors)))).join(needed, "group", "left_semi")
+    rows = materialise(grouped, "statistics")
+    return mcd_estimates(rows, len(floors), floors), groups
 
 
 def _judged(counted: DataFrame, estimates: DataFrame, groups: DataFrame) -> DataFrame:
