@@ -243,6 +243,18 @@ def test_quality_rejects_outliers(spark):
     assert {r["doc_id"] for r in qr.quality_rules(df).filter("kept").collect()} == set(range(200))
 
 
+def test_quality_judges_small_sources_by_wider_groups(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefgh"), 2 + rng.integers(8))) for _ in range(500)]
+    say = lambda mark="": " ".join(w + mark for w in rng.choice(words, 60 + rng.integers(200)))
+    rows = [(say(), "en", "hot") for _ in range(300)]
+    rows += [(say("###"), "en", "tiny") for _ in range(30)] + [(say(), "en", None) for _ in range(10)]  # by the whole language
+    rows += [(say("###"), "xx", "other") for _ in range(20)] + [(say(), None, None) for _ in range(10)]  # by all documents
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in qr.quality_rules(df).filter("kept").collect()}
+    assert kept == {i for i, (text, *_) in enumerate(rows) if "#" not in text}
+
+
 def test_each_quality_statistic_rejects_alone(spark):
     rng = np.random.default_rng(7)
     words = ["".join(rng.choice(list("abcdefgh"), 2 + rng.integers(8))) for _ in range(500)]
@@ -328,9 +340,9 @@ def test_transcripts(spark, monkeypatch):
     for r in tc.parse_transcripts(df).orderBy("turn").collect():
         found.setdefault(r["conv_id"], []).append((r["role"], r["content"]))
     for conv in {c for c, *_ in lines}:
-        own = [x for c, p, t in sorted(lines, key=lambda x: -1 if x[1] is None else x[1]) if c == conv for x in (t or "").split("\n")]
+        entries = [t or "" for c, p, t in sorted(lines, key=lambda x: -1 if x[1] is None else x[1]) if c == conv]
         turns = []
-        for line, state in zip(own, viterbi([tc.shows(x) for x in own]), strict=True):
+        for line, state in zip(*[(own, viterbi(codes)) for own, codes in [tc.shown(entries)]][0], strict=True):
             role, begins = tc.STATES[state]
             if begins or not turns:
                 turns.append((tc.ROLES[role], []))
@@ -339,6 +351,42 @@ def test_transcripts(spark, monkeypatch):
     assert tc.parse_transcripts(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "line, kind",
+    [("User: hi", 2), ("### Answer", 3), ("[AI] yes", 3), ("**AI**: k", 3), ("**User:** k", 2), ("<|system|>k", 1), ("Human : x", 2)]
+    + [("Answer: 42", 6), ("AI - and more", 6), ("a: b", 6), ("Question: why?", 5), ("Context: none", 4)]
+    + [("AI-driven tools", 0), ("Model-based ones", 0), ("User-friendly", 0), ("A-level", 0), ("Users: many", 0), ("Context] x", 0), ("### A thing", 0)],
+)
+def test_markers(line, kind):
+    found, rest = tc.marker_of(line)
+    assert found == kind and (rest == line) == (kind in (0, 4, 5, 6))
+
+
+def test_turns_hold_every_word_and_may_refuse_a_marker(spark):
+    said = [
+        "User: AI-driven tools are useful\nUser-friendly ones too",
+        "Assistant: Model-based ones too\nAnswer: 42",
+        "User: A-level\nagent - orange",
+        "Assistant: so it is",
+    ]
+    df = spark.createDataFrame([(1, k, t) for k, t in enumerate(said)], "conv_id long, place long, text string")
+    turns = [(r["role"], r["content"]) for r in tc.parse_transcripts(df).orderBy("turn").collect()]
+    assert turns == [(t.split(":")[0].lower(), t.split(": ", 1)[1]) for t in said]
+    asked = ["Q: how?", "A: so", "Q: and when?", "A: then"]  # bare letters are believed where they fit
+    df = spark.createDataFrame([(1, k, t) for k, t in enumerate(asked)], "conv_id long, place long, text string")
+    turns = [(r["role"], r["content"]) for r in tc.parse_transcripts(df).orderBy("turn").collect()]
+    assert turns == [("user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(asked)]
+
+
+def test_roles_of_true_turns(spark):
+    rng = np.random.default_rng(12)
+    say = lambda: "\n".join(" ".join(rng.choice(["so", "it", "is", "and", "was"], 12)) + "." for _ in range(2 + rng.integers(2)))
+    rows = [(c, k, ["user", "assistant"][k % 2], say()) for c in range(60) for k in range(2 + c % 7)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {(r["conv_id"], r["role"], r["content"]) for r in tc.parse_transcripts(tc.raw_transcripts(df)).collect()}
+    assert sum((str(c), role, text) in found for c, _, role, text in rows) >= 0.95 * len(rows)
+
+
 def test_piece_tokens(docs, nothing):
     path = tokenizer_path("piece_bpe_32k.model")
     encoded = pt.encode(docs, path)

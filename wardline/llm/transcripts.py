@@ -2,10 +2,16 @@
 
 A transcript is lines of text, some with a speaker marker ("User:", "### Assistant:").
 The states are a role and whether a line begins a turn.  A line shows a
-marker's role or none, and whether it is blank, a question or long; the most
-likely states of all lines (Viterbi) give the roles, and lines from one beginning
+marker's role or none, whether it is the first of an entry of several lines (such
+entries are turns more often than lines of turns), and whether it is blank, a question or long; the most likely states of all lines (Viterbi) give the roles, and lines from one beginning
 to the next are a turn.
 
+A marker is certain if it cannot be text ("User:", "[AI]", "### Answer:"); only such
+a one is cut off, where a turn begins.  What may be text ("Answer: 42", "AI - and
+more") is shown as a weak marker, which the model may refuse, and stays in the
+content.  A name joined to a word by a hyphen ("AI-driven") is text.  So every word
+but those of certain markers is in a turn.
+
 A conversation may be of any length.  Lines come in chunks of ``CHUNK`` entries;
 each chunk is reduced to a table of the best score from every state before it to
 every state at its end, these tables are chained per conversation, and then every
@@ -39,12 +45,26 @@ NAMES = {
     "assistant": ("assistant", "bot", "ai", "model", "agent", "answer", "a"),
 }
 _NAMES = {name: role for role, names in NAMES.items() for name in names}
-MARKER = re.compile(r"\s*(?:#+\s*|\*\*|<\|?|\[)?\s*(" + "|".join(sorted(_NAMES, key=len, reverse=True)) + r")\s*(?:\*\*)?\s*(?:\|?>|\]|:|-)\s*:?\s*", re.I)
+# Names that are also ordinary words or single letters: bare, they need not be a marker.
+_WORDS = {"instruction", "instructions", "context", "question", "q", "me", "model", "agent", "answer", "a", "customer"}
+_PLAIN = "|".join(sorted(_NAMES.keys() - _WORDS, key=len, reverse=True))
+_ANY = "|".join(sorted(_NAMES, key=len, reverse=True))
+# A certain marker is in a pair of brackets or of stars, after a heading's signs, or a name that is no other word before a colon.
+MARKER = re.compile(
+    rf"\s*(?:#+\s*)?(?:\[\s*({_ANY})\s*\]\s*:?|<\|?\s*({_ANY})\s*\|?>\s*:?|\*\*\s*({_ANY})\s*(?::\s*\*\*|\*\*\s*:)|({_PLAIN})\s*:)\s*"
+    rf"|\s*#+\s*({_ANY})\s*(?::\s*|$)",
+    re.I,
+)
+# One that may be text: another word before a colon, or a name before a hyphen with space on both sides.
+WEAK = re.compile(rf"\s*(?:({_ANY})\s*:|({_ANY})\s+-\s)", re.I)
 
 # States: beginning and continuation of a turn of each role, in the order of ROLES.
 STATES = [(role, begins) for role in range(3) for begins in (True, False)]
 
 
+SHOWN_CODES = 7 << 4
+
+
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log chances: of the first state, of one state after another, of what a line shows."""
     first = np.array([0.25, 1e-9, 0.7, 1e-9, 0.05, 1e-9])
@@ -53,16 +73,18 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for i, (role, _) in enumerate(STATES):
         for j, (after, begins) in enumerate(STATES):
             step[i, j] = 0.45 * next_role[role, after] if begins else 0.55 * (role == after)
-    # What a line shows: marker (none, system, user, assistant) x blank x question x long.
-    marker = np.zeros((6, 4))
+    # What a line shows: marker (none, certain or weak one of each role) x opens an entry of several lines x blank x question x long.
+    marker = np.zeros((6, 7))
     question, long = np.array([0.05, 0.4, 0.1]), np.array([0.5, 0.3, 0.6])
-    shown = np.zeros((6, 32))
+    shown = np.zeros((6, SHOWN_CODES))
     for i, (role, begins) in enumerate(STATES):
-        marker[i] = [0.2, 0.02, 0.02, 0.02] if begins else [0.997, 0.001, 0.001, 0.001]
-        marker[i, 1 + role] += 0.74 if begins else 0
-        for code in range(32):
-            m, blank, asks, many = code >> 3, code >> 2 & 1, code >> 1 & 1, code & 1
+        marker[i] = [0.2, 0.02, 0.02, 0.02, 0.002, 0.002, 0.002] if begins else [0.967, 0.001, 0.001, 0.001, 0.01, 0.01, 0.01]
+        marker[i, 1 + role] += 0.704 if begins else 0
+        marker[i, 4 + role] += 0.03 if begins else 0
+        for code in range(SHOWN_CODES):
+            m, opens, blank, asks, many = code >> 4, code >> 3 & 1, code >> 2 & 1, code >> 1 & 1, code & 1
             chance = marker[i, m] * ((0.02 if begins else 0.15) if blank else (0.98 if begins else 0.85))
+            chance *= (0.5 if begins else 0.03) if opens else (0.5 if begins else 0.97)
             chance *= question[role] if asks else 1 - question[role]
             shown[i, code] = chance * (long[role] if many else 1 - long[role])
     with np.errstate(divide="ignore"):
@@ -73,15 +95,18 @@ FIRST, STEP, SHOWN = _tables()
 
 
 def marker_of(line: str) -> tuple[int, str]:
-    """1 + the role of a line's marker, or 0; and the line without it."""
-    found = MARKER.match(line)
-    return (1 + ROLES.index(_NAMES[found[1].lower()]), line[found.end() :]) if found else (0, line)
+    """1 + the role of a line's certain marker, 4 + that of a weak one, or 0; and the line without a certain one."""
+    if found := MARKER.match(line):
+        return 1 + ROLES.index(_NAMES[found[found.lastindex].lower()]), line[found.end() :]
+    if found := WEAK.match(line):
+        return 4 + ROLES.index(_NAMES[found[found.lastindex].lower()]), line
+    return 0, line
 
 
-def shows(line: str) -> int:
-    """What a line shows, as a number under 32."""
+def shows(line: str, opens: bool = False) -> int:
+    """What a line shows, as a number under ``SHOWN_CODES``; ``opens``: it is the first of an entry of several lines."""
     text = line.strip()
-    return marker_of(line)[0] << 3 | (not text) << 2 | text.endswith("?") << 1 | (len(text) > 120)
+    return marker_of(line)[0] << 4 | opens << 3 | (not text) << 2 | text.endswith("?") << 1 | (len(text) > 120)
 
 
 def _onward(score: np.ndarray, code: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,15 +142,18 @@ def solved(codes: list[int], before: int | None, end: int | None) -> list[int]:
     return states[::-1]
 
 
-def _lines(entry: dict) -> list[str]:
-    return (entry["text"] or "").split("\n")
+def shown(entries: list[str]) -> tuple[list[str], list[int]]:
+    """The lines of these entries and what each shows."""
+    split = [e.split("\n") for e in entries]
+    codes = [shows(x, k == 0 and len(lines) > 1) for lines in split for k, x in enumerate(lines)]
+    return [x for lines in split for x in lines], codes
 
 
 def _reduce(frames):
     for frame in frames:
         tables = []
         for entries, first in zip(frame["entries"], frame["is_first"], strict=True):
-            codes = [shows(x) for e in entries for x in _lines(e)]
+            codes = shown([e["text"] for e in entries])[1]
             # The first chunk has no state before it: one row of scores.
             table = (FIRST + SHOWN[:, codes[0]] + reduced(codes[1:]).T).T.max(axis=0)[None].repeat(6, 0) if first else reduced(codes)
             tables.append(table.ravel().tolist())
@@ -154,8 +182,8 @@ def _solve(frames):
     for frame in frames:
         out = []
         for conv, chunk, entries, before, end in zip(*(frame[c] for c in ("conv", "chunk", "entries", "before", "end")), strict=True):
-            lines = [x for e in entries for x in _lines(e)]
-            states = solved([shows(x) for x in lines], None if pd.isna(before) or before < 0 else int(before), None if pd.isna(end) else int(end))
+            lines, codes = shown([e["text"] for e in entries])
+            states = solved(codes, None if pd.isna(before) or before < 0 else int(before), None if pd.isna(end) else int(end))
             for k, (line, state) in enumerate(zip(lines, states, strict=True)):
                 role, begins = STATES[state]
                 out.append((conv, chunk, k, ROLES[role], begins, marker_of(line)[1] if begins else line))
@@ -175,10 +203,11 @@ def parse_transcripts(lines: DataFrame) -> DataFrame:
     ).distinct()
     chunk = F.floor(F.col("place") / CHUNK).alias("chunk")
     chunks = entries.groupBy("conv", chunk).agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("entries"))
-    each = Window.partitionBy("conv")
-    chunks = chunks.withColumn("is_first", F.col("chunk") == F.min("chunk").over(each)).withColumn("several", F.count("*").over(each) > 1)
     chunks = materialise(chunks, "chunks")
-    tables = chunks.filter("several").select("conv", "chunk", "is_first", "entries")
+    # Numbers only: the texts of a long conversation do not meet in one task.
+    spans = chunks.groupBy("conv").agg(F.min("chunk").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    several = chunks.join(spans, "conv").withColumn("is_first", F.col("chunk") == F.col("head"))
+    tables = several.select("conv", "chunk", "is_first", "entries")
     tables = tables.mapInPandas(_reduce, "conv string, chunk long, table array<double>")
     chained = tables.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("chunk", "table"))).alias("chunks"))
     ends = chained.mapInPandas(_chain, "conv string, chunk long, before int, end int")
