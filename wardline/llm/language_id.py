@@ -3,14 +3,16 @@
 A text is the average of the embeddings of its byte 3- and 4-grams, hashed to
 ``BUCKETS`` rows; a linear layer and a softmax turn it into probabilities.  Both
 layers are trained together by stochastic gradient descent in numpy, on a bounded
-sample: at most ``PER_LANGUAGE`` rows of each of at most ``LANGUAGES`` labels,
-those with the smallest hash of their key.  Every fifth sampled row is
-kept out of training, and sets the temperature of the softmax and the score
+sample: of every label the rows with the smallest hash of their key, at most
+``PER_LANGUAGE`` each and ``SAMPLE`` together, but at least one.  Every fifth sampled row
+of a label is kept out of training (rare labels are gone through up to ``MOST_TIMES``
+as often as others), and sets the temperature of the softmax and the score
 under which a prediction is rejected: at most ``LOST`` of the right ones of those
 rows lie under it, and it is at most 0.5.
 
-Embedding and layer of a trained model are multiplied once, so that a prediction
-adds one row of scores per n-gram of the whole text.  The label of a row, its key
+A prediction adds one row per n-gram of the whole text: of scores, as embedding and
+layer of a trained model are multiplied once, or with more labels than
+``DIMENSIONS`` of the embedding.  The label of a row, its key
 and other columns are never inputs of a prediction.
 
 Nulls and edge cases: a null text, and one without a letter, is ``und`` with score
@@ -36,9 +38,10 @@ from wardline.session import materialise
 BUCKETS = 1 << 15
 GRAMS = (3, 4)
 DIMENSIONS = 16
-LANGUAGES = 200
 PER_LANGUAGE = 600
+SAMPLE = 120_000
 EPOCHS = 6
+MOST_TIMES = 4
 RATE = 2.0
 LOST = 0.001
 UNKNOWN = "und"
@@ -64,7 +67,8 @@ def _buckets(block: Block) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 @dataclass
 class Model:
     languages: list[str]
-    scores: np.ndarray  # BUCKETS x languages: embedding times layer
+    scores: np.ndarray  # BUCKETS x languages: embedding times layer; with a layer, the embedding
+    layer: np.ndarray | None
     prior: np.ndarray
     temperature: float
     least: float
@@ -72,15 +76,16 @@ class Model:
     def probabilities(self, block: Block) -> np.ndarray:
         grams = _buckets(block)
         total = sum(end - begin for _, begin, end in grams)
-        logits = np.empty((block.last - block.first, len(self.languages)))
-        for k in range(len(self.languages)):
+        sums_of = np.empty((block.last - block.first, self.scores.shape[1]))
+        for k in range(self.scores.shape[1]):
             column = np.ascontiguousarray(self.scores[:, k])
-            added = np.zeros(len(logits))
+            added = np.zeros(len(sums_of))
             for bucket, begin, end in grams:
                 sums = np.concatenate(([0.0], np.cumsum(column[bucket], dtype=np.float64)))
                 added += sums[end] - sums[begin]
-            logits[:, k] = added / np.maximum(total, 1) + self.prior[k]
-        return softmax(logits / self.temperature)
+            sums_of[:, k] = added / np.maximum(total, 1)
+        logits = sums_of if self.layer is None else sums_of @ self.layer
+        return softmax((logits + self.prior) / self.temperature)
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -103,17 +108,19 @@ def _features(batches):
 
 
 def training_sample(rows: DataFrame) -> pa.Table:
-    """Features of the sampled rows of ``rows`` (key, label, text); at most PER_LANGUAGE * LANGUAGES rows of at most BUCKETS entries."""
+    """Features of the sampled rows of ``rows`` (key, label, text); at most SAMPLE rows, or one a label, of at most BUCKETS entries."""
     rows = rows.filter(F.col("label").isNotNull() & F.col("key").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("label").agg(F.count("*").alias("rows"), F.approx_count_distinct("key").alias("keys"))
-    common = sizes.orderBy(F.desc("rows"), "label").limit(LANGUAGES)
+    sizes = rows.groupBy("label").agg(F.approx_count_distinct("key").alias("keys"))
+    # Written, so that Spark knows how large they are: it broadcasts them if they are small.
+    sizes = materialise(sizes, "labels")
+    each = max(1, min(PER_LANGUAGE, SAMPLE // max(1, sizes.count())))
     # About four times the rows wanted have a hash in the lowest such share: only they are ranked, however frequent the label.
-    share = F.least(F.lit(1.0), 4 * PER_LANGUAGE / F.col("keys"))
+    share = F.least(F.lit(1.0), (4 * each + 60) / F.col("keys"))
     low = F.xxhash64("key").cast("double") <= (2 * share - 1) * 2.0**63
-    near = rows.select("key", "label").join(F.broadcast(common), "label").filter(low).select("key", "label").distinct()
+    near = rows.select("key", "label").join(sizes, "label").filter(low).select("key", "label").distinct()
     order = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key")
-    chosen = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PER_LANGUAGE).drop("place")
-    sampled = rows.join(F.broadcast(materialise(chosen, "sample")), ["key", "label"])
+    chosen = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each).drop("place")
+    sampled = rows.join(materialise(chosen, "sample"), ["key", "label"])
     # Repeated rows of one key must not enlarge the sample.
     sampled = sampled.groupBy("key", "label").agg(F.min("text").alias("text"))
     return sampled.mapInArrow(_features, "key long, label string, at binary, weights binary").toArrow()
@@ -124,11 +131,18 @@ def train(sample: pa.Table) -> Model | None:
     if not languages:
         return None
     order = np.argsort(np.array(sample["key"].to_pylist()), kind="stable")
-    truth = np.array([languages.index(x) for x in sample["label"].to_pylist()])[order]
+    number = {x: k for k, x in enumerate(languages)}
+    truth = np.array([number[x] for x in sample["label"].to_pylist()])[order]
     at = [np.frombuffer(sample["at"][int(i)].as_py(), "<u2") for i in order]
     weights = [np.frombuffer(sample["weights"][int(i)].as_py(), "<f4") for i in order]
-    kept_out = np.arange(len(order)) % 5 == 4
+    # By label: a rare one keeps rows to learn from.
+    by_label = np.argsort(truth, kind="stable")
+    kept_out = np.zeros(len(order), bool)
+    kept_out[by_label] = (np.arange(len(order)) - np.searchsorted(truth[by_label], truth[by_label])) % 5 == 4
     fit = np.flatnonzero(~kept_out)
+    # Rows of a label with fewer than the average are taken up to MOST_TIMES as often.
+    rows_of = np.bincount(truth[fit], minlength=len(languages))[truth[fit]]
+    fit = np.repeat(fit, np.clip(len(fit) / len(languages) // rows_of, 1, MOST_TIMES).astype(int))
     rng = np.random.default_rng(7)
     embedding = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     layer, prior = np.zeros((DIMENSIONS, len(languages)), np.float32), np.zeros(len(languages), np.float32)
@@ -145,16 +159,17 @@ def train(sample: pa.Table) -> Model | None:
             prior -= 0.1 * rate * error
             # Weights are shares of a text, hence small; without the factor embeddings would hardly move.
             embedding[at[i]] -= rate * 20 * np.outer(weights[i], back)
-    scores = (embedding @ layer).astype(np.float32)
+    scores, factor = ((embedding @ layer).astype(np.float32), None) if len(languages) <= DIMENSIONS else (embedding, layer.astype(np.float64))
     checked = np.flatnonzero(kept_out) if kept_out.any() else np.arange(len(order))
-    logits = np.stack([weights[i] @ scores[at[i]] + prior for i in checked])
+    logits = np.stack([weights[i] @ scores[at[i]] for i in checked])
+    logits = (logits if factor is None else logits @ factor) + prior
     right = truth[checked]
     loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(right)), right] + 1e-12).mean()
     temperature = min(np.geomspace(0.25, 8, 41), key=loss)
     found = softmax(logits / temperature)
     sure = np.sort(found.max(axis=1)[found.argmax(axis=1) == right])
     least = min(0.5, float(sure[int(len(sure) * LOST)])) if len(sure) else 0.0
-    return Model(languages, scores, prior.astype(np.float64), float(temperature), least)
+    return Model(languages, scores, factor, prior.astype(np.float64), float(temperature), least)
 
 
 def _predict(model: Model) -> Callable:
