@@ -10,7 +10,7 @@ pattern per length, since each use of a pattern exhausts a length.  Pieces are
 then numbered within their length and look their place up in the plan.
 
 Nulls and edge cases: a null or empty text is the end token alone.  Equal rows
-are packed once each.  A null doc_id is kept.  An empty table gives no row.
+are packed once each, in groups that a written number divides.  A null doc_id is kept.  An empty table gives no row.
 Other columns of the input are not read.
 """
 
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline.session import materialise
 
@@ -165,7 +166,7 @@ def _place(rows: list[tuple[int, int, int, int, int]]) -> Callable:
             k = np.searchsorted(keys, own << 48 | at, side="right") - 1
             behind = at - rank[k]
             found = [pa.array(sequence[k] + behind // per[k]), pa.array(offset[k] + behind % per[k] * own)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *found], names=["row", "sequence_id", "offset"])
 
     return work
 
@@ -173,20 +174,22 @@ def _place(rows: list[tuple[int, int, int, int, int]]) -> Callable:
 def best_fit_packing(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (with a column length of 1 to capacity) with sequence_id and offset; all columns are kept.
 
-    Rows with the same values in all atomic columns may change places.
+    Columns of those two names are replaced.
     """
-    pieces = materialise(pieces, "pieces")
-    named = [f.name for f in pieces.schema if f.dataType.simpleString() != "binary"]
-    total = pieces.count()
-    salt = F.pmod(F.xxhash64(*named), F.lit(total // NUMBERED + 1))
-    salted = pieces.withColumn("salt of rank", salt)
-    counts = materialise(salted.groupBy("length", "salt of rank").count(), "lengths")
+    kept = [f for f in pieces.schema if f.name.lower() not in ("sequence_id", "offset")]
+    row = F.struct(*(F.col(f"`{f.name}`") for f in kept)).alias("row")
+    # A written number tells rows apart, equal ones too, and stays if an executor is lost.
+    rows = materialise(pieces.select(F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("number"), row), "pieces")
+    salt = F.pmod(F.xxhash64("number"), F.lit(rows.count() // NUMBERED + 1))
+    salted = rows.withColumn("salt", salt)
+    counts = materialise(salted.groupBy("length", "salt").count(), "lengths")
     # At most ``capacity`` rows, whatever the size of the corpus.
     lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    before = Window.partitionBy("length").orderBy("salt of rank").rowsBetween(Window.unboundedPreceding, -1)
-    begin = counts.select("length", "salt of rank", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("begin"))
-    order = Window.partitionBy("length", "salt of rank").orderBy(named)
-    ranked = salted.withColumn("rank", F.row_number().over(order)).join(begin, ["length", "salt of rank"])
-    ranked = ranked.select(*pieces.columns, (F.col("begin") + F.col("rank") - 1).cast("long").alias("rank"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(_place(plan(lengths, capacity)), schema)
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    begin = counts.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("begin"))
+    order = Window.partitionBy("length", "salt").orderBy("number")
+    ranked = salted.withColumn("place", F.row_number().over(order)).join(begin, ["length", "salt"])
+    ranked = ranked.select("row", "length", (F.col("begin") + F.col("place") - 1).cast("long").alias("rank"))
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    placed = ranked.mapInArrow(_place(plan(lengths, capacity)), schema)
+    return placed.select(*(F.col(f"row.`{f.name}`") for f in kept), "sequence_id", "offset")

@@ -197,6 +197,8 @@ def sentence_dedup(docs: DataFrame, run: int = RUN, counts: bool = False) -> Dat
     With ``counts`` the columns n_sentences and n_removed, numbers of pieces, are added (or replaced).
     """
     places, added = "places of repeated runs", ("n_sentences", "n_removed") if counts else ("", "")
+    while places.lower() in {c.lower() for c in docs.columns}:
+        places += "_"
     gone = repeated_runs(docs, run).withColumnRenamed("places", places)
     docs = docs.drop(*added) if counts else docs
     out = T.StructType([f for f in docs.schema] + [T.StructField(x, T.LongType()) for x in added if x])

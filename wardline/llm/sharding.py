@@ -82,23 +82,32 @@ def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
     return out.filter("NOT paged").withColumn("page", F.lit(0).cast("long")).unionByName(paged).drop("paged")
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores after it as no column has."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> None:
-    """Write ``docs`` as one Parquet folder per shard and page."""
-    same = ["key of row", "digest of text"]
-    places = assign(docs, limit, key, text).select(F.col("key").alias(same[0]), F.col("digest").alias(same[1]), F.struct("shard", "page").alias("spot"))
+    """Write ``docs`` as one Parquet folder per shard and page.
+
+    The folders are called ``shard=`` and ``page=``, or ``shard_=`` and so on if ``docs`` has a column of that name.
+    """
+    places = assign(docs, limit, key, text).select("key", "digest", F.struct("shard", "page").alias("spot"))
     places = materialise(places, "places")
-    whole = docs.withColumns({same[0]: F.col(key), same[1]: F.xxhash64(text)})
-    spots = places.groupBy(same).agg(F.min("spot").alias("spot"), (F.min("spot") != F.max("spot")).alias("several"))
-    renamed = lambda df, *more: df.select(F.col(same[0]).alias("key of place"), F.col(same[1]).alias("digest of place"), *more)
-    match = F.col(same[0]).eqNullSafe(F.col("key of place")) & (F.col(same[1]) == F.col("digest of place"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("digest"))
+    spots = places.groupBy("key", "digest").agg(F.min("spot").alias("spot"), (F.min("spot") != F.max("spot")).alias("several"))
+    renamed = lambda df, *more: df.select(F.col("key").alias("key of place"), F.col("digest").alias("digest of place"), *more)
+    match = F.col("key").eqNullSafe(F.col("key of place")) & (F.col("digest") == F.col("digest of place"))
     found = whole.join(renamed(spots, "spot", "several"), match).drop("key of place", "digest of place")
-    kept = [F.col(c) for c in docs.columns]
-    one = found.filter("NOT several").select(*kept, "spot")
+    one = found.filter("NOT several").select("row", "spot")
     # Rows with one key and text on several pages: the n-th of them goes where the n-th place is.
-    place = Window.partitionBy(same)
-    rows = found.filter("several").withColumn("number of row", F.row_number().over(place.orderBy(F.xxhash64(*docs.columns)))).drop("spot")
-    theirs = renamed(places.withColumn("n", F.row_number().over(place.orderBy("spot"))), F.col("n").alias("number of place"), F.col("spot").alias("spot"))
-    paged = rows.join(theirs, match & (F.col("number of row") == F.col("number of place"))).select(*kept, "spot")
+    each = Window.partitionBy("key", "digest")
+    rows = found.filter("several").drop("spot").withColumn("n of row", F.row_number().over(each.orderBy(F.xxhash64("row"))))
+    theirs = renamed(places.withColumn("n", F.row_number().over(each.orderBy("spot"))), F.col("n").alias("n of place"), "spot")
+    paged = rows.join(theirs, match & (F.col("n of row") == F.col("n of place"))).select("row", "spot")
     placed = one.unionByName(paged)
-    placed = placed.select(*kept, F.col("spot.shard").alias("shard"), F.col("spot.page").alias("page"))
-    placed.repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
+    shard, page = _free("shard", docs.columns), _free("page", docs.columns)
+    placed = placed.select("row.*", F.col("spot.shard").alias(shard), F.col("spot.page").alias(page))
+    placed.repartition(shard, page).write.partitionBy(shard, page).parquet(path)
