@@ -8,11 +8,12 @@ columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wardline.llm import language_id, packing, quality_rules, sentence_dedup
 from wardline.llm.jaccard_join import jaccard_join
 from wardline.llm.queries import tokenizer_path
-from wardline.session import materialise
+from wardline.session import scratch_dir, scratch_scope
 
 
 def recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +27,16 @@ def well_formed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies; rows with a null doc_id stay."""
-    found = jaccard_join(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """The document with the smallest doc_id of each group of near copies; rows with a null doc_id stay.
+
+    Rows that are equal in all columns are one document and leave one row.
+    """
+    copies = jaccard_join(docs).groupBy("doc_id").agg(F.bool_or(F.col("doc_id") != F.col("component_id")).alias("copy"), F.count("*").alias("rows"))
+    marks = copies.filter("doc_id IS NOT NULL AND (copy OR rows > 1)").select("doc_id", "copy").withColumnRenamed("doc_id", "id of mark")
+    found = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id of row"))
+    found = found.join(marks, F.col("id of row") == F.col("id of mark"), "left").filter("NOT coalesce(copy, false)")
+    single = found.filter("copy IS NULL").select("row.*")
+    return single.unionByName(found.filter("NOT copy").select("row.*").dropDuplicates())
 
 
 def fresh_sentences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows.  What a stage writes on its way is deleted with it; its result stays for the next one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch_dir(spark, name.replace(" ", "-"))
+        with scratch_scope(spark):
+            found = stage(spark, docs, sf_dir)
+            found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
