@@ -174,6 +174,23 @@ def test_snapshots_give_what_all_batches_give(spark, tmp_path):
         assert "upto=3" in read and "upto=1" not in read
 
 
+def test_action_state_of_batches_is_that_of_the_log(spark, tmp_path):
+    schema, path = "seq long, message_id string, kind string, value string", str(tmp_path / "state")
+    kinds = [("report", None), ("reveal", None), ("classify", "hate_speech"), ("classify", "not_hate_speech "), ("classify", "so"), ("reveal", None)]
+    # Batches come with the later actions first; "hot" has most of them.
+    log = [(1000 - k, "hot" if k % 3 else f"m{k % 11}", *kinds[k * 7 % 6]) for k in range(240)] + [(2000, None, "report", None)]
+    for batch in (0, 1, 2, 1, 2, 3, 4, 4, 5):  # some run again
+        st.append_actions(spark.createDataFrame(log[40 * batch : 40 * batch + 41 if batch == 5 else 40 * batch + 40], schema), path, batch, every=2)
+        upto = 241 if batch == 5 else 40 * batch + 40
+        if batch in (2, 5):
+            now = st.refresh_action_state(spark, path, batch + 1)
+            assert sorted(rows(now), key=str) == sorted(rows(ac.action_state(spark.createDataFrame(log[:upto], schema))), key=str)
+    read = {name.rsplit("/", 2)[1] for name in st.refresh_action_state(spark, path).inputFiles()}
+    assert "upto=3" in read and "upto=1" not in read
+    st.append_actions(spark.createDataFrame([], schema), path, 6, every=2)
+    assert sorted(rows(st.refresh_action_state(spark, path)), key=str) == sorted(rows(now), key=str)
+
+
 def test_order_of_rows_over_files(spark, tmp_path):
     import os
 

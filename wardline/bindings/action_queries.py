@@ -132,12 +132,14 @@ STATE = f"""state AS (SELECT message_id, bool_or(kind = 'report') AS reported, c
   arg_max(lower(trim(value)), seq) FILTER (kind = 'classify' AND {VALID}) AS user_classification FROM actions GROUP BY 1)"""
 
 
-@query(
-    "message_state",
+MESSAGE_STATE = (
     with_(BASE, STATE)
     + """SELECT id, label, is_offensive, coalesce(reported, false) AS reported, coalesce(revealed, false) AS revealed, user_classification
-FROM classified LEFT JOIN state ON message_id = id""",
+FROM classified LEFT JOIN state ON message_id = id"""
 )
+
+
+@query("message_state", MESSAGE_STATE)
 def message_state(spark, sf):
     return ac.message_state(classified(spark, sf).select("id", "label", "is_offensive"), actions(spark, sf))
 
@@ -398,6 +400,17 @@ def stream_overrides(spark, sf):
     return st.refresh_overrides(spark, out)
 
 
+@query("stream_message_state", MESSAGE_STATE)
+def stream_message_state(spark, sf):
+    """The same state, kept by a stream that gets the log in several micro-batches."""
+    rows, out = scratch_dir(spark, "actions"), scratch_dir(spark, "state")
+    log = actions(spark, sf)
+    log.repartition(4).write.parquet(rows)
+    stream = st.stream_messages(spark, rows, log.schema, maxFilesPerTrigger="1")
+    _finished(st.stream_action_state(stream, out, once=True, every=2))
+    return ac.attach_actions(classified(spark, sf).select("id", "label", "is_offensive"), st.refresh_action_state(spark, out))
+
+
 def message_stream(spark, sf):
     rows = scratch_dir(spark, "incoming")
     msgs = messages(spark, sf).withColumn("client_id", F.lit(None).cast("string"))

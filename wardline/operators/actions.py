@@ -111,16 +111,36 @@ def reveal_state(actions: DataFrame) -> DataFrame:
     return flips.select("message_id", (F.col("n") % 2 == 1).alias("revealed"))
 
 
-def action_state(actions: DataFrame) -> DataFrame:
-    """Per message: reported, revealed and the last accepted classification."""
-    accepted = (F.col("kind") == "classify") & _is_valid()
+def action_deltas(actions: DataFrame) -> DataFrame:
+    """Per message what a part of the log adds to its state; parts add up in any order (``merged_deltas``)."""
+    accepted = F.when((F.col("kind") == "classify") & _is_valid(), F.col("seq"))
     return actions.groupBy("message_id").agg(
-        F.bool_or(F.col("kind") == "report").alias("reported"),
-        (F.count_if(F.col("kind") == "reveal") % 2 == 1).alias("revealed"),
-        F.max_by(classification(F.col("value")), F.when(accepted, F.col("seq"))).alias("user_classification"),
+        F.count_if(F.col("kind") == "report").alias("reports"),
+        F.count_if(F.col("kind") == "reveal").alias("reveals"),
+        F.max_by(classification(F.col("value")), accepted).alias("user_classification"),
+        F.max(accepted).alias("classified_at"),
+    )
+
+
+def merged_deltas(deltas: DataFrame) -> DataFrame:
+    return deltas.groupBy("message_id").agg(
+        F.sum("reports").alias("reports"),
+        F.sum("reveals").alias("reveals"),
+        F.max_by("user_classification", "classified_at").alias("user_classification"),
+        F.max("classified_at").alias("classified_at"),
     )
 
 
+def state_of(deltas: DataFrame) -> DataFrame:
+    reported, revealed = (F.col("reports") > 0).alias("reported"), (F.col("reveals") % 2 == 1).alias("revealed")
+    return deltas.select("message_id", reported, revealed, "user_classification")
+
+
+def action_state(actions: DataFrame) -> DataFrame:
+    """Per message: reported, revealed and the last accepted classification."""
+    return state_of(action_deltas(actions))
+
+
 def attach_actions(msgs: DataFrame, state: DataFrame) -> DataFrame:
     kept = msgs.drop("reported", "revealed", "user_classification")
     no = F.lit(False)

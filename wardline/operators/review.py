@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions import text as tx
 from wardline.operators import evaluation
 from wardline.operators.curation import by_digest
 from wardline.operators.labels import label_is_safe
@@ -29,9 +30,10 @@ def next_item(
 
 def review_progress(items: DataFrame, verified: DataFrame) -> DataFrame:
     """``(total, done, left, pct)``: done counts all verified texts, left only listed items."""
-    done = verified.select("text").distinct().agg(F.count("*").alias("done")).scalar()
-    known = verified.select("text").distinct().withColumn("_known", F.lit(True))
-    counts = items.join(known, "text", "left").agg(
+    key = tx.digest(F.col("text")).alias("_key")
+    keys = verified.select(key).distinct()
+    done = keys.agg(F.count("*").alias("done")).scalar()
+    counts = items.select(key).join(keys.withColumn("_known", F.lit(True)), "_key", "left").agg(
         F.count("*").alias("total"), F.count_if(F.col("_known").isNull()).alias("left")
     )
     counts = counts.withColumn("done", done)
@@ -41,9 +43,11 @@ def review_progress(items: DataFrame, verified: DataFrame) -> DataFrame:
 
 def human_vs_model(items: DataFrame, verified: DataFrame, col: str = "text") -> DataFrame:
     """Items with a verified label: both labels and both safe/offensive verdicts."""
-    human = verified.select(col, F.col("label").alias("human_label"))
+    key = tx.digest(F.col(col))
+    human = verified.select(key.alias("_key"), F.col("label").alias("human_label"))
     verdict = lambda c: F.when(label_is_safe(F.col(c)), "Not_offensive").otherwise("Offensive")
-    return items.join(human, col).withColumns({"human": verdict("human_label"), "model": verdict("ai_label")})
+    paired = items.withColumn("_key", key).join(human, "_key").drop("_key")
+    return paired.withColumns({"human": verdict("human_label"), "model": verdict("ai_label")})
 
 
 def review_metrics(items: DataFrame, verified: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wardline import schemas
 from wardline.functions import text as tx
+from wardline.operators import actions as ac
 from wardline.operators import curation, evaluation
 from wardline.operators import labels as lb
 from wardline.operators import messages as ms
@@ -115,6 +116,26 @@ def register_users(
     return users(None)
 
 
+def _deltas(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    schema = "message_id string, reports bigint, reveals bigint, user_classification string, classified_at bigint"
+    return ac.merged_deltas(_read(spark, path, schema, before))
+
+
+def append_actions(actions: DataFrame, path: str, batch: int, every: int = SNAPSHOT_EVERY) -> None:
+    """Add what the actions of a micro-batch change; earlier actions are not read again, their sums are.
+
+    A batch that runs again overwrites what it added.  Batch numbers ascend.
+    """
+    spark = actions.sparkSession
+    _snapshot(spark, path, batch, every, lambda before: _deltas(spark, path, before))
+    _write(ac.action_deltas(actions.withColumn("message_id", F.col("message_id").cast("string"))), path, batch)
+
+
+def refresh_action_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """``actions.action_state`` of all actions so far, or of those before a batch: from the last snapshot and the batches since."""
+    return ac.state_of(_deltas(spark, path, before))
+
+
 def save_user_chat(classified: DataFrame, path: str, batch: int) -> None:
     """The texts of a micro-batch that no earlier one has, each with the label of its first message."""
     rows = curation.keep_first(classified.select("text", "label", "seq"), ["text"], ["seq"])
@@ -171,6 +192,11 @@ def stream_active_users(
     return sink_messages(stream, lambda df, batch: register_users(df, path, batch, room) and None, checkpoint, once)
 
 
+def stream_action_state(stream: DataFrame, path: str, checkpoint: str | None = None, once: bool = False, every: int = SNAPSHOT_EVERY) -> StreamingQuery:
+    """Keep the state of messages up to date from a stream of actions ``(seq, message_id, kind, value)``."""
+    return sink_messages(stream, lambda df, batch: append_actions(df, path, batch, every), checkpoint, once)
+
+
 def stream_dedupe(stream: DataFrame, key: str = "text", watermark: str | None = None, ts: str = "ts") -> DataFrame:
     """Each distinct text once.
 
