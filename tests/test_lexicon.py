@@ -2,11 +2,13 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from wardline.bindings import base
 from wardline.functions import text as tx
 from wardline.operators import lexicon as lx
+from wardline.operators import trie
 
 GOLDEN = {
     "idiott": ("idiot", 1.0), "idiots": ("idiot", 1.0), "xidiotx": ("idiot", 1.0), "morons": ("moron", 1.0),
@@ -150,9 +152,40 @@ def test_gate_hits_of_many_terms_do_not_overlap(spark):
     assert dict(tuple(r) for r in df.select("id", lx.gate_count(F.col("t"), terms)).collect()) == want
     found = lx.gate_by_joins(df, "id", "t", table)
     assert {r["id"]: r["hits"] for r in found.collect()} == want
+    for limit in (10, 100_000):  # by joins, by a trie
+        assert {r["id"]: r["hits"] for r in lx.gate_by_table(df, "id", "t", table, limit).collect()} == want
     assert lx.load_terms(table, 10) is None
 
 
+def test_gate_by_trie_counts_what_the_pattern_counts(spark):
+    """Random texts of few letters, terms that hold one another or squeeze to one form, characters beyond 16 bits."""
+    pick = random.Random(5)
+    word = lambda n: "".join(pick.choice("abcé\U0001f600") for _ in range(n))
+    terms = sorted({word(pick.randint(1, 6)) for _ in range(300)})
+    pick.shuffle(terms)
+    texts = ["", " ", None, *("".join(pick.choice("abcé\U0001f600d  \n") for _ in range(pick.randint(1, 60))) for _ in range(200))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3)
+    for some in (terms, terms[:7], []):
+        table = spark.createDataFrame([(t, i) for i, t in enumerate(some)] + [("", 999)], "term string, pos int")
+        want = dict(tuple(r) for r in df.select("id", F.when(F.col("t").isNotNull(), lx.gate_count(F.col("t"), some))).collect())
+        found = lx.gate_by_table(df, "id", "t", table)
+        assert {r["id"]: r["hits"] for r in found.collect()} == want
+        joined = lx.gate_by_joins(df, "id", "t", table)
+        assert {r["id"]: r["hits"] for r in joined.collect()} == want
+
+
+def test_trie_finds_what_search_finds(monkeypatch):
+    pick = random.Random(6)
+    word = lambda n: "".join(pick.choice("abc") for _ in range(n))
+    forms = sorted({word(pick.randint(1, 5)) for _ in range(60)})
+    built = trie.build(forms, np.arange(len(forms)))
+    texts = ["", *(word(pick.randint(0, 40)) for _ in range(100)), word(3000)]
+    want = [(i, j) for i, t in enumerate(texts) for j, f in enumerate(forms) if f in t]
+    for step in (7, 1 << 19):  # the places of a text in several steps
+        monkeypatch.setattr(trie, "STEP", step)
+        assert list(zip(*(x.tolist() for x in built.places(texts)))) == want
+
+
 def test_lexicon_over_the_limit_stays_a_table(spark):
     table = spark.createDataFrame([(f"term{i}", i) for i in range(600)], "term string, pos int")
     assert lx.load_lexicon(table) is None

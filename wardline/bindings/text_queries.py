@@ -254,6 +254,14 @@ def gate_hits_by_joins(spark, sf):
     return found.select("doc_id", F.col("hits").cast("bigint").alias("hits"))
 
 
+@query("gate_hits_by_trie", with_(b.SCORED) + "SELECT doc_id, h AS hits FROM scored")
+def gate_hits_by_trie(spark, sf):
+    """The same count with the lexicon as a trie that texts are walked through."""
+    docs = load_spread(spark, sf, "documents", "doc_id", "text").withColumn("text", F.lower("text"))
+    found = lx.gate_by_table(docs, "doc_id", "text", b.lexicon(spark))
+    return found.select("doc_id", F.col("hits").cast("bigint").alias("hits"))
+
+
 @query("gate_short_terms", f"SELECT doc_id, regexp_matches(lower(text), {b.gate_sql(['thea', 'ndon', 'ereri'])}) AS hit FROM documents")
 def gate_short_terms(spark, sf):
     """Terms that occur inside and across ordinary words: there is no word boundary."""

@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wardline.functions import text as tx
-from wardline.session import small_table
+from wardline.operators import trie
+from wardline.session import materialise, small_table
 
 MAX_INLINE_TERMS = 512
-# Terms of one gate pattern; beyond that a table of terms is joined.
+# Terms of one gate pattern; beyond that texts are matched with a table of terms.
 MAX_GATE_TERMS = 10_000
 COSINE = 0.85
 
@@ -567,7 +568,7 @@ def gate_count(c: Column, terms: list[str]) -> Column:
 
 
 def load_terms(lexicon: DataFrame, limit: int = MAX_GATE_TERMS) -> list[str] | None:
-    """Lexicon terms in order, for the gate; None if there are more than ``limit``, which ``gate_by_joins`` takes."""
+    """Lexicon terms in order, for the gate; None if there are more than ``limit``, which ``gate_by_table`` takes."""
     rows = lexicon.select("term", "pos").take(limit + 1)
     return None if len(rows) > limit else [r["term"] for r in sorted(rows, key=lambda r: r["pos"])]
 
@@ -577,27 +578,49 @@ def _squeezed(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, tx.SPACE, ""), r"(?s)(.)\1+", "$1")
 
 
+def _gate_terms(lexicon: DataFrame) -> DataFrame:
+    """``(pos, term, form)``: each term once, with its squeezed form."""
+    terms = lexicon.filter("term <> ''").groupBy("term").agg(F.min("pos").alias("pos"))
+    return terms.select("pos", "term", _squeezed(F.col("term")).alias("form")).filter("form <> ''")
+
+
+def _count_hits(c: Column, terms: Column) -> Column:
+    """Non-overlapping hits of a row's own terms, the first of them first."""
+    spaced = lambda t: F.array_join(
+        F.transform(F.regexp_extract_all(t, F.lit("(?s)."), 0), lambda ch: F.concat(F.lit(r"\Q"), ch, F.lit(r"\E+"))), f"{tx.SPACE}*"
+    )
+    pattern = F.concat(F.lit("(?:"), F.array_join(F.transform(terms, spaced), "|"), F.lit(")"))
+    return F.when(F.size(F.coalesce(terms, F.array())) > 0, F.regexp_count(c, pattern)).when(c.isNotNull(), 0)
+
+
+def gate_by_table(df: DataFrame, id_col: str, col: str, lexicon: DataFrame, limit: int = trie.MAX_CHARACTERS) -> DataFrame:
+    """Add ``hits``, the gate count for a lexicon of any length: by a trie if that is small enough, else by joins.
+
+    With the trie the plan is narrow: texts are read once, and neither they nor their pieces travel.
+    """
+    loaded = trie.load(_gate_terms(lexicon), limit)
+    if loaded is None:
+        return gate_by_joins(materialise(df, "gated"), id_col, col, lexicon)
+    terms = trie.terms_in(_squeezed(F.col(col)), loaded)
+    out = df.withColumn("_terms", terms)
+    return out.withColumn("hits", _count_hits(F.col(col), F.col("_terms"))).drop("_terms")
+
+
 def gate_by_joins(df: DataFrame, id_col: str, col: str, lexicon: DataFrame, gram: int = 4) -> DataFrame:
-    """Add ``hits``, the gate count for a lexicon of any length.
+    """``gate_by_table`` without a trie.
 
     A text can only hit terms whose squeezed form it holds.  Candidates come
     from a join on the first ``gram`` characters of that form (all of a shorter
-    one); the pattern of a row is made of the terms that stand in it.
+    one, if there are such); the pattern of a row is made of the terms that stand in it.
     """
-    head = F.substring("_form", 1, gram)
-    terms = lexicon.filter("term <> ''").groupBy("term").agg(F.min("pos").alias("pos")).withColumn("_form", _squeezed(F.col("term")))
-    terms = terms.select("pos", "term", "_form", head.alias("_head"))
+    terms = _gate_terms(lexicon).withColumn("_head", F.substring("form", 1, gram))
+    sizes = sorted(r[0] for r in terms.select(F.length("_head")).distinct().collect())  # at most ``gram`` numbers
     texts = df.select(id_col, col).withColumn("_text", _squeezed(F.col(col)))
-    # What starts at each place, and the shorter beginnings of that.
-    grams = F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{1,{gram}}}))"), F.lit(1)))
-    starts = F.flatten(F.transform(grams, lambda g: F.transform(F.sequence(F.lit(1), F.length(g)), lambda n: F.substring(g, F.lit(1), n))))
+    # What starts at each place, as long as some heads are.
+    starts = F.flatten(F.array(F.array().cast("array<string>"), *(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes)))
     found = texts.withColumn("_head", F.explode(F.array_distinct(starts))).select(id_col, "_head").join(terms, "_head")
-    found = found.groupBy(id_col).agg(F.collect_set(F.struct("pos", "term", "_form")).alias("_terms"))
-    spaced = lambda t: F.array_join(
-        F.transform(F.regexp_extract_all(t, F.lit("(?s)."), 0), lambda ch: F.concat(F.lit(r"\Q"), ch, F.lit(r"\E+"))), f"{tx.SPACE}*"
-    )
+    found = found.groupBy(id_col).agg(F.collect_set(F.struct("pos", "term", "form")).alias("_terms"))
     out = df.join(found, id_col, "left").withColumn("_text", _squeezed(F.col(col)))
-    out = out.withColumn("_terms", F.array_sort(F.filter("_terms", lambda t: F.contains(F.col("_text"), t["_form"]))))
-    pattern = F.concat(F.lit("(?:"), F.array_join(F.transform("_terms", lambda t: spaced(t["term"])), "|"), F.lit(")"))
-    hits = F.when(F.size(F.coalesce("_terms", F.array())) > 0, F.regexp_count(F.col(col), pattern)).when(F.col(col).isNotNull(), 0)
-    return out.withColumn("hits", hits).drop("_terms", "_text")
+    out = out.withColumn("_terms", F.array_sort(F.filter("_terms", lambda t: F.contains(F.col("_text"), t["form"]))))
+    out = out.withColumn("_terms", F.transform("_terms", lambda t: t["term"]))
+    return out.withColumn("hits", _count_hits(F.col(col), F.col("_terms"))).drop("_terms", "_text")

@@ -116,7 +116,7 @@ def classify(msgs: DataFrame, settings: ClassifierSettings) -> DataFrame:
     if settings.gate:
         terms = lx.load_terms(settings.normaliser.lexicon, settings.max_terms)
         if terms is None:
-            df = lx.gate_by_joins(materialise(df, "scored"), "id", "ai_input", settings.normaliser.lexicon)
+            df = lx.gate_by_table(df, "id", "ai_input", settings.normaliser.lexicon)
             hit = F.col("hits") > 0
         else:
             hit = lx.gate_hit(F.col("ai_input"), terms)
