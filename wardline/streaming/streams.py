@@ -25,6 +25,7 @@ from wardline.operators import messages as ms
 from wardline.operators import users as us
 from wardline.plans.classify import ClassifierSettings, classify
 from wardline.session import scratch_dir, scratch_scope
+from wardline.streaming import saved
 
 # Micro-batches after which overrides and users are written as one table.
 SNAPSHOT_EVERY = 100
@@ -136,12 +137,14 @@ def refresh_action_state(spark: SparkSession, path: str, before: int | None = No
     return ac.state_of(_deltas(spark, path, before))
 
 
-def save_user_chat(classified: DataFrame, path: str, batch: int) -> None:
-    """The texts of a micro-batch that no earlier one has, each with the label of its first message."""
-    rows = curation.keep_first(classified.select("text", "label", "seq"), ["text"], ["seq"])
+def save_user_chat(classified: DataFrame, path: str, batch: int, fan: int = saved.FAN) -> None:
+    """The texts of a micro-batch that no earlier one has, each with the label of its first message.
+
+    Earlier texts are not read again, digests of them are.  Null texts are not saved.
+    """
+    rows = curation.keep_first(classified.select("text", "label", "seq").filter("text IS NOT NULL"), ["text"], ["seq"])
     rows = rows.select("text", "label", F.lit("user_chat").alias("extra"), "seq")
-    known = _read(classified.sparkSession, path, "text string, label string, extra string, seq long", batch)
-    _write(curation.subtract_texts(rows, known), path, batch)
+    _write(saved.subtract_saved(rows, path, batch, fan), path, batch)
 
 
 def stream_classify(
