@@ -17,6 +17,7 @@ from wardline.operators import messages as ms
 from wardline.operators import splits as sp
 from wardline.operators import users as us
 from wardline.session import scratch_dir
+from wardline.sources import history as hs
 from wardline.sources import readers as rd
 from wardline.sources import sinks as sk
 from wardline.streaming import streams as st
@@ -220,14 +221,19 @@ def read_feedback(spark, sf):
     return rd.read_feedback(spark, path).select("text", "label", "extra")
 
 
+def _write_history(rows, path):
+    """One JSON array per room."""
+    rows = rows.select("room", "seq", F.struct("id", "text", "username", "is_audio").alias("m"))
+    arrays = rows.groupBy("room").agg(F.array_sort(F.collect_list(F.struct("seq", "m"))).alias("ms"))
+    whole = F.to_json(F.transform("ms", lambda x: x["m"]))
+    arrays.select("room", whole.alias("value")).write.mode("overwrite").partitionBy("room").text(path)
+
+
 @query("read_messages", with_(b.MESSAGES) + "SELECT id, text, username, is_audio FROM messages")
 def read_messages(spark, sf):
     """History files: one JSON array per room."""
     path = scratch_dir(spark, "history")
-    rows = messages(spark, sf).select("room", "seq", F.struct("id", "text", "username", "is_audio").alias("m"))
-    arrays = rows.groupBy("room").agg(F.array_sort(F.collect_list(F.struct("seq", "m"))).alias("ms"))
-    whole = F.to_json(F.transform("ms", lambda x: x["m"]))
-    arrays.select("room", whole.alias("value")).write.partitionBy("room").text(path)
+    _write_history(messages(spark, sf), path)
     return rd.read_messages(spark, f"{path}/room=*").select("id", "text", "username", "is_audio")
 
 
@@ -321,6 +327,18 @@ def _finished(q):
     return q
 
 
+@query("stream_history", with_(b.MESSAGES) + "SELECT id, text, username, is_audio FROM messages")
+def stream_history(spark, sf):
+    """Histories that are rewritten whole while a stream reads them: each message once."""
+    path, out, state = (scratch_dir(spark, n) for n in ("history", "messages", "state"))
+    sent = messages(spark, sf)
+    for rows in (sent.filter(F.col("seq") % 3 != 0), sent):
+        _write_history(rows, path)
+        entries = hs.stream_history(spark, path, per_file=False, suffix=".txt")
+        _finished(st.write_table(entries.select("id", "text", "username", "is_audio"), out, checkpoint=state, once=True))
+    return spark.read.schema("id string, text string, username string, is_audio boolean").parquet(out)
+
+
 @query("stream_dedupe", "SELECT DISTINCT text FROM documents")
 def stream_dedupe(spark, sf):
     out = scratch_dir(spark, "dedupe")
