@@ -20,6 +20,7 @@ from wardline.session import scratch_dir
 from wardline.sources import history as hs
 from wardline.sources import readers as rd
 from wardline.sources import sinks as sk
+from wardline.streaming import rooms as ro
 from wardline.streaming import streams as st
 
 BASE = b.CLASSIFIED + ",\n" + b.ACTIONS
@@ -447,6 +448,19 @@ def stream_active_users(spark, sf):
     return spark.read.schema("room string, name string, first_seen bigint").parquet(f"{out}/batch=*")
 
 
+@query(
+    "stream_room_users",
+    with_(b.MESSAGES)
+    + "SELECT room, lower(username) AS name, min(seq) AS first_seen FROM messages WHERE username <> '' AND lower(username) <> 'guest' GROUP BY ALL",
+)
+def stream_room_users(spark, sf):
+    """The same table as ``stream_active_users`` from keyed state."""
+    out = scratch_dir(spark, "users")
+    users = ro.stream_room_users(message_stream(spark, sf), ts=None)
+    _finished(st.write_table(users, out, "update", once=True))
+    return st.latest_rows(spark, out, ["room", "name"]).select("room", "name", "first_seen")
+
+
 @query("stream_classify", CLASSIFY)
 def stream_classify(spark, sf):
     """The same rows as the batch classifier, with overrides and users kept by the stream."""
