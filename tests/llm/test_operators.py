@@ -192,6 +192,16 @@ def passages(kind, rng, words, n=40, size=50):
     return out
 
 
+def test_short_lines_that_documents_share_are_no_passages(spark):
+    """Three short sentences of a dozen words in every document stay; a copy of a text that short is no passage either."""
+    head = "Home and news. All about us here. Sign in or join now.\n"
+    rng = np.random.default_rng(3)
+    texts = [(i, head + " ".join(f"w{x}" for x in rng.integers(0, 10**9, 40)) + ".") for i in range(30)]
+    texts += [(30, head), (31, head)]
+    found = dict(rows(sd.sentence_dedup(spark.createDataFrame(texts, "doc_id long, text string"))))
+    assert found == dict(texts)
+
+
 @pytest.mark.parametrize("kind", ["bare", "punctuated", "shouted", "sixteen", "spaceless"])
 def test_sentence_dedup_finds_passages_at_any_offset(spark, kind):
     rng = np.random.default_rng(12)

@@ -39,7 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from wardline.llm.blocks import IS_SPACE, Block, blocks, longs, merged, mix, range_fingerprints, without
 
 RUN = 3
-LEAST = 8
+LEAST = 16
 NEAR = 6
 ENOUGH = 24
 
