@@ -276,3 +276,15 @@ def test_rows_are_in_the_order_of_files_and_lines(spark, tmp_path):
     assert [r["text"] for r in got.collect()] == [x for *_, lines in sorted(want) for x in lines]
     files = 500_000_000
     assert files * rd._TASK_ROWS + (1 << 61) < 1 << 63
+
+
+def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
+    from wardline.bindings import action_queries as aq
+
+    docs = [(1, "en", "src1", 2500), (2, "en", "src2", 10), (3, "de", "src1", 10), (4, None, None, None)]
+    table = spark.createDataFrame(docs, "doc_id bigint, lang string, source string, n_chars bigint").withColumn("text", F.lit("x"))
+    (tmp_path / "folder").mkdir()
+    table.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    got = aq.stream_stats(spark, str(tmp_path / "folder")).select("lang", "total", "offensive", "reported")
+    assert sorted(rows(got), key=str) == [("de", 1, 0, 1), ("en", 2, 1, 1), (None, 1, 0, 0)]
+    assert rows(aq.stream_dedupe(spark, str(tmp_path / "folder"))) == [("x",)]

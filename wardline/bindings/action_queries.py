@@ -319,8 +319,9 @@ def write_generated(spark, sf):
 
 
 def table_stream(spark, sf, name):
+    """A table as a stream, whether it is one file or a folder of them; a stream opens a single file by pattern only."""
     schema = load(spark, sf, name).schema
-    return st.stream_messages(spark, sf, schema, pathGlobFilter=f"{name}.parquet")
+    return st.stream_messages(spark, f"{sf}/{name}[.]parquet", schema)
 
 
 def _finished(q):
