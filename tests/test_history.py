@@ -58,3 +58,32 @@ def test_only_changed_files_are_read(tmp_path):
     assert [b.num_rows for b in reader.read(changed[0])] == [1]
     os.remove(tmp_path / "b.json")
     assert list(reader.read(changed[0])) == []
+
+
+def test_a_task_reads_many_small_files(spark, tmp_path):
+    folder = tmp_path / "rooms"
+    folder.mkdir()
+    for i in range(300):
+        (folder / f"{i}.json").write_text(json.dumps(messages(f"{i}-a", f"{i}-b")), encoding="utf-8")
+    reader = history._Reader(str(folder), tasks=8)
+    listed = reader.latestOffset()
+    tasks = reader.partitions({}, listed)
+    assert 8 <= len(tasks) <= 10 and sorted(f for t in tasks for f in t.files) == sorted(listed)
+    assert sum(batch.num_rows for t in tasks for batch in reader.read(t)) == 600
+    # A large file has a task of its own, and only changed files are read again.
+    assert len(history._tasks({"a": 1, "b": history.TASK_BYTES, "c": 1}, 1)) == 3
+    first = min(listed)
+    assert [t.files for t in reader.partitions({**listed, first: "0/0"}, listed)] == [[first]]
+    assert reader.partitions(listed, listed) == []
+
+
+def test_histories_are_written_as_files_of_one_folder(spark, tmp_path):
+    from wardline.bindings import action_queries as aq
+
+    rows = [(None if i == 0 else f"r{i // 2}", i, f"m{i}", "x\ny", "u", False) for i in range(9)]
+    sent = spark.createDataFrame(rows, "room string, seq bigint, id string, text string, username string, is_audio boolean")
+    path = str(tmp_path / "history")
+    aq._write_history(sent, path)
+    assert len([f for f in os.listdir(path) if f.endswith(".txt")]) == len({r[0] for r in rows})
+    found = aq.rd.read_messages(spark, path).select("id", "text", "is_audio").collect()
+    assert sorted(map(tuple, found)) == [(f"m{i}", "x\ny", False) for i in range(9)]

@@ -9,13 +9,15 @@ each through once, even if older entries were dropped from the file or changed.
 
 A file that is not a whole JSON array (it may be half written) has no entries
 until its next version.  Entries that are no objects, or have no id, are left
-out.  One file is one task, as a JSON array cannot be split.
+out.  A JSON array cannot be split, so a file is read by one task; a task takes
+many small files, as many as make up ``TASK_BYTES``.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -29,6 +31,9 @@ from wardline.functions import text as tx
 
 NAME = "rewritten_history"
 ROWS = 4096
+# What a task reads if there are more files than tasks wanted, and what opening a file counts for.
+TASK_BYTES = 32 << 20
+OPEN_BYTES = 128 << 10
 _SCHEMA = "file string, place long, id string, entry string"
 
 
@@ -38,13 +43,31 @@ def _system(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class _Changed(InputPartition):
-    def __init__(self, file: str):
-        self.file = file
+    def __init__(self, files: list[str]):
+        self.files = files
+
+    @property
+    def file(self) -> str:
+        """The first of the files."""
+        return self.files[0]
+
+
+def _tasks(sizes: dict[str, int], wanted: int) -> list[list[str]]:
+    """Files in order of their names, cut into tasks of about ``TASK_BYTES``; smaller ones if that gives less than ``wanted``."""
+    costs = {file: size + OPEN_BYTES for file, size in sorted(sizes.items())}
+    most, found, own = min(TASK_BYTES, sum(costs.values()) / wanted), [], 0
+    for file, cost in costs.items():
+        if not found or own + cost > most:
+            found.append([])
+            own = 0
+        found[-1].append(file)
+        own += cost
+    return found
 
 
 class _Reader(DataSourceStreamReader):
-    def __init__(self, path: str, suffix: str = ".json"):
-        self.path, self.suffix = path, suffix
+    def __init__(self, path: str, suffix: str = ".json", tasks: int = 1):
+        self.path, self.suffix, self.tasks = path, suffix, tasks
 
     def initialOffset(self) -> dict:
         return {}
@@ -58,27 +81,33 @@ class _Reader(DataSourceStreamReader):
         return {f.path: f"{f.mtime_ns}/{f.size}" for f in seen if not re.search(r"/[_.]", f.path[len(path.rstrip("/")) :])}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_Changed(file) for file, version in sorted(end.items()) if start.get(file) != version]
+        changed = {file: int(version.split("/")[1]) for file, version in end.items() if start.get(file) != version}
+        return [_Changed(files) for files in _tasks(changed, self.tasks)]
 
     def read(self, partition: _Changed):
         system, _ = _system(self.path)
-        try:
-            with system.open_input_stream(partition.file) as f:
-                entries = json.loads(f.read())
-        except (ValueError, FileNotFoundError):  # half written, or gone since it was listed
-            return
-        if not isinstance(entries, list):
-            return
-        found = [(i, e) for i, e in enumerate(entries) if isinstance(e, dict) and e.get("id") is not None]
-        for low in range(0, len(found), ROWS):
-            part = found[low : low + ROWS]
-            columns = [
-                pa.array([partition.file] * len(part), pa.string()),
-                pa.array([i for i, _ in part], pa.int64()),
-                pa.array([str(e["id"]) for _, e in part], pa.string()),
-                pa.array([json.dumps(e, ensure_ascii=False) for _, e in part], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["file", "place", "id", "entry"])
+        for file in partition.files:
+            yield from _entries(system, file)
+
+
+def _entries(system: fs.FileSystem, file: str) -> Iterator[pa.RecordBatch]:
+    try:
+        with system.open_input_stream(file) as f:
+            entries = json.loads(f.read())
+    except (ValueError, FileNotFoundError):  # half written, or gone since it was listed
+        return
+    if not isinstance(entries, list):
+        return
+    found = [(i, e) for i, e in enumerate(entries) if isinstance(e, dict) and e.get("id") is not None]
+    for low in range(0, len(found), ROWS):
+        part = found[low : low + ROWS]
+        columns = [
+            pa.array([file] * len(part), pa.string()),
+            pa.array([i for i, _ in part], pa.int64()),
+            pa.array([str(e["id"]) for _, e in part], pa.string()),
+            pa.array([json.dumps(e, ensure_ascii=False) for _, e in part], pa.string()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["file", "place", "id", "entry"])
 
 
 class RewrittenHistory(DataSource):
@@ -92,7 +121,7 @@ class RewrittenHistory(DataSource):
         return _SCHEMA
 
     def streamReader(self, schema: T.StructType) -> _Reader:
-        return _Reader(self.options["path"], self.options.get("suffix", ".json"))
+        return _Reader(self.options["path"], self.options.get("suffix", ".json"), int(self.options.get("tasks", 1)))
 
 
 def stream_history(
@@ -104,7 +133,8 @@ def stream_history(
     that moves to another file is no new one.  State is one digest a message.
     """
     spark.dataSource.register(RewrittenHistory)
-    entries = spark.readStream.format(NAME).option("suffix", suffix).load(path)
+    cores = spark.sparkContext.defaultParallelism
+    entries = spark.readStream.format(NAME).options(suffix=suffix, tasks=2 * cores).load(path)
     key = tx.digest(F.to_json(F.struct("file", "id")) if per_file else F.col("id"))
     once = entries.withColumn("_key", key).dropDuplicates(["_key"])
     message = F.from_json("entry", schema)
