@@ -331,9 +331,10 @@ FROM counts""",
 )
 def train_features(spark, sf):
     """Hashed term counts of every document and the IDF of their buckets."""
-    docs = load_spread(spark, sf, "documents", "doc_id", "text")
+    docs = ct.hashed(load_spread(spark, sf, "documents", "doc_id", "text"), "text")
     idf = ct.bucket_idf(ct.count_terms(docs.select("text", F.lit("all").alias("label"))))
-    return ct.term_counts(docs, "doc_id", "text").join(idf, "bucket").select("doc_id", "bucket", "tf", F.round("idf", 9).alias("idf"))
+    # At most one row a bucket.
+    return ct.term_counts(docs, "doc_id", "text").join(F.broadcast(idf), "bucket").select("doc_id", "bucket", "tf", F.round("idf", 9).alias("idf"))
 
 
 LEARNED = """labelled AS (SELECT doc_id, label FROM corpus WHERE text IS NOT NULL AND label IS NOT NULL),
@@ -346,7 +347,7 @@ sums AS (
 def train_goes_on(spark, sf):
     """Training on two thirds of the corpus, saved and continued with the rest; the second batch runs twice."""
     path = scratch_dir(spark, "sums")
-    rows = corpus(spark, sf)
+    rows = ct.hashed(corpus(spark, sf).select("doc_id", "text", "label"), "text")
     ct.go_on_training(rows.filter("doc_id % 3 <> 0"), path, 0)
     ct.go_on_training(rows.filter("doc_id % 3 = 0"), path, 1)
     return ct.go_on_training(rows.filter("doc_id % 3 = 0"), path, 1)

@@ -20,9 +20,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from wardline.functions import text as tx
+from wardline.session import materialise
 
 BUCKETS = 1 << 18
 # At 4.5, about two of as many buckets would pass by chance.
@@ -40,10 +42,47 @@ def term_buckets(c: Column, buckets: int = BUCKETS) -> Column:
     return F.transform(terms, lambda t: (tx.hash_int(t) % buckets).cast("int"))
 
 
+def hashed(df: DataFrame, col: str, buckets: int = BUCKETS) -> DataFrame:
+    """``df`` with the sorted buckets of ``col`` in its place, written: what counts terms more than once hashes them once."""
+    return materialise(df.withColumn(col, _sorted_buckets(df, col, buckets)), "hashed")
+
+
+def _sorted_buckets(df: DataFrame, col: str, buckets: int) -> Column:
+    """The buckets of a text in order; a column that is ``hashed`` is taken as it is."""
+    return F.col(col) if isinstance(df.schema[col].dataType, T.ArrayType) else F.sort_array(term_buckets(F.col(col), buckets))
+
+
+def _with_runs(df: DataFrame) -> DataFrame:
+    """``df`` with ``runs``, each distinct bucket of the sorted buckets ``b`` with its number ``n``.
+
+    To be exploded behind ``_whole``: of ``runs`` alone Spark infers a filter that works ``lead`` out for each place.
+    """
+    # A bucket's number of places is the distance of its first place from the next bucket's.
+    lead = F.filter(F.sequence(F.lit(1), F.size("b")), lambda i: (i == 1) | (F.get("b", i - 1) != F.get("b", i - 2)))
+    lead = F.when(F.size("b") > 0, lead).otherwise(F.array().cast("array<int>"))
+    runs = F.transform("lead", lambda at, k: F.struct(F.get("b", at - 1).alias("bucket"), (F.coalesce(F.get("lead", k + 1), F.size("b") + 1) - at).alias("n")))
+    return df.withColumn("lead", lead).withColumn("runs", runs).drop("lead")
+
+
+def _whole() -> Column:
+    """The row of a text as a whole."""
+    return F.array(F.struct(F.lit(WHOLE).alias("bucket"), F.size("b").alias("n")))
+
+
 def term_counts(df: DataFrame, id_col: str, col: str, buckets: int = BUCKETS) -> DataFrame:
-    """``(id, bucket, tf)``: how often each bucket's terms stand in a text."""
-    each = df.select(id_col, F.explode(term_buckets(F.col(col), buckets)).alias("bucket"))
-    return each.groupBy(id_col, "bucket").agg(F.count("*").alias("tf"))
+    """``(id, bucket, tf)``: how often each bucket's terms stand in a text, or in all texts of an id.
+
+    A text is counted within its row.  Only the counts of rows whose id is not theirs alone are shuffled.
+    """
+    shared = df.groupBy(id_col).agg(F.count("*").alias("_rows")).filter("_rows > 1").select(F.col(id_col).alias("_id"), F.lit(True).alias("_shared"))
+    # Written, as its size decides how the texts meet it.
+    shared = materialise(shared, "shared")
+    texts = df.select(F.col(id_col), _sorted_buckets(df, col, buckets).alias("b")).filter("b IS NOT NULL")
+    each = _with_runs(texts.join(shared, F.col(id_col).eqNullSafe(F.col("_id")), "left"))
+    each = each.select(id_col, "_shared", F.explode(F.concat(_whole(), "runs")).alias("r")).filter(F.col("r.bucket") != WHOLE)
+    each = each.select(id_col, "_shared", "r.bucket", F.col("r.n").cast("long").alias("tf"))
+    own = each.filter("_shared IS NULL").select(id_col, "bucket", "tf")
+    return own.unionByName(each.filter("_shared").groupBy(id_col, "bucket").agg(F.sum("tf").alias("tf")))
 
 
 def count_terms(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -52,13 +91,8 @@ def count_terms(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     A text is counted within its row: an array of its distinct buckets with
     their numbers, so only partial sums per class and bucket are shuffled.
     """
-    known = rows.filter("text IS NOT NULL AND label IS NOT NULL").select("label", F.array_sort(term_buckets(F.col("text"), buckets)).alias("b"))
-    # Sorted, so that a bucket's number of places is the distance of its first place from the next bucket's.
-    lead = F.filter(F.sequence(F.lit(1), F.size("b")), lambda i: (i == 1) | (F.get("b", i - 1) != F.get("b", i - 2)))
-    lead = F.when(F.size("b") > 0, lead).otherwise(F.array().cast("array<int>"))
-    runs = F.transform("lead", lambda at, k: F.struct(F.get("b", at - 1).alias("bucket"), (F.coalesce(F.get("lead", k + 1), F.size("b") + 1) - at).alias("n")))
-    whole = F.array(F.struct(F.lit(WHOLE).alias("bucket"), F.size("b").alias("n")))
-    each = known.withColumn("lead", lead).select("label", F.explode(F.concat(whole, runs)).alias("r"))
+    known = rows.filter("text IS NOT NULL AND label IS NOT NULL").select("label", _sorted_buckets(rows, "text", buckets).alias("b"))
+    each = _with_runs(known).select("label", F.explode(F.concat(_whole(), "runs")).alias("r"))
     return each.groupBy("label", "r.bucket").agg(F.count("*").alias("docs"), F.sum("r.n").alias("terms"))
 
 
