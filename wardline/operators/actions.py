@@ -52,11 +52,15 @@ def feedback_label(kind: Column, value: Column) -> Column:
     )
 
 
-def _labelled(actions: DataFrame, msgs: DataFrame, kind: str) -> DataFrame:
-    chosen = actions.filter((F.col("kind") == kind) & _is_valid())
+def _chosen(actions: DataFrame, *kinds: str) -> DataFrame:
+    """Valid actions of some kinds, with the label they stand for."""
+    return actions.filter(F.col("kind").isin(*kinds) & _is_valid()).withColumn("label", feedback_label(F.col("kind"), F.col("value")))
+
+
+def _labelled(actions: DataFrame, msgs: DataFrame, *kinds: str) -> DataFrame:
     keep = [c for c in ("text", "offensive_score", "label") if c in msgs.columns]
     known = msgs.select(F.col("id").alias("message_id"), *keep).withColumnRenamed("label", "model_label")
-    return chosen.join(known, "message_id").withColumn("label", feedback_label(F.col("kind"), F.col("value")))
+    return _chosen(actions, *kinds).join(known, "message_id")
 
 
 def _training_rows(labelled: DataFrame, extra: str) -> DataFrame:
@@ -80,7 +84,7 @@ def override_rows(training_rows: DataFrame) -> DataFrame:
 
 def audit_rows(actions: DataFrame, msgs: DataFrame) -> DataFrame:
     """Audit log rows: the human label next to the prediction at the time of feedback."""
-    return _audit(_labelled(actions, msgs, "report").unionByName(_labelled(actions, msgs, "classify")))
+    return _audit(_labelled(actions, msgs, "report", "classify"))
 
 
 def audit_as_of(actions: DataFrame, msgs: DataFrame, log: DataFrame) -> DataFrame:
@@ -91,11 +95,12 @@ def audit_as_of(actions: DataFrame, msgs: DataFrame, log: DataFrame) -> DataFram
     versions at one instant the last ``seq`` counts; a version at the instant of
     the action is seen by it.  An action before the first one has no prediction.
     """
-    texts = msgs.select("id", "text")
-    both = _labelled(actions, texts, "report").unionByName(_labelled(actions, texts, "classify"))
+    both = _chosen(actions, "report", "classify")
     versions = log.select(F.col("id").alias("message_id"), "ts", "seq", F.col("label").alias("model_label"), "offensive_score")
     held = as_of(both.select("message_id", "ts"), versions, "message_id", "ts", "seq", ["model_label", "offensive_score"])
-    return _audit(both.join(held, ["message_id", "ts"], "left"))
+    # Texts come last, so that a text travels once and not with each of its actions.
+    texts = msgs.select(F.col("id").alias("message_id"), "text")
+    return _audit(both.join(held, ["message_id", "ts"], "left").join(texts, "message_id"))
 
 
 def _audit(both: DataFrame) -> DataFrame:
