@@ -38,7 +38,8 @@ def _in_order(rows: DataFrame, path: str) -> DataFrame:
     # One row per file.
     before = Window.orderBy("_changed", "_file").rowsBetween(Window.unboundedPreceding, -1)
     files = listed.select("_file", F.coalesce(F.sum(F.col("_size") + _TASK_ROWS).over(before), F.lit(0)).alias("_begin"))
-    return rows.join(files, "_file").withColumn("seq", F.col("_begin") + F.col("_row")).drop("_file", "_row", "_begin")
+    # The driver holds the list of files as it is; rows, texts and all, are not shuffled to meet it.
+    return rows.join(F.broadcast(files), "_file").withColumn("seq", F.col("_begin") + F.col("_row")).drop("_file", "_row", "_begin")
 
 
 def _or_empty(read, spark: SparkSession, schema: T.StructType) -> DataFrame:
