@@ -8,6 +8,8 @@ by all its pieces in order, so that names which share a word do not meet.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +75,13 @@ def mask_names(text: Column, names: Column, token: str = tx.NEUTRAL) -> Column:
         lambda s: s["name"],
     )
     pattern = lambda n: F.concat(F.lit(tx.BOUNDARY + r"\Q"), n, F.lit(r"\E" + tx.BOUNDARY))
-    return F.aggregate(by_length, text, lambda acc, n: F.regexp_replace(acc, pattern(n), F.lit(token)))
+    one_by_one = F.aggregate(by_length, text, lambda acc, n: F.regexp_replace(acc, pattern(n), F.lit(token)))
+    if not re.fullmatch(r"[A-Za-z0-9_]+", token):
+        return one_by_one
+    # A name of word characters is a whole word or nothing, and so is what it becomes: one pass finds all such names.
+    listed = F.concat(F.lit(tx.BOUNDARY + "(?:"), F.array_join(names, "|"), F.lit(")" + tx.BOUNDARY))
+    words = F.forall(names, lambda n: n.rlike(f"^{tx.WORD}+\\z"))
+    return F.when(words & (F.size(names) > 0), F.regexp_replace(text, listed, F.lit(token))).otherwise(one_by_one)
 
 
 def mask_active_users(
