@@ -144,3 +144,17 @@ def test_names_that_share_a_word_do_not_meet(spark):
     found = us.names_in(df.select("id", "text"), users, "text", [])
     assert found.count() == 2
     assert {r["id"]: r["text"] for r in us.mask_active_users(df, users, "text").collect()}["x"] == "friend and friend!"
+
+
+def test_only_the_text_goes_to_a_python_model(spark):
+    df = spark.createDataFrame([("a", "x" * 100, True), ("b", "y", False), (None, "z", None)], "text string, other string, needs boolean")
+    scored = so.batch_scorer(lambda: lambda texts: [{"Profanity": len(t) / 2} for t in texts], needed="needs")(df, "text")
+    assert "MapInPandas" not in scored._jdf.queryExecution().toString() and scored.columns == [*df.columns, "scores"]
+    assert [(r["other"][0], r["scores"] and r["scores"][0]["score"]) for r in scored.orderBy("other").collect()] == [("x", 0.5), ("y", None), ("z", None)]
+
+
+def test_names_of_words_are_masked_in_one_pass_as_one_by_one(spark):
+    rows = [("al met al-x and friend, al_x bo", ["al", "bo", "friend", "al_x"]), ("al met al-x bo", ["al", "al-x", "bo"]), ("nobody", [])]
+    df = spark.createDataFrame(rows, "text string, names array<string>")
+    got = [r[0] for r in df.select(us.mask_names(F.col("text"), F.col("names"))).collect()]
+    assert got == ["friend met friend-x and friend, friend friend", "friend met friend friend", "nobody"]

@@ -13,7 +13,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import PandasUDFType
 
 from wardline.functions import scores as sc
 from wardline.operators import lexicon as lx
@@ -57,22 +57,24 @@ def pipeline_scorer(model: PipelineModel, labels: list[str] = CLASSES) -> Scorer
 def batch_scorer(load: Callable[[], Callable[[list[str]], list[dict[str, float]]]], needed: str | None = None) -> Scorer:
     """A Python model: ``load()`` runs once per task and returns a function on a list of texts.
 
-    Rows travel in Arrow batches.  Rows whose ``needed`` column is false pass
-    through without being scored.
+    Only the text travels, in Arrow batches; the other columns stay in the JVM.
+    Rows whose ``needed`` column is false pass through without being scored.
     """
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        predict = load()
+        for text, wanted in parts:
+            todo = wanted.fillna(False).astype(bool)
+            out = pd.Series([None] * len(text), index=text.index, dtype=object)
+            texts = text[todo].tolist()
+            for place, found in zip(text.index[todo], predict(texts) if texts else []):
+                out.at[place] = [{"label": k, "score": float(v)} for k, v in found.items()]
+            yield out
+
+    # A row is scored once, wherever its scores are read.
+    scores = F.pandas_udf(run, sc.SCORES_TYPE, functionType=PandasUDFType.SCALAR_ITER).asNondeterministic()
+
     def score(df: DataFrame, col: str) -> DataFrame:
-        schema = T.StructType(df.schema.fields + [T.StructField("scores", sc.SCORES_TYPE)])
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            predict = load()
-            for batch in batches:
-                todo = batch[needed].fillna(False).astype(bool) if needed else pd.Series(True, index=batch.index)
-                out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-                texts = batch.loc[todo, col].tolist()
-                for place, found in zip(batch.index[todo], predict(texts) if texts else []):
-                    out.at[place] = [{"label": k, "score": float(v)} for k, v in found.items()]
-                yield batch.assign(scores=out)
-
-        return df.mapInPandas(run, schema)
+        wanted = F.coalesce(F.col(needed), F.lit(False)) if needed else F.lit(True)
+        return df.withColumn("scores", scores(F.when(wanted, F.col(col)), wanted))
 
     return score
