@@ -75,3 +75,14 @@ def test_audit_keeps_one_row_per_action_and_the_prediction_of_its_time(spark):
         (3, "Profanity", 0.8, None), (4, "Profanity", 0.8, "user_classify:hate_speech"),
     ]
     assert found.columns == ac.audit_rows(actions, msgs).columns
+
+
+def test_texts_are_read_once_for_an_audit(spark, tmp_path):
+    spark.createDataFrame([("1", "hi", "Profanity", 0.5), ("2", "yo", "x", 0.1)], "id string, text string, label string, offensive_score double").write.parquet(str(tmp_path / "m"))
+    msgs = spark.read.parquet(str(tmp_path / "m"))
+    rows = [(1, moment(5), "1", "report", None), (2, moment(6), "1", "classify", "hate_speech"), (3, moment(7), "9", "report", None), (4, moment(8), "2", "reveal", None)]
+    acts = spark.createDataFrame(rows, "seq bigint, ts timestamp, message_id string, kind string, value string")
+    log = spark.createDataFrame([("1", moment(6), 1, "late", 0.9)], "id string, ts timestamp, seq bigint, label string, offensive_score double")
+    for audit, labels in ((ac.audit_as_of(acts, msgs, log), [None, "late"]), (ac.audit_rows(acts, msgs), ["Profanity"] * 2)):
+        assert audit._jdf.queryExecution().executedPlan().toString().count("text:string") == 1
+        assert [(r["seq"], r["text"], r["model_label"]) for r in audit.orderBy("seq").collect()] == [(1, "hi", labels[0]), (2, "hi", labels[1])]

@@ -103,3 +103,17 @@ def test_holdout_beats_the_larger_class(spark):
     found = registered()[0]["train_predict"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out")
     right, safe, n = found.agg(F.count_if((F.col("offensive") > 0.5) == (F.col("toxic") == 1)), F.count_if(F.col("toxic") == 0), F.count("*")).first()
     assert n > 50 and right > safe
+
+
+def test_rows_that_share_an_id_are_counted_together(spark):
+    rows = [(1, "a b a"), (2, "a"), (2, "a a"), (None, "b"), (None, "b b"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    slot = {w: ct_bucket for w, ct_bucket in df.sparkSession.createDataFrame([("a",), ("b",)], "w string").select("w", F.get(ct.term_buckets(F.col("w")), 0)).collect()}
+    for given in (df, ct.hashed(df, "text")):
+        counted = ct.term_counts(given, "id", "text")
+        got = {(r["id"], r["bucket"]): r["tf"] for r in counted.collect()}
+        assert {k: n for k, n in got.items() if k[1] in slot.values()} == {
+            (1, slot["a"]): 2, (1, slot["b"]): 1, (2, slot["a"]): 3, (None, slot["b"]): 3,
+        }
+        # Texts with an id of their own go by the shuffle.
+        assert "Union" in counted._jdf.queryExecution().executedPlan().toString()
