@@ -288,3 +288,14 @@ def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
     got = aq.stream_stats(spark, str(tmp_path / "folder")).select("lang", "total", "offensive", "reported")
     assert sorted(rows(got), key=str) == [("de", 1, 0, 1), ("en", 2, 1, 1), (None, 1, 0, 0)]
     assert rows(aq.stream_dedupe(spark, str(tmp_path / "folder"))) == [("x",)]
+
+
+def test_rows_are_not_shuffled_to_be_numbered(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("2024-01-01T10:00:00,1,hi,Profanity,0.5,Not_offensive\n", encoding="utf-8")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = rd.read_feedback(spark, str(tmp_path / "f.csv"))
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
