@@ -189,3 +189,13 @@ def test_trie_finds_what_search_finds(monkeypatch):
 def test_lexicon_over_the_limit_stays_a_table(spark):
     table = spark.createDataFrame([(f"term{i}", i) for i in range(600)], "term string, pos int")
     assert lx.load_lexicon(table) is None
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_condition_on_a_token_is_not_asked_of_every_text(spark):
+    df = spark.createDataFrame([(1, "some words and some more")], "id int, text string")
+    words = lx.distinct_tokens(df, "text").filter(F.length("token") > 4)
+    assert "Generate" not in executed(words) and sorted(r.token for r in words.collect()) == ["words"]

@@ -309,9 +309,12 @@ def drop_before_term(df: DataFrame, col: str, lex: Lexicon, dropped: list[str] =
 def distinct_tokens(df: DataFrame, col: str) -> DataFrame:
     """``(token)``: the vocabulary of a text column.
 
-    Repeats are dropped inside each row and again on the map side.
+    Repeats are dropped inside each row and again on the map side.  The
+    vocabulary is written: Spark moves what is asked of a token (a condition, the
+    size of what it is cut into) below a distinct, where each text answers for
+    each of its tokens, and several steps read it.
     """
-    return df.select(F.explode(F.array_distinct(tx.tokens(F.col(col)))).alias("token")).distinct()
+    return materialise(df.select(F.explode(F.array_distinct(tx.tokens(F.col(col)))).alias("token")).distinct(), "tokens")
 
 
 def term_heads(index: DataFrame, threshold: float = COSINE) -> DataFrame:
