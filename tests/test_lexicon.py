@@ -199,3 +199,11 @@ def test_a_condition_on_a_token_is_not_asked_of_every_text(spark):
     df = spark.createDataFrame([(1, "some words and some more")], "id int, text string")
     words = lx.distinct_tokens(df, "text").filter(F.length("token") > 4)
     assert "Generate" not in executed(words) and sorted(r.token for r in words.collect()) == ["words"]
+
+
+def test_a_small_dictionary_of_unknown_size_travels_to_the_texts(spark):
+    df = spark.createDataFrame([(1, "a b a"), (2, "c d"), (3, None)], "id int, text string")
+    many = spark.range(3000).withColumnRenamed("id", "x").crossJoin(spark.range(3000).withColumnRenamed("id", "y"))
+    found = many.filter("x = 7 AND y = 9").select(F.lit("a").alias("token"), F.lit("z").alias("mapped"))
+    out = lx.apply_dictionary(df, "id", "text", found)
+    assert "BroadcastHashJoin [token" in executed(out) and sorted(str(r.text) for r in out.collect()) == ["None", "c d", "z b z"]

@@ -444,7 +444,8 @@ def token_dictionary(
 ) -> DataFrame:
     """``(token, mapped)`` for the distinct tokens that the cascade changes."""
     cleaned = tokens.withColumn("clean", tx.collapse_runs(F.lower("token")))
-    probes = bypass(cleaned.select(F.col("clean").alias("token")).distinct(), exceptions)
+    # Written: each kind of match reads them.
+    probes = materialise(bypass(cleaned.select(F.col("clean").alias("token")).distinct(), exceptions), "probes")
     index = fit_ngram_index(lexicon)
     near = nearest_term(probes, index, threshold).select("token", F.col("term").alias("near"))
     stem = nearest_term_stemmed(probes, index, lexicon, suffixes, threshold).select("token", F.col("term").alias("stem"))
@@ -460,10 +461,12 @@ def token_dictionary(
 def apply_dictionary(df: DataFrame, id_col: str, col: str, dictionary: DataFrame) -> DataFrame:
     """Replace tokens by a dictionary too large for literals.
 
-    Only (id, distinct token) pairs move, and only those with an entry come
-    back; the join on token is left to adaptive execution, which splits hot
-    tokens.  ``id_col`` must be unique, so the regrouping is never skewed.
+    The dictionary is written, so its size is known before the texts are cut:
+    if it is small it travels to them and no pair (id, distinct token) moves
+    that has no entry.  Else the join on token is left to adaptive execution,
+    which splits hot tokens.  ``id_col`` must be unique, so the regrouping is never skewed.
     """
+    dictionary = materialise(dictionary, "dictionary")
     pairs = df.select(id_col, F.explode(F.array_distinct(tx.tokens(F.col(col)))).alias("token"))
     found = (
         pairs.join(dictionary, "token")
