@@ -153,6 +153,62 @@ def _terms_literal(lex: Lexicon) -> Column:
     return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), kind)
 
 
+# What sets words apart that are looked at, and the letters of each sound digit.
+MARK = "\x01"
+SOUNDS = {"1": "bfpv", "2": "cgjkqsxz", "3": "dt", "4": "l", "5": "mn", "6": "r"}
+
+
+def _single_spaced(c: Column) -> Column:
+    """The tokens of a text with one blank between them."""
+    other = tx.SPACE.replace(r"\x20", r"\x1f")
+    return F.trim(F.regexp_replace(c, f"{other}{tx.SPACE}*+| {tx.SPACE}++", " "))
+
+
+def _changed_words(spaced: Column, which: list[str], change: Callable[[Column], Column]) -> Column:
+    """Apply ``change`` to the words of a single-spaced text without ``MARK`` that one of the patterns ``which`` fits from their start.
+
+    One pass over the text finds them; the other words are not looked at one by one.
+    """
+    marked = F.regexp_replace(spaced, f"(?<![^ ])(?={tx.alternation(which)})([^ ]++)", f"{MARK}$1{MARK}")
+    parts = F.transform(F.split(marked, MARK), lambda part, i: F.when(i % 2 == 1, change(part)).otherwise(part))
+    return F.array_join(parts, "")
+
+
+def _sounds_like(code: str) -> str | None:
+    """A pattern that fits every lower-case word with this sound code (and some others), without going back.
+
+    A coded letter adds its digit unless that is the last digit again.
+    """
+    if not re.fullmatch("[A-Z][0-6]{3}", code):
+        return None
+    coded, digits = "".join(SOUNDS.values()), code[1:].rstrip("0")
+    out, last = code[0].lower(), next((d for d, letters in SOUNDS.items() if code[0].lower() in letters), "")
+    between = lambda last: "".join(c for c in coded if c not in SOUNDS.get(last, ""))
+    for digit in digits:
+        out += f"[^ {coded if digit == last else between(last)}]*+[{SOUNDS[digit]}]"
+        last = digit
+    return out if len(digits) == 3 else out + f"[^ {between(last)}]*+(?![^ ])"
+
+
+def _near_term(lex: Lexicon) -> str | None:
+    """A pattern that fits a word from its start if it, or a part of it, may reach the threshold with a term."""
+    rests: dict[str, list[str]] = defaultdict(list)
+    for gram in sorted({g for i in range(len(lex.terms)) for g in lex.signature(i)}):
+        rests[gram[0]].append(tx.escape(gram[1:]))
+    if not rests:
+        return None
+    # Grams with the same first character are tried together.
+    return "[^ ]*?" + tx.alternation([tx.escape(first) + tx.alternation(ends) for first, ends in rests.items()])
+
+
+def _may_change(lex: Lexicon, codes: dict[str, str]) -> list[str]:
+    """Patterns that fit the start of every lower-case word that the cascade may change.
+
+    Cutting long runs makes no gram of two or three characters that the word does not have.
+    """
+    return [x for x in (*map(_sounds_like, sorted(codes)), _near_term(lex)) if x]
+
+
 def may_match(c: Column, lex: Lexicon) -> Column:
     """False only if no term can reach the cosine threshold."""
     grams = sorted({g for i in range(len(lex.terms)) for g in lex.signature(i)})
@@ -265,7 +321,12 @@ def map_tokens(
         return F.transform(tx.tokens(text), lambda t: _let(clean(t), lambda c: mapped(t, c)))
 
     # few texts have a long run at all; one look at the text saves one per token
-    return tx.join_tokens(_let(F.lower(text).rlike(r"([^\n])\1\1"), per_token))
+    each = tx.join_tokens(_let(F.lower(text).rlike(r"([^\n])\1\1"), per_token))
+    which = _may_change(lex, codes or {})
+    if not which:
+        return each
+    few = _changed_words(_single_spaced(text), which, lambda t: _let(tx.collapse_runs(F.lower(t)), lambda c: mapped(t, c)))
+    return F.when((F.lower(text) == text) & ~F.contains(text, F.lit(MARK)), few).otherwise(each)
 
 
 def strip_prefixes_in(words: Column, lex: Lexicon, prefixes: list[str] = PREFIXES) -> Column:
@@ -279,10 +340,32 @@ def strip_prefixes_in(words: Column, lex: Lexicon, prefixes: list[str] = PREFIXE
         return F.when(same, r).otherwise(nearest_in(r, lex))
 
     starts = "^" + tx.alternation([tx.escape(p) for p in prefixes])
-    return F.transform(
-        words,
-        lambda w: F.when(w.rlike(starts), F.coalesce(_first(F.transform(_cut_prefixes(w, prefixes), root_of)), w)).otherwise(w),
-    )
+    cut = lambda w: F.coalesce(_first(F.transform(_cut_prefixes(w, prefixes), root_of)), w)
+    return F.transform(words, lambda w: F.when(w.rlike(starts), cut(w)).otherwise(w))
+
+
+def strip_prefixes_of(text: Column, lex: Lexicon, prefixes: list[str] = PREFIXES) -> Column:
+    """``strip_prefixes_in`` for a text: only words that begin with a prefix are looked at."""
+    plain = [tx.escape(p) for p in prefixes if p and not re.search(r"\s", p)]
+    same = [tx.escape(t) for t in lex.terms] + ["".join(f"{tx.escape(c)}+" for c in t) for t in lex.collapsed]
+    roots = [f"{tx.alternation(same)}(?![^ ])"] * bool(same) + [x for x in [_near_term(lex)] if x]
+    which = [tx.alternation(plain) + tx.alternation(roots)] if plain and roots else []
+
+    def stripped(c: Column) -> Column:
+        few = _changed_words(_single_spaced(c), which, lambda w: F.get(strip_prefixes_in(F.array(w), lex, prefixes), 0))
+        return F.when(F.contains(c, F.lit(MARK)), tx.join_tokens(strip_prefixes_in(tx.tokens(c), lex, prefixes))).otherwise(few)
+
+    return _let(text, stripped) if which else tx.join_tokens(tx.tokens(text))
+
+
+def drop_before_term_of(text: Column, dropped: list[str], terms: list[str]) -> Column:
+    """``drop_before_term_in`` for a text, in one pass of one pattern."""
+    before, after = ([tx.escape(w) for w in words if w and not re.search(r"\s", w)] for words in (dropped, terms))
+    spaced = _single_spaced(text)
+    if not before or not after:
+        return spaced
+    firsts = "".join(sorted({tx.escape(w[0]) for w in dropped if w}))
+    return F.regexp_replace(spaced, f"(?=[{firsts}])(?<![^ ]){tx.alternation(before)} (?={tx.alternation(after)}(?![^ ]))", "")
 
 
 def drop_before_term_in(words: Column, dropped: list[str], terms: list[str]) -> Column:
@@ -296,11 +379,11 @@ def drop_before_term_in(words: Column, dropped: list[str], terms: list[str]) ->
 
 
 def strip_prefixes(df: DataFrame, col: str, lex: Lexicon, prefixes: list[str] = PREFIXES) -> DataFrame:
-    return df.withColumn(col, tx.join_tokens(strip_prefixes_in(tx.tokens(F.col(col)), lex, prefixes)))
+    return df.withColumn(col, strip_prefixes_of(F.col(col), lex, prefixes))
 
 
 def drop_before_term(df: DataFrame, col: str, lex: Lexicon, dropped: list[str] = DROPPED_BEFORE_TERM) -> DataFrame:
-    return df.withColumn(col, tx.join_tokens(drop_before_term_in(tx.tokens(F.col(col)), dropped, list(lex.terms))))
+    return df.withColumn(col, drop_before_term_of(F.col(col), dropped, list(lex.terms)))
 
 
 # -- matching by joins ---------------------------------------------------------

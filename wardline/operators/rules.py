@@ -51,6 +51,12 @@ def translate_replacement(replacement: str) -> str:
     return re.sub(r"\\(\d)", r"$\1", quoted)
 
 
+def _words_of(part: str) -> list[str]:
+    """The words of a group that is nothing but words, else the part itself."""
+    found = re.fullmatch(r"\(\?:(\w+(?:\|\w+)*)\)", part)
+    return found.group(1).split("|") if found else [part]
+
+
 def heads(parts: list[str]) -> str:
     """A look-ahead on the first characters of the alternatives, if each has just one.
 
@@ -58,6 +64,7 @@ def heads(parts: list[str]) -> str:
     positions of a text fail it.
     """
     firsts = set()
+    parts = [word for part in parts for word in _words_of(part)]
     for part in parts:
         outside = part
         while "(" in outside and (inner := re.sub(r"\([^()]*\)", "", outside)) != outside:
@@ -70,7 +77,7 @@ def heads(parts: list[str]) -> str:
 
 def _whole_word(rule: Rule) -> str | None:
     """The inside of ``\\b...\\b`` if the rule rewrites single words only."""
-    found = re.fullmatch(r"\\b(\w.*)\\b", rule.pattern, flags=re.DOTALL)
+    found = re.fullmatch(r"\\b(\w.*|\(\?:\w+(?:\|\w+)*\))\\b", rule.pattern, flags=re.DOTALL)
     if not found or re.search(r"\\|[ .\[]", found.group(1)):
         return None
     return found.group(1)

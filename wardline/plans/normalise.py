@@ -11,7 +11,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions import text as tx
 from wardline.functions.romanise import romanise
 from wardline.operators import lexicon as lx
 from wardline.operators import rules as rl
@@ -85,16 +84,15 @@ def _rewritten(c: Column, step: Step) -> Column:
 
 
 def _token_step(c: Column, step: Step, lex: lx.Lexicon) -> Column:
-    words = tx.tokens(c)
     if isinstance(step, StripPrefixes):
-        return tx.join_tokens(lx.strip_prefixes_in(words, lex, step.prefixes))
-    return tx.join_tokens(lx.drop_before_term_in(words, step.words, list(lex.terms)))
+        return lx.strip_prefixes_of(c, lex, step.prefixes)
+    return lx.drop_before_term_of(c, step.words, list(lex.terms))
 
 
 def normaliser(settings: Settings):
     """The normaliser's two halves as functions on columns, or None if the lexicon is too large for literals.
 
-    The second half uses its input twice; it should be a column, not the first half's expression.
+    The second half uses its input several times; it should be a column, not the first half's expression.
     """
     lex = lx.load_lexicon(settings.lexicon, settings.threshold, settings.inline_limit)
     words = settings.exceptions.select("word").take(settings.inline_limit + 1)
