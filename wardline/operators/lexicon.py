@@ -161,7 +161,8 @@ SOUNDS = {"1": "bfpv", "2": "cgjkqsxz", "3": "dt", "4": "l", "5": "mn", "6": "r"
 def _single_spaced(c: Column) -> Column:
     """The tokens of a text with one blank between them."""
     other = tx.SPACE.replace(r"\x20", r"\x1f")
-    return F.trim(F.regexp_replace(c, f"{other}{tx.SPACE}*+| {tx.SPACE}++", " "))
+    # Most characters are ruled out by the first test.
+    return F.trim(F.regexp_replace(c, f"(?![!-~])(?:{other}{tx.SPACE}*+| {tx.SPACE}++)", " "))
 
 
 def _changed_words(spaced: Column, which: list[str], change: Callable[[Column], Column]) -> Column:
@@ -192,13 +193,11 @@ def _sounds_like(code: str) -> str | None:
 
 def _near_term(lex: Lexicon) -> str | None:
     """A pattern that fits a word from its start if it, or a part of it, may reach the threshold with a term."""
-    rests: dict[str, list[str]] = defaultdict(list)
-    for gram in sorted({g for i in range(len(lex.terms)) for g in lex.signature(i)}):
-        rests[gram[0]].append(tx.escape(gram[1:]))
-    if not rests:
+    grams = sorted({g for i in range(len(lex.terms)) for g in lex.signature(i)})
+    if not grams:
         return None
-    # Grams with the same first character are tried together.
-    return "[^ ]*?" + tx.alternation([tx.escape(first) + tx.alternation(ends) for first, ends in rests.items()])
+    firsts = "".join(sorted({tx.escape(g[0]) for g in grams}))
+    return f"[^ ]*?(?=[{firsts}])" + tx.alternation([tx.escape(g) for g in grams])
 
 
 def _may_change(lex: Lexicon, codes: dict[str, str]) -> list[str]:
@@ -349,7 +348,8 @@ def strip_prefixes_of(text: Column, lex: Lexicon, prefixes: list[str] = PREFIXES
     plain = [tx.escape(p) for p in prefixes if p and not re.search(r"\s", p)]
     same = [tx.escape(t) for t in lex.terms] + ["".join(f"{tx.escape(c)}+" for c in t) for t in lex.collapsed]
     roots = [f"{tx.alternation(same)}(?![^ ])"] * bool(same) + [x for x in [_near_term(lex)] if x]
-    which = [tx.alternation(plain) + tx.alternation(roots)] if plain and roots else []
+    firsts = "".join(sorted({tx.escape(p[0]) for p in prefixes if p}))
+    which = [f"(?=[{firsts}])" + tx.alternation(plain) + tx.alternation(roots)] if plain and roots else []
 
     def stripped(c: Column) -> Column:
         few = _changed_words(_single_spaced(c), which, lambda w: F.get(strip_prefixes_in(F.array(w), lex, prefixes), 0))
