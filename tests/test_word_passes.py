@@ -43,3 +43,9 @@ def test_a_group_of_words_joins_its_neighbours(spark):
     rules = [rl.Rule(1, 1, r"\b(?:they|them)\b", "x"), rl.Rule(1, 2, r"\bder\b", "x")]
     df = spark.createDataFrame([("they lather them, der theyx",)], "text string")
     assert one_column(rl.apply_rules(df, "text", rules)) == ["x lather x, x theyx"]
+
+
+def test_an_empty_prefix_fits_every_word(spark, lexicon):
+    lex = lx.load_lexicon(lexicon)
+    df = spark.createDataFrame([("xidiotx talk",)], "text string")
+    assert one_column(lx.strip_prefixes(df, "text", lex, [""])) == ["idiot talk"]

@@ -355,6 +355,8 @@ def strip_prefixes_of(text: Column, lex: Lexicon, prefixes: list[str] = PREFIXES
         few = _changed_words(_single_spaced(c), which, lambda w: F.get(strip_prefixes_in(F.array(w), lex, prefixes), 0))
         return F.when(F.contains(c, F.lit(MARK)), tx.join_tokens(strip_prefixes_in(tx.tokens(c), lex, prefixes))).otherwise(few)
 
+    if not all(prefixes):  # an empty prefix fits every word
+        return tx.join_tokens(strip_prefixes_in(tx.tokens(text), lex, prefixes))
     return _let(text, stripped) if which else tx.join_tokens(tx.tokens(text))
 
 
