@@ -43,11 +43,9 @@ def pipeline_scorer(model: PipelineModel, labels: list[str] = CLASSES) -> Scorer
     def score(df: DataFrame, col: str) -> DataFrame:
         own = df.withColumnRenamed("text", "_own_text") if col != "text" and "text" in df.columns else df
         scored = model.transform(own.withColumn("text", F.col(col)))
-        probability = vector_to_array("probability")
-        parts = F.transform(
-            F.lit(labels),
-            lambda label, i: F.struct(label.alias("label"), F.coalesce(F.get(probability, i), F.lit(0.0)).alias("score")),
-        )
+        # Outside the function, which Spark would have predict again for each label.
+        probability = F.slice(vector_to_array("probability"), 1, len(labels))
+        parts = F.zip_with(F.lit(labels), probability, lambda label, p: F.struct(label.alias("label"), F.coalesce(p, F.lit(0.0)).alias("score")))
         kept = [F.col("_own_text").alias(c) if c == "text" and own is not df else F.col(c) for c in df.columns]
         return scored.select(*kept, parts.alias("scores"))
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import IDF, RegexTokenizer, SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +17,7 @@ from wardline.operators import splits as sp
 from wardline.operators.evaluation import binary_metrics
 from wardline.plans.classify import predict_binary
 from wardline.plans.scoring import pipeline_scorer
+from wardline.plans.term_vectors import TermVectors
 from wardline.session import materialise
 from wardline.sources import sinks
 
@@ -54,28 +55,21 @@ def fit_classifier(
         df = cut.withColumn("text", tx.join_tokens(F.col("_tokens"))).drop("_tokens")
     low = SQLTransformer(statement="SELECT *, lower(trim(text)) AS _cut FROM __THIS__")
     words = RegexTokenizer(inputCol="_cut", outputCol="_words", pattern=r"[^\p{L}\p{N}_]+")
-    pairs = NGram(n=2, inputCol="_words", outputCol="_pairs")
-    chars = RegexTokenizer(inputCol="_cut", outputCol="_chars", pattern="", minTokenLength=1)
-    triples = NGram(n=3, inputCol="_chars", outputCol="_triples")
-    parts, stages = [], [low, words, pairs, chars, triples]
-    for name in ("_words", "_pairs", "_triples"):
-        stages += [
-            HashingTF(inputCol=name, outputCol=f"{name}_tf", numFeatures=features),
-            IDF(inputCol=f"{name}_tf", outputCol=f"{name}_idf", minDocFreq=2),
-        ]
-        parts.append(f"{name}_idf")
-    stages.append(VectorAssembler(inputCols=parts, outputCol="_features"))
-    stages.append(
-        LogisticRegression(
-            featuresCol="_features",
-            labelCol="label_id",
-            probabilityCol="probability",
-            family="multinomial",
-            maxIter=max_iter,
-            regParam=reg,
-        )
+    terms = TermVectors(inputCols=["_cut", "_words"], outputCol="_counts", numFeatures=features)
+    counting = PipelineModel([low, words, terms])
+    # Written, as the weights and the regression each read the counts: texts are cut and hashed once.
+    counted = materialise(counting.transform(df).select("_counts", "label_id"), "counted")
+    weighted = IDF(inputCol="_counts", outputCol="_features", minDocFreq=2)
+    regression = LogisticRegression(
+        featuresCol="_features",
+        labelCol="label_id",
+        probabilityCol="probability",
+        family="multinomial",
+        maxIter=max_iter,
+        regParam=reg,
     )
-    return Pipeline(stages=stages).fit(df)
+    fitted = Pipeline(stages=[weighted, regression]).fit(counted)
+    return PipelineModel([*counting.stages, *fitted.stages])
 
 
 def save_model(model: PipelineModel, path: str) -> None:
