@@ -44,6 +44,14 @@ def test_batches_of_texts():
     assert len(tv.term_vectors(pa.array([], pa.string()), pa.array([], pa.string()), 64)) == 0
 
 
+def test_more_texts_than_leave_together(spark):
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id", "concat('a b', id % 7) AS t", "array('a', concat('b', id % 7)) AS w")
+    found = tv.TermVectors(inputCols=["t", "w"], outputCol="v", numFeatures=64).transform(rows)
+    assert found.columns == ["id", "v"]
+    by_id = {r["id"]: r["v"] for r in found.collect()}
+    assert len(by_id) == 3000 and all(by_id[i] == by_id[i % 7] and by_id[i].values.sum() == 2 + 1 + 2 for i in by_id)
+
+
 def test_a_training_cuts_its_texts_once(spark):
     """The weights and the regression read written counts; a score predicts once for all labels."""
     counter = spark.sparkContext.accumulator(0)

@@ -22,16 +22,19 @@ from pyspark.ml.param.shared import HasInputCols, HasNumFeatures, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Trigrams that are worked on at a time, so that the arrays stay in the processor's cache.
 CHUNK = 1 << 15
+# Texts whose vectors leave together.
+ROWS = 256
 # Fixed value: the seed of HashingTF.
 SEED = 42
 SPACE = 0x20
 
 
 class TermVectors(Transformer, HasInputCols, HasOutputCol, HasNumFeatures, DefaultParamsReadable, DefaultParamsWritable):
-    """A sparse vector of a text and its words (``inputCols``), null if either is.
+    """A sparse vector of a text and its words, null if either is; these two columns (``inputCols``) do not go on.
 
     It has ``numFeatures`` places for words, as many for pairs of neighbouring words and as many for trigrams.
     """
@@ -43,25 +46,31 @@ class TermVectors(Transformer, HasInputCols, HasOutputCol, HasNumFeatures, Defau
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         features = self.getNumFeatures()
+        text, words = self.getInputCols()
+        kept = [field for field in dataset.schema if field.name not in (text, words)]
+        names = [*(field.name for field in kept), self.getOutputCol()]
 
-        @F.arrow_udf(VectorUDT())
-        def counts(texts: pa.Array, words: pa.Array) -> pa.Array:
-            return term_vectors(texts, words, features)
+        # The vectors are larger than the texts: they leave a few at a time, whatever the size of a batch.
+        def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):
+                    *columns, own, joined = batch.slice(at, ROWS).columns
+                    yield pa.RecordBatch.from_arrays([*columns, term_vectors(own, joined, features)], names=names)
 
-        text, words = self.getInputCols()
         # No word holds a space, so neighbouring words are one stretch of the joined ones.
-        return dataset.withColumn(self.getOutputCol(), counts(F.col(text), F.array_join(F.col(words), " ")))
+        given = dataset.select(*(dataset[f"`{name}`"] for name in names[:-1]), text, F.array_join(words, " ").alias(words))
+        return given.mapInArrow(counts, T.StructType([*kept, T.StructField(names[-1], VectorUDT())]))
 
 
 def term_vectors(texts: pa.Array, words: pa.Array, features: int) -> pa.Array:
-    """The vectors of a batch of texts and their words, joined by spaces, in the layout of ``VectorUDT``."""
+    """The vectors of some texts and their words, joined by spaces, in the layout of ``VectorUDT``."""
     found = [_counted(*part, features) for part in _parts(texts.to_pylist(), words.to_pylist())]
     sizes, indices, values = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, t) for t in "lid")
     offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
     fields = {
         "type": pa.array(np.zeros(len(texts), np.int8)),
         "size": pa.array(np.full(len(texts), 3 * features, np.int32)),
-        "indices": pa.ListArray.from_arrays(offsets, pa.array(indices.astype(np.int32))),
+        "indices": pa.ListArray.from_arrays(offsets, pa.array(indices)),
         "values": pa.ListArray.from_arrays(offsets, pa.array(values)),
     }
     missing = np.array(texts.is_null()) | np.array(words.is_null())
@@ -92,7 +101,7 @@ def _counted(texts: list[bytes], words: list[bytes], features: int) -> tuple[np.
     first = np.flatnonzero(np.diff(keys, prepend=-1))
     counts = np.diff(first, append=len(keys)).astype(np.float64)
     found = keys[first]
-    return np.bincount(found >> 32, minlength=len(texts)), found & 0xFFFFFFFF, counts
+    return np.bincount(found >> 32, minlength=len(texts)), (found & 0xFFFFFFFF).astype(np.int32), counts
 
 
 def _words_and_pairs(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
