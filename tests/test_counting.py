@@ -117,3 +117,47 @@ def test_rows_that_share_an_id_are_counted_together(spark):
         }
         # Texts with an id of their own go by the shuffle.
         assert "Union" in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def spelled(df, buckets):
+    """The sums as SQL functions on strings give them, one term at a time."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0)
+    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b)))
+    rows = df.filter("text IS NOT NULL AND label IS NOT NULL").withColumn("w", words)
+    terms = rows.select("row", "label", F.explode(F.concat("w", F.coalesce(pairs, F.array().cast("array<string>")))).alias("t"))
+    bucket = (F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long") % buckets).cast("int").alias("bucket")
+    cells = terms.groupBy("row", "label", bucket).agg(F.count("*").alias("n")).groupBy("label", "bucket").agg(F.count("*").alias("docs"), F.sum("n").alias("terms"))
+    whole = rows.join(terms.groupBy("row").count(), "row", "left").groupBy("label", F.lit(ct.WHOLE).alias("bucket"))
+    return cells.unionByName(whole.agg(F.count("*").alias("docs"), F.coalesce(F.sum("count"), F.lit(0)).alias("terms")))
+
+
+def test_buckets_are_those_of_single_terms(spark):
+    rng = random.Random(8)
+    units = [chr(c) for c in range(1, 0x10400) if not 0xD800 <= c < 0xE000]
+    sizes = [" ".join("é" * rng.randrange(4) + "x" * n for n in range(at, at + 30)) for at in range(0, 150, 29)]
+    mixed = ["".join(rng.choice("ab, éßİΣ日𝒳😀_7\n\0") for _ in range(rng.randrange(60))) for _ in range(300)]
+    every = ["".join(units[i : i + 700]) for i in range(0, len(units), 700)]
+    rows = [(i, t, f"label {i % (3 * ct.HELD)}") for i, t in enumerate([*sizes, *mixed, *every, "", " ", " a", "a ", None, "ab " * 400000, "y" * 300000])]
+    df = spark.createDataFrame([*rows, (-1, "no label", None)], "row long, text string, label string").repartition(3)
+    for given in (df, ct.hashed(df, "text", 1 << 18)):
+        assert state(ct.count_terms(given)) == state(spelled(df, 1 << 18))
+
+
+def test_terms_are_hashed_in_batches_and_not_shuffled_one_by_one(spark):
+    df = spark.createDataFrame([("a b", "x", 1)], ROWS)
+    sums = ct.count_terms(df)
+    scored = ct.count_scores(df.select("bucket", "text"), "bucket", "text", sums)
+    for found in (sums, scored):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Generate" not in plan and "regexp_extract_all" not in plan
+
+
+def test_scores_of_rows_that_share_an_id(spark):
+    rows = [("red wine", "food", 0)] * 900 + [("red car", "cars", 0)] * 700
+    sums = ct.count_terms(spark.createDataFrame(rows, ROWS))
+    asked = spark.createDataFrame([(1, "wine"), (1, "car car"), (2, "wine"), (2, "Wine, wine"), (3, "red"), (None, "wine")], "id long, text string")
+    found = {(r["id"], r["text"]): [x - math.log(n / 1600) for x, n in zip(r["log_odds"], (700, 900), strict=True)] for r in ct.count_scores(asked, "id", "text", sums).collect()}
+    assert len(found) == 6 and found[(3, "red")] == found[(None, "wine")] == [0, 0]
+    # As before, an id has what all its rows add up to.
+    assert found[(2, "wine")] == found[(2, "Wine, wine")] and found[(1, "wine")] == found[(1, "car car")]
+    assert found[(2, "wine")][1] > 0 > found[(2, "wine")][0]

@@ -17,13 +17,16 @@ fixed number of buckets, whatever it was trained on; only that is broadcast.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from wardline.functions import text as tx
+from wardline.plans import term_hashes as th
 from wardline.session import materialise
 
 BUCKETS = 1 << 18
@@ -32,14 +35,23 @@ SURE = 4.5
 # The row of a class as a whole.
 WHOLE = -1
 STATE = "label string, bucket int, docs long, terms long"
+# Classes of which a task keeps sums, two numbers a bucket each, before it passes them on.
+HELD = 16
 
 
 def term_buckets(c: Column, buckets: int = BUCKETS) -> Column:
-    """The bucket of each word and of each pair of neighbouring words, repeats kept; null for a null text."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(f"{tx.WORD}+"), 0)
-    pairs = lambda w: F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    terms = F.get(F.transform(F.array(words), lambda w: F.concat(w, F.array_compact(pairs(w)))), 0)
-    return F.transform(terms, lambda t: (tx.hash_int(t) % buckets).cast("int"))
+    """The buckets of words and of pairs of neighbouring words, sorted, repeats kept; null for a null text."""
+
+    def work(texts: pa.Array) -> pa.Array:
+        sizes, found = [np.zeros(1, np.int64)], [np.empty(0, np.int32)]
+        for _, rows, owner, bucket in th.bucket_parts(texts, buckets):
+            keys = np.sort(owner << 32 | bucket)
+            sizes.append(np.bincount(owner, minlength=rows))
+            found.append((keys & 0xFFFFFFFF).astype(np.int32))
+        offsets = pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32), mask=np.append(texts.is_null().to_numpy(zero_copy_only=False), False))
+        return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))
+
+    return F.arrow_udf(work, "array<int>")(th.spaced_words(c))
 
 
 def hashed(df: DataFrame, col: str, buckets: int = BUCKETS) -> DataFrame:
@@ -49,7 +61,16 @@ def hashed(df: DataFrame, col: str, buckets: int = BUCKETS) -> DataFrame:
 
 def _sorted_buckets(df: DataFrame, col: str, buckets: int) -> Column:
     """The buckets of a text in order; a column that is ``hashed`` is taken as it is."""
-    return F.col(col) if isinstance(df.schema[col].dataType, T.ArrayType) else F.sort_array(term_buckets(F.col(col), buckets))
+    return F.col(col) if _is_hashed(df, col) else term_buckets(F.col(col), buckets)
+
+
+def _is_hashed(df: DataFrame, col: str) -> bool:
+    return isinstance(df.schema[col].dataType, T.ArrayType)
+
+
+def _given(df: DataFrame, col: str) -> Column:
+    """The texts as ``bucket_parts`` reads them."""
+    return (F.col(col) if _is_hashed(df, col) else th.spaced_words(F.col(col))).alias("_given")
 
 
 def _with_runs(df: DataFrame) -> DataFrame:
@@ -77,7 +98,7 @@ def term_counts(df: DataFrame, id_col: str, col: str, buckets: int = BUCKETS) ->
     shared = df.groupBy(id_col).agg(F.count("*").alias("_rows")).filter("_rows > 1").select(F.col(id_col).alias("_id"), F.lit(True).alias("_shared"))
     # Written, as its size decides how the texts meet it.
     shared = materialise(shared, "shared")
-    texts = df.select(F.col(id_col), _sorted_buckets(df, col, buckets).alias("b")).filter("b IS NOT NULL")
+    texts = df.filter(F.col(col).isNotNull()).select(id_col, _sorted_buckets(df, col, buckets).alias("b"))
     each = _with_runs(texts.join(shared, F.col(id_col).eqNullSafe(F.col("_id")), "left"))
     each = each.select(id_col, "_shared", F.explode(F.concat(_whole(), "runs")).alias("r")).filter(F.col("r.bucket") != WHOLE)
     each = each.select(id_col, "_shared", "r.bucket", F.col("r.n").cast("long").alias("tf"))
@@ -88,12 +109,54 @@ def term_counts(df: DataFrame, id_col: str, col: str, buckets: int = BUCKETS) ->
 def count_terms(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """The sums ``(label, bucket, docs, terms)`` of labelled rows (text, label); rows without text or label count for nothing.
 
-    A text is counted within its row: an array of its distinct buckets with
-    their numbers, so only partial sums per class and bucket are shuffled.
+    A text is counted within its row, and a task sums per class and bucket, so only those sums are shuffled.
     """
-    known = rows.filter("text IS NOT NULL AND label IS NOT NULL").select("label", _sorted_buckets(rows, "text", buckets).alias("b"))
-    each = _with_runs(known).select("label", F.explode(F.concat(_whole(), "runs")).alias("r"))
-    return each.groupBy("label", "r.bucket").agg(F.count("*").alias("docs"), F.sum("r.n").alias("terms"))
+    known = rows.filter("text IS NOT NULL AND label IS NOT NULL").select("label", _given(rows, "text"))
+    fields = [T.StructField("label", rows.schema["label"].dataType), *T.StructType.fromDDL("bucket int, docs long, terms long")]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            labels, given = batch.columns
+            labels = labels.dictionary_encode()
+            names, codes = labels.dictionary, labels.indices.to_numpy()
+            for first, n, owner, bucket in th.bucket_parts(given, buckets):
+                keys, times = _distinct(owner << 32 | bucket)
+                label, own = codes[first : first + n], keys >> 32
+                for code in np.unique(label).tolist():
+                    if (name := names[code].as_py()) not in held:
+                        if len(held) == HELD:
+                            yield from _sums(held, buckets, names.type)
+                            held.clear()
+                        held[name] = np.zeros((2, buckets + 1), np.int64)
+                    docs, terms = held[name]
+                    mine = label[own] == code
+                    at = keys[mine] & 0xFFFFFFFF
+                    np.add.at(docs, at, 1)
+                    np.add.at(terms, at, times[mine])
+                    # The last place is that of the class as a whole.
+                    docs[WHOLE] += np.count_nonzero(label == code)
+                    terms[WHOLE] += times[mine].sum()
+        if held:
+            yield from _sums(held, buckets, names.type)
+
+    return added(known.mapInArrow(summed, T.StructType(fields)))
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys and how often each is there."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def _sums(held: dict, buckets: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Rows of what a task has summed."""
+    for name, (docs, terms) in held.items():
+        at = np.flatnonzero(docs)
+        bucket = np.where(at == buckets, WHOLE, at).astype(np.int32)
+        columns = [pa.repeat(pa.scalar(name, kind), len(at)), *map(pa.array, (bucket, docs[at], terms[at]))]
+        yield pa.RecordBatch.from_arrays(columns, names=["label", "bucket", "docs", "terms"])
 
 
 def added(*states: DataFrame) -> DataFrame:
@@ -139,9 +202,8 @@ def count_scores(df: DataFrame, id_col: str, col: str, state: DataFrame, buckets
     labels, shares, weights = class_weights(state, sure)
     if not labels:
         raise ValueError("nothing has been learned yet")
-    # At most ``buckets`` rows of one number per class.
-    each = df.select(id_col, F.explode(F.array_distinct(term_buckets(F.col(col), buckets))).alias("bucket")).join(F.broadcast(weights), "bucket")
-    sums = each.groupBy(id_col).agg(*(F.sum(F.get("weights", F.lit(i))).alias(f"_s{i}") for i in range(len(labels))))
+    sums = _text_weights(df.select(id_col, _given(df, col)), weights, len(labels), buckets)
+    sums = sums.groupBy(id_col).agg(*(F.sum(f"_s{i}").alias(f"_s{i}") for i in range(len(labels))))
     out = df.join(sums, id_col, "left").withColumn(
         "log_odds", F.array(*(F.coalesce(f"_s{i}", F.lit(0.0)) + F.lit(shares[i]) for i in range(len(labels))))
     )
@@ -151,6 +213,31 @@ def count_scores(df: DataFrame, id_col: str, col: str, state: DataFrame, buckets
     return out.withColumn("scores", scores).drop(*(f"_s{i}" for i in range(len(labels))))
 
 
+def _text_weights(given: DataFrame, weights: DataFrame, classes: int, buckets: int) -> DataFrame:
+    """Per row that has a term of the model its id and, in ``_s0`` and so on, what its distinct buckets add to each class."""
+    # At most ``buckets`` rows of one number per class.
+    table = weights.toArrow()
+    rows = np.full(buckets, -1, np.int32)
+    rows[table["bucket"].to_numpy()] = np.arange(len(table))
+    numbers = table["weights"].combine_chunks().flatten().to_numpy().reshape(len(table), classes)
+    shared = given.sparkSession.sparkContext.broadcast((rows, numbers))
+    schema = T.StructType([given.schema[0], *(T.StructField(f"_s{i}", T.DoubleType()) for i in range(classes))])
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row_of, adds = shared.value
+        for batch in batches:
+            ids, texts = batch.columns
+            for first, _, owner, bucket in th.bucket_parts(texts, buckets):
+                row = row_of[bucket]
+                keys, _ = _distinct((owner << 32 | row)[row >= 0])
+                own, row = keys >> 32, keys & 0xFFFFFFFF
+                start = np.flatnonzero(np.diff(own, prepend=-1))
+                sums = [np.add.reduceat(adds[row, i], start) if len(start) else np.empty(0) for i in range(classes)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(first + own[start])), *map(pa.array, sums)], names=schema.names)
+
+    return given.mapInArrow(weighed, schema)
+
+
 # -- saved training ------------------------------------------------------------------
 
 
