@@ -22,6 +22,7 @@ from wardline.llm import suffix_dedup as sx
 from wardline.llm import transcripts as tc
 from wardline.llm.components import components
 from wardline.llm.queries import tokenizer_path
+from wardline.session import materialise
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, label string, group string, n_words int, hash string"
@@ -456,6 +457,33 @@ def test_sharding(spark, docs, nothing, tmp_path):
     assert sh.assign(nothing, 1000).count() == 0
 
 
+def test_shards_send_no_large_table_to_the_driver(spark, monkeypatch):
+    """Sizes of nodes are far more rows than the files that they come from suggest."""
+    plans = []
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, name)
+
+    monkeypatch.setattr(sh, "materialise", written)
+    monkeypatch.setattr(sh, "FEW", 100, raising=False)
+    hashed = spark.range(3000).select(sh.key_hash(F.col("id")).alias("hash"), (F.col("id") % 7).alias("bytes"))
+    hashed = hashed.union(spark.range(90).select(F.shiftleft("id", 36), F.lit(40).cast("long")))
+    found = sh.directory(hashed, 64)
+    assert len(found) > 1 and not any("Broadcast" in plan for plan in plans[:3])
+    # Each hash has one bucket, the first on its way from the root that fits, or the last there is.
+    places, held = {}, Counter()
+    for r in hashed.collect():
+        held.update({(d, r["hash"] >> (sh.BITS - d)): r["bytes"] for d in range(sh.BITS + 1)})
+    for r in (r for b in found for r in b.collect()):
+        places[r["bits"], r["prefix"]] = (r["depth"], r["shard"], r["paged"])
+    for value in {r["hash"] for r in hashed.collect()}:
+        depth = next((d for d in range(sh.BITS + 1) if held[d, value >> (sh.BITS - d)] <= 64), sh.BITS)
+        node = value >> (sh.BITS - depth)
+        own = [place for (bits, prefix), place in places.items() if value >> (sh.BITS - bits) == prefix]
+        assert own == [(depth, (1 << depth) + node, held[depth, node] > 64)]
+
+
 def linked(texts):
     sets = {}
     for i, text in texts:

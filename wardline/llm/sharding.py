@@ -4,7 +4,8 @@ A directory is indexed by the leading bits of a key's hash.  A bucket that excee
 the byte limit is split on its next bit, and only such buckets, until each
 holds at most the limit.  Sizes of all buckets come from one aggregation by a
 prefix long enough for most splits; buckets that are too large even then are
-aggregated again by more bits.
+aggregated again by more bits.  Nothing that grows with the rows is sent to the
+driver: a table is broadcast only after counting that it is small.
 
 The hash is the first 60 bits of the MD5 of the key.  Rows that agree in all of
 them cannot be told apart by bits; their bucket continues in overflow pages, which
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from wardline.session import materialise
 
 BITS = 60
+# A table of at most so many rows is sent to the tasks.
+FEW = 10_000
 
 
 def key_hash(key: Column) -> Column:
@@ -37,6 +40,15 @@ def _prefix(bits: int) -> Column:
     return F.shiftright("hash", BITS - bits)
 
 
+def _counted(table: DataFrame) -> DataFrame:
+    """``table`` for a join: sent whole to the tasks if it has few rows, else shuffled.
+
+    Spark's own guess goes by the size of compressed files, and knows neither how rows unpack nor that ``explode``
+    multiplies them.
+    """
+    return table.hint("broadcast" if table.count() <= FEW else "merge")
+
+
 def directory(rows: DataFrame, limit: int) -> list[DataFrame]:
     """For each aggregation, (prefix, bits, depth, shard): the bucket of every prefix of ``bits`` bits that occurs.
 
@@ -46,20 +58,28 @@ def directory(rows: DataFrame, limit: int) -> list[DataFrame]:
     bits, found, left, above = min(BITS, max(0, math.ceil(math.log2(max(total, 1) / limit))) + 6), [], rows, 0
     while True:
         cells = materialise(left.groupBy(_prefix(bits).alias("prefix")).agg(F.sum("bytes").alias("bytes")), "cells")
-        depth = F.explode(F.sequence(F.lit(above), F.lit(bits))).alias("depth")
         at = F.call_function("shiftright", F.col("prefix"), (F.lit(bits) - F.col("depth")).cast("int"))
-        nodes = cells.select("prefix", "bytes", depth).withColumn("node", at)
+        depths = lambda low, high: F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth")
+        nodes = cells.select("prefix", "bytes", depths(above, bits)).withColumn("node", at)
         sizes = nodes.groupBy("depth", "node").agg(F.sum("bytes").alias("held"))
-        fits = nodes.join(sizes, ["depth", "node"]).filter((F.col("held") <= limit) | (F.col("depth") == bits))
-        lowest = fits.groupBy("prefix").agg(F.min_by(F.struct("depth", "node", "held"), "depth").alias("b"))
-        lowest = materialise(lowest.select("prefix", "b.*"), "buckets")
+        # A bucket is a node that fits, or cannot be split here, while the node above does not fit: its two halves meet there.
+        halves = sizes.groupBy((F.col("depth") - 1).alias("over"), F.shiftright("node", 1).alias("parent"))
+        halves = halves.agg(F.sum("held").alias("whole"), F.collect_list(F.struct("depth", "node", "held")).alias("half"))
+        ends = halves.select("whole", F.inline("half")).filter((F.col("whole") > limit) | (F.col("depth") == above))
+        ends = materialise(ends.filter((F.col("held") <= limit) | (F.col("depth") == bits)).drop("whole"), "nodes")
+        low, high = ends.agg(F.min("depth"), F.max("depth")).first()
+        if low is None:
+            return found
+        # Only at depths that have buckets, so that no node near the root gathers all cells.
+        lowest = cells.select("prefix", depths(low, high)).withColumn("node", at).join(_counted(ends), ["depth", "node"])
+        lowest = materialise(lowest.select("prefix", "depth", "node", "held"), "buckets")
         split = lowest.filter(F.col("held") > limit).select("prefix")
         done = lowest.filter(F.col("held") <= limit) if bits < BITS else lowest
         shard = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("depth").cast("int")) + F.col("node")
         found.append(done.select("prefix", F.lit(bits).alias("bits"), "depth", shard.alias("shard"), (F.col("held") > limit).alias("paged")))
         if bits == BITS or split.isEmpty():
             return found
-        left = left.withColumn("prefix", _prefix(bits)).join(split, "prefix", "left_semi").drop("prefix")
+        left = left.withColumn("prefix", _prefix(bits)).join(_counted(split), "prefix", "left_semi").drop("prefix")
         above, bits = bits, min(BITS, bits + 8)
 
 
@@ -73,7 +93,7 @@ def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
         bits = buckets.select("bits").first()
         if bits is None:
             continue
-        own = rows.withColumn("prefix", _prefix(bits[0])).join(buckets.drop("bits"), "prefix").drop("prefix")
+        own = rows.withColumn("prefix", _prefix(bits[0])).join(_counted(buckets.drop("bits")), "prefix").drop("prefix")
         out = own if out is None else out.unionByName(own)
     if out is None:
         return rows.withColumns({"depth": F.lit(0), "shard": F.lit(1).cast("long"), "page": F.lit(0).cast("long")})
