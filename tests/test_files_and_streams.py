@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from wardline.bindings import action_queries
 from wardline.bindings import base
 from wardline.operators import actions as ac
 from wardline.operators import labels as lb
@@ -58,6 +59,41 @@ def test_history_and_verified(spark, tmp_path):
     assert sorted(rows(rd.read_verified(spark, str(tmp_path / "v.json")))) == [("Hi", "Profanity"), ("hi", "Not_offensive")]
 
 
+def test_verified_objects_are_read_in_splits(spark, tmp_path):
+    """Pairs that lie in several splits, keys longer than ``from_json`` takes, and files that only it reads."""
+    good = {"k" * 50_001: "long", 'q"\\': "a,b:{}", "": None, "n": 1.5, "é🎈": '\\"', "esc" + '"' * 41: "\n"}
+    (tmp_path / "a.json").write_text(json.dumps(good, indent=1), encoding="utf-8")
+    (tmp_path / "b.json").write_text('{"x": {"y": [1]}, "z": "w"} after', encoding="utf-8")
+    (tmp_path / "c.json").write_text('{"lost": "a", "cut": ', encoding="utf-8")
+    (tmp_path / "d.json").write_text('{"lost": "a",}', encoding="utf-8")
+    (tmp_path / "e.json").write_text(" { } ", encoding="utf-8")
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = [spark.conf.get(name) for name in names]
+    try:
+        for name, value in zip(names, ("2000b", "1b"), strict=True):
+            spark.conf.set(name, value)
+        found = rd.read_verified(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() > 20
+        got = {r["text"]: r["label"] for r in found.collect()}
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
+    assert got == good | {"n": "1.5", "x": '{"y":[1]}', "z": "w"}
+
+
+def test_verified_objects_are_written_pair_by_pair(spark, tmp_path, monkeypatch):
+    docs = [(i, f'text "{i}"', f"s{i % 2}") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 3 % 2) for i in range(40)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(action_queries, "scratch_dir", lambda spark, name: str(tmp_path / name))
+    found = action_queries.read_verified(spark, str(tmp_path)).collect()
+    assert sorted(found) == sorted((text, "Profanity" if i % 3 == 1 else "Not_offensive") for i, text, _ in docs)
+    for source in ("s0", "s1"):
+        (file,) = (tmp_path / "verified" / f"source={source}").glob("part-*")
+        whole = file.read_text(encoding="utf-8")
+        assert len(json.loads(whole)) == len(whole.strip().split("\n")) == 20
+
+
 def test_user_chat_is_saved_once(spark, tmp_path):
     df = spark.createDataFrame([("a", "x", 2), ("a", "y", 1), ("b", "z", 3)], "text string, label string, seq long")
     for _ in range(2):

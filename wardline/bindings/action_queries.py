@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -249,7 +250,11 @@ def read_verified(spark, sf):
     truth = load(spark, sf, "labels").join(docs, "doc_id").groupBy("text").agg(
         F.when(F.max("toxic") == 1, "Profanity").otherwise("Not_offensive").alias("label"), F.min("source").alias("source")
     )
-    objects = truth.groupBy("source").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("text", "label")))).alias("value"))
+    # A line for each pair: an object is written in one file, but is never one row.
+    own = Window.partitionBy("source").orderBy(F.xxhash64("text"))
+    lines = truth.select("source", F.to_json(F.create_map("text", "label")).alias("pair"), F.row_number().over(own).alias("place"), F.lead("label").over(own).isNull().alias("last"))
+    value = F.concat(F.when(F.col("place") == 1, "{").otherwise(","), F.col("pair").substr(F.lit(2), F.length("pair") - 2), F.when(F.col("last"), "}").otherwise(""))
+    objects = lines.sortWithinPartitions("source", "place").select("source", value.alias("value"))
     objects.write.partitionBy("source").text(path)
     return rd.read_verified(spark, f"{path}/source=*").select("text", "label")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline import schemas
+from wardline.sources.verified import read_pairs
 
 
 def _csv(spark: SparkSession, path: str, schema: T.StructType, sep: str, multi_line: bool, header: bool = False) -> DataFrame:
@@ -93,9 +94,8 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_verified(spark: SparkSession, path: str) -> DataFrame:
-    """Verified labels, one JSON object per file, as ``(text, label)``."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("text", "label"))
+    """Verified labels, one JSON object per file, as ``(text, label)``; files are read in splits."""
+    return read_pairs(spark, path)
 
 
 def read_generated(spark: SparkSession, path: str) -> DataFrame:
